@@ -39,7 +39,7 @@ cte("fx_surface_dumps", """
 SELECT run_id, step, j, i, 0.2::DOUBLE + avg(tke)/2.0::DOUBLE AS ustar, 0.01::DOUBLE + avg(tke)/20.0::DOUBLE AS z0m,
   (avg(w)-0.2::DOUBLE)/50.0::DOUBLE AS inv_l,
   CASE WHEN run_id <> 'r1' THEN (avg(theta)-301.0::DOUBLE)/20.0::DOUBLE END AS ht_flux
-FROM fx_cells GROUP BY ALL""")
+FROM fx_cells GROUP BY run_id, step, j, i""")
 
 cte("fx_pixel_keys", """
 SELECT *, (l_partkey*31 + l_linenumber*17) % 64 AS j, (l_suppkey*29 + l_orderkey*7) % 64 AS i,

@@ -180,7 +180,7 @@ def _(t):
     )
 
 
-@query("fy_x80", "SELECT run_id, mean_x, x80, integral FROM fy_x80", {"mean_x": 4, "x80": 4, "integral": 6})
+@query("fy_x80", "SELECT run_id, CASE WHEN integral > 0 THEN mean_x END AS mean_x, CASE WHEN integral > 0 THEN x80 END AS x80, greatest(integral, 0) AS integral FROM fy_x80", {"mean_x": 4, "x80": 4, "integral": 6})
 def _(t):
     return fp.fy_metrics(fy(t), RUN, DOM.dx).select("run_id", "mean_x", "x80", "integral")
 

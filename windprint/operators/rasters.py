@@ -230,30 +230,6 @@ def periodic_slope(cells: DataFrame, keys: Sequence[str], value: str, dom: Domai
     )
 
 
-# ------------------------------------------------------------------- sampling
-def bilinear(points: DataFrame, cells: DataFrame, keys: Sequence[str], value: Sequence[str], nx: int, ny: int, periodic: bool) -> DataFrame:
-    """Bilinear sample of raster columns at (fi, fj); weights sum over 4 corners.
-
-    Points keep their identity in ``pid``; periodic rasters wrap, others clamp.
-    """
-    if periodic:
-        i0, j0 = F.floor("fi"), F.floor("fj")
-    else:
-        i0 = F.least(F.greatest(F.floor("fi"), F.lit(0)), F.lit(nx - 2))
-        j0 = F.least(F.greatest(F.floor("fj"), F.lit(0)), F.lit(ny - 2))
-    p = points.withColumn("_i", i0.cast("bigint")).withColumn("_j", j0.cast("bigint"))
-    ti, tj = F.col("fi") - F.col("_i"), F.col("fj") - F.col("_j")
-    corner = lambda dj, di, w: F.struct(
-        F.pmod(F.col("_j") + dj, F.lit(ny)).alias("j"), F.pmod(F.col("_i") + di, F.lit(nx)).alias("i"), w.alias("w")
-    )
-    corners = F.array(
-        corner(0, 0, (1 - tj) * (1 - ti)), corner(0, 1, (1 - tj) * ti), corner(1, 0, tj * (1 - ti)), corner(1, 1, tj * ti)
-    )
-    e = p.select(*keys, "pid", F.explode(corners).alias("c")).select(*keys, "pid", "c.j", "c.i", "c.w")
-    hit = e.join(cells.select(*keys, "j", "i", *value), [*keys, "j", "i"])
-    return hit.groupBy(*keys, "pid").agg(*[F.sum(F.col(v) * F.col("w")).alias(v) for v in value], F.sum("w").alias("w_sum"))
-
-
 # ------------------------------------------------------------------ transects
 def ray_cells(rays: DataFrame, dom: Domain, rmax: float) -> DataFrame:
     """Cells under an upwind ray, one row per half-cell step.

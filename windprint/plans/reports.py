@@ -1,0 +1,55 @@
+"""Composite reports: what a user calls, built from the operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators import levels as lv
+
+
+def spinup_gate(cells: DataFrame, surface: DataFrame, dt: float) -> DataFrame:
+    """Stationarity verdict and the newest dump's sigma_w^2 peak per run."""
+    trend = lv.trend_gate(lv.dump_history(cells, surface, dt)).select("run_id", "n", "sig_tke", "sig_us", "stationary")
+    prof = lv.dump_profiles(cells).join(lv.levels_table(cells), ["run_id", "k"])
+    pick = F.max_by(F.struct("ww", "z", "step"), F.struct("step", "ww", (-F.col("k")).alias("nk")))
+    peak = prof.groupBy("run_id").agg(pick.alias("p")).select("run_id", "p.*")
+    j = trend.join(peak, "run_id").join(lv.surface_means(surface), ["run_id", "step"])
+    return j.select(
+        "run_id",
+        "n",
+        "sig_tke",
+        "sig_us",
+        "stationary",
+        (F.col("ww") / F.greatest(F.col("us") * F.col("us"), F.lit(1e-30))).alias("sw2_over_us2"),
+        F.col("z").alias("z_peak"),
+        F.col("us").alias("ustar"),
+    )
+
+
+def cbl_report(cells: DataFrame, surface: DataFrame, dt: float) -> DataFrame:
+    """Final convective state, growth and entrainment verdict per run."""
+    conv = lv.convective_state(cells, surface, dt)
+    last = lv.newest_rows(conv).join(lv.growth_rate(conv), "run_id", "left")
+    ok = F.col("entrainment").between(0.10, 0.35)
+    return last.select(
+        "run_id",
+        "step",
+        "z_i",
+        "w_star",
+        "ustar",
+        "wth_s",
+        "entrainment",
+        "tke_int",
+        "L",
+        F.try_divide("z_i", "L").alias("zi_over_l"),
+        "growth",
+        F.when(ok, "OK").otherwise("OUTSIDE").alias("gate"),
+    )
+
+
+def near_surface(cells: DataFrame, surface: DataFrame) -> DataFrame:
+    """Variance ratios and grid-scale correlation of w per plane."""
+    corr = lv.lag1_autocorr(cells).drop("std")
+    j = corr.join(lv.variance_ratio(cells), ["run_id", "step"]).join(lv.surface_means(surface), ["run_id", "step"])
+    return j.select("run_id", "step", "k", "corr_x", "corr_y", "ratio_u", "ratio_v", "ratio_w", "ratio_theta", F.col("us").alias("ustar"))
