@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.geometry import Domain
+from ..operators import footprint as fp
 from ..operators import levels as lv
+from ..operators import rasters
+from ..operators import reference_model as rm
 
 
 def spinup_gate(cells: DataFrame, surface: DataFrame, dt: float) -> DataFrame:
@@ -53,3 +57,61 @@ def near_surface(cells: DataFrame, surface: DataFrame) -> DataFrame:
     corr = lv.lag1_autocorr(cells).drop("std")
     j = corr.join(lv.variance_ratio(cells), ["run_id", "step"]).join(lv.surface_means(surface), ["run_id", "step"])
     return j.select("run_id", "step", "k", "corr_x", "corr_y", "ratio_u", "ratio_v", "ratio_w", "ratio_theta", F.col("us").alias("ustar"))
+
+
+def footprint_report(touchdowns: DataFrame, releases: DataFrame, params: DataFrame, dom: Domain) -> DataFrame:
+    """Measured map and curve metrics next to the closed-form model, per run."""
+    run = ["run_id"]
+    frames = fp.release_frames(releases)
+    framed = fp.framed_releases(releases, frames)
+    w = fp.weigh(touchdowns, framed, dom)
+    # one deposition by half serves the full map too: both are sums of the same cells
+    cells = fp.deposit_static(w, dom, ["run_id", "half"])
+    whole = cells.groupBy("run_id", "j", "i").agg(F.sum("flux").alias("flux"), F.sum("conc").alias("conc"))
+    full = fp.density(whole, frames, run, dom.area)
+    halves = fp.density(cells, fp.half_totals(framed), ["run_id", "half"], dom.area)
+    first, second = (halves.where(F.col("half") == n).drop("half") for n in (1, 2))
+    model = rm.static_raster(params, dom)
+    mm = fp.map_metrics(full, run, dom).select("run_id", "area80_ha", "centroid_dist", "centroid_bearing", F.col("integral").alias("integral_les"))
+    fm = fp.fy_metrics(fp.fy_histogram(w, frames, run, dom), run, dom.dx).select("run_id", "peak_x", "x80")
+    kl = model.groupBy("run_id").agg((F.sum("f") * dom.area).alias("integral_kljun"))
+    out = (
+        frames.select("run_id", "n_particles")
+        .join(mm, "run_id")
+        .join(kl, "run_id")
+        .join(fm, "run_id")
+        .join(rm.peaks(params).select("run_id", F.col("x_max").alias("peak_kljun")), "run_id")
+        .join(fp.overlap(full, model, run).withColumnRenamed("overlap", "overlap_kljun"), "run_id", "left")
+        .join(fp.overlap(first, second, run).withColumnRenamed("overlap", "overlap_halves"), "run_id", "left")
+        .join(fp.wrapped_fraction(w).select("run_id", "wrapped_fraction"), "run_id")
+    )
+    return out.select(
+        "run_id",
+        "n_particles",
+        "area80_ha",
+        "centroid_dist",
+        "centroid_bearing",
+        "integral_les",
+        "integral_kljun",
+        "peak_x",
+        "peak_kljun",
+        "x80",
+        "overlap_kljun",
+        "overlap_halves",
+        "wrapped_fraction",
+    )
+
+
+def flat_vs_terrain(flat: DataFrame, terrain: DataFrame, dom: Domain, box: tuple) -> DataFrame:
+    """Integrals, box contributions and 80% overlap of two maps per run."""
+    e = (-0.5 - dom.i_r) * dom.dx
+    run = ["run_id"]
+
+    def side(f: DataFrame, tag: str) -> DataFrame:
+        tot = f.groupBy(*run).agg((F.sum("f") * dom.area).alias(f"integral_{tag}"))
+        b = rasters.box_contribution(f, run, [("box", *box)], e, e, dom.dx)
+        return tot.join(b.select(*run, F.col("contribution").alias(f"box_{tag}")), run, "left")
+
+    j = side(flat, "flat").join(side(terrain, "terrain"), run).join(fp.overlap(terrain, flat, run), run, "left")
+    ratio = F.col("box_terrain") / F.greatest("box_flat", F.lit(1e-12))
+    return j.select("run_id", "integral_flat", "integral_terrain", "box_flat", "box_terrain", ratio.alias("ratio"), "overlap")
