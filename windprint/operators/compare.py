@@ -30,20 +30,24 @@ def swing(shares: DataFrame, keys: Sequence[str], area: DataFrame, floor: float
 
 
 def pair_ratio(table: DataFrame, keys: Sequence[str], case: str, pairs: Sequence[tuple[str, str]], values: Sequence[str]) -> DataFrame:
-    """Ratios between named cases; both sides come from one grouped pass."""
-    picks = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs])
-    members = {c for p in pairs for c in p}
-    per = table.where(F.col(case).isin(*sorted(members))).groupBy(*keys).agg(
-        F.map_from_entries(F.collect_set(F.struct(case, F.struct(*values)))).alias("m")
-    )
-    out = per.select(*keys, "m", F.explode(picks).alias("p"))
-    num = lambda v: F.try_element_at("m", F.col("p.a"))[v]
-    den = lambda v: F.try_element_at("m", F.col("p.b"))[v]
-    return out.select(
-        *keys,
-        F.concat_ws("/", "p.a", "p.b").alias("pair"),
-        *[(num(v) / F.greatest(den(v), F.lit(1e-9))).alias(f"ratio_{v}") for v in values],
+    """Ratios between named cases; one grouped pass picks both sides.
+
+    One row per (keys, case) is expected.
+    """
+    members = sorted({c for p in pairs for c in p})
+    pick = lambda c, v: F.max(F.when(F.col(case) == c, F.col(v)))
+    per = table.groupBy(*keys).agg(*[pick(c, v).alias(f"_{n}_{v}") for n, c in enumerate(members) for v in values])
+    at = {c: n for n, c in enumerate(members)}
+    rows = F.array(
+        *[
+            F.struct(
+                F.lit(f"{a}/{b}").alias("pair"),
+                *[(F.col(f"_{at[a]}_{v}") / F.greatest(F.col(f"_{at[b]}_{v}"), F.lit(1e-9))).alias(f"ratio_{v}") for v in values],
+            )
+            for a, b in pairs
+        ]
     )
+    return per.select(*keys, F.explode(rows).alias("r")).select(*keys, "r.*")
 
 
 def verdict(baseline: DataFrame, current: DataFrame, tol: DataFrame, keys: Sequence[str] = ("run_id",)) -> DataFrame:

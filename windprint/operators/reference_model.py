@@ -13,6 +13,15 @@ from ..functions.geometry import Domain
 from ..functions.numeric import erf
 
 
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """Deal a few parameter rows over every core before they fan out.
+
+    The rows are tiny but each stands for much work, so the partition count
+    comes from the cluster and not from the data size.
+    """
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, 1), *cols)
+
+
 def with_scale(params: DataFrame) -> DataFrame:
     """Add Pi_4 and the distance scale to (zm, h, ustar, u_mean, L[, z0])."""
     z0 = F.col("z0") if "z0" in params.columns else None
@@ -63,7 +72,8 @@ def static_raster(params: DataFrame, dom: Domain, nsub: int = 8) -> DataFrame:
     """
     seq = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     p = with_scale(params)
-    for name, n in (("j", dom.ny), ("i", dom.nx), ("sj", nsub), ("si", nsub)):
+    p = spread(p.withColumn("j", seq(dom.ny)), "run_id", "j")
+    for name, n in (("i", dom.nx), ("sj", nsub), ("si", nsub)):
         p = p.withColumn(name, seq(n))
     off = lambda c: (F.col(c) + 0.5) / nsub - 0.5
     east = dom.xc(F.col("i")) + off("si") * dom.dx

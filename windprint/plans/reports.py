@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import Domain
+from ..operators import climate
 from ..operators import footprint as fp
 from ..operators import levels as lv
 from ..operators import rasters
@@ -115,3 +116,11 @@ def flat_vs_terrain(flat: DataFrame, terrain: DataFrame, dom: Domain, box: tuple
     j = side(flat, "flat").join(side(terrain, "terrain"), run).join(fp.overlap(terrain, flat, run), run, "left")
     ratio = F.col("box_terrain") / F.greatest("box_flat", F.lit(1e-12))
     return j.select("run_id", "integral_flat", "integral_terrain", "box_flat", "box_terrain", ratio.alias("ratio"), "overlap")
+
+
+def climate_report(derived: DataFrame) -> DataFrame:
+    """Wind rose by stability with class medians, margins included."""
+    rose = climate.rose_wide(climate.wind_rose(derived))
+    tab = climate.stability_table(derived).drop("pct")
+    octs = [f"oct_{o}" for o in [*range(8), "all"]]
+    return rose.join(tab, ["site", "cls"], "left").select("site", "cls", "n", "pblh_p50", "us_p50", "wth_p50", *octs)

@@ -26,6 +26,13 @@ def _unit(a: Column, b: Column, ma: int, mb: int, n: int) -> Column:
     return ((a * ma + b * mb) % n).cast("double") / float(n)
 
 
+def micros(ts: str) -> Column:
+    """Microseconds since 1970 of a zone-less timestamp, whatever the session zone."""
+    day = F.unix_date(F.to_date(ts)).cast("bigint") * 86400000000
+    clock = F.hour(ts) * 3600 + F.minute(ts) * 60
+    return day + clock.cast("bigint") * 1000000 + (F.extract(F.lit("SECOND"), F.col(ts)) * 1000000).cast("bigint")
+
+
 class Tables:
     """Lazy accessors; nothing is read until a query uses it."""
 
@@ -152,7 +159,7 @@ class Tables:
         return self.raw("events").select(
             (F.col("user_id") % 3).alias("site"),
             e.alias("rec"),
-            F.floor((F.unix_micros("ts") - 307584000000000) / 3600000000).cast("bigint").alias("time_hours"),
+            F.floor((micros("ts") - 307584000000000) / 3600000000).cast("bigint").alias("time_hours"),
             (F.col("value") / 40.0 - 3.0).alias("u10"),
             (((e * 7919) % 2001 - 1000).cast("double") / 200.0).alias("v10"),
             ((e * 104729) % 1501 - 300).cast("double").alias("acshflsm"),
@@ -189,8 +196,8 @@ class Tables:
         return self.raw("events").select(
             F.col("user_id").alias("particle"),
             F.col("event_id").alias("seq"),
-            (F.unix_micros("ts") / 1000000).alias("t"),
-            F.floor(F.unix_micros("ts") / 86400000000).cast("bigint").alias("day"),
+            (micros("ts") / 1000000).alias("t"),
+            F.floor(micros("ts") / 86400000000).cast("bigint").alias("day"),
             (-(e % 997)).cast("double").alias("x"),
             (e % 89).cast("double").alias("y"),
             (F.col("value") / 10.0).alias("z"),
