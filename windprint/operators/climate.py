@@ -57,8 +57,9 @@ def derive(hourly: DataFrame, cos_a: Column, sin_a: Column, zm: float = 30.0, z0
             **hour_parts(F.col("time_hours")),
         }
     )
-    d = d.withColumn("fit", bl.solve_ustar(F.col("u10m"), F.col("wth"), F.col("tk"), z0))
-    d = d.withColumns({"us": F.col("fit.us"), "L": F.col("fit.L")}).drop("fit")
+    # a one-element inline keeps the optimizer from copying the fixed point into
+    # every later expression and filter that mentions us or L
+    d = d.select("*", F.inline(F.array(bl.solve_ustar(F.col("u10m"), F.col("wth"), F.col("tk"), z0))))
     return d.withColumns(
         {
             "u30": bl.profile_wind(F.col("us"), F.col("L"), zm, z0),

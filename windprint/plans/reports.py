@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import geometry as geo
 from ..functions.geometry import Domain
 from ..operators import climate
 from ..operators import footprint as fp
@@ -124,3 +125,25 @@ def climate_report(derived: DataFrame) -> DataFrame:
     tab = climate.stability_table(derived).drop("pct")
     octs = [f"oct_{o}" for o in [*range(8), "all"]]
     return rose.join(tab, ["site", "cls"], "left").select("site", "cls", "n", "pblh_p50", "us_p50", "wth_p50", *octs)
+
+
+def transect_report(rays: DataFrame, surface: DataFrame, dom: Domain, rmax: float) -> DataFrame:
+    """Cover, terrain and roughness along each run's upwind ray, with label places."""
+    line = rasters.transect(rays, surface, dom, rmax)
+    g = line.groupBy("run_id", "lcclass").agg(F.count(F.lit(1)).alias("n"), F.avg("topo").alias("topo"), F.avg("z0m").alias("z0m"))
+    return g.join(rasters.longest_run(line, ["run_id"], dom.dx / 2.0), ["run_id", "lcclass"], "left")
+
+
+def restart_tables(cells: DataFrame, levels: DataFrame, surface: DataFrame, n: int, turns: Column) -> DataFrame:
+    """Turn the flow, inject an unturned surface and rebuild the level heights.
+
+    ``surface`` has (run_id, step, j, i, z0m, zg) and stays as it is.
+    """
+    top = levels.groupBy("run_id").agg(F.max("z").alias("z_top"))
+    turned = rasters.rotate_cells(cells, n, turns).select("run_id", "step", "k", "j", "i", "u", "v", "w")
+    lev = levels.select("run_id", "k", "z").join(top, "run_id")
+    j = turned.join(lev, ["run_id", "k"]).join(surface, ["run_id", "step", "j", "i"])
+    z = geo.terrain_height(F.col("z"), F.col("zg"), F.col("z_top"))
+    return j.select(
+        "run_id", "step", "k", "j", "i", "u", "v", "w", z.alias("z_new"), "z0m", F.least("z0m", F.lit(0.01)).alias("z0t")
+    )
