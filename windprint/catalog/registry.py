@@ -56,7 +56,8 @@ def query(name: str, sql: str | None = None, digits: dict[str, int] | None = Non
         QUERIES[name] = run
         if sql is not None:
             rounds = ", ".join(f"round({c}, {d}) + 0.0 AS {c}" for c, d in digits.items())
-            ORACLES[name] = compose(f"SELECT * REPLACE ({rounds}) FROM (\n{textwrap.dedent(sql).strip()}\n)" if digits else sql)
+            pick = f"* REPLACE ({rounds})" if digits else "*"
+            ORACLES[name] = compose(f"SELECT {pick} FROM (\n{textwrap.dedent(sql).strip()}\n)")
         return fn
 
     return wrap

@@ -16,7 +16,7 @@ def elevation(t):
     return rasters.resample_mean(t.pixels, KEY, "elevation")
 
 
-@query("resample_avg", "SELECT site, j, i, mean, spread, n_pixels FROM elev", {"mean": 6, "spread": 6})
+@query("resample_avg", "SELECT site, j, i, mean, spread, n_pixels FROM elev", {"mean": 9, "spread": 7})
 def _(t):
     return elevation(t)
 
@@ -99,7 +99,7 @@ SELECT e.*, coalesce(spread < 0.02 AND abs(mean - level) < 1, false) AS water, l
 LEFT JOIN (SELECT site, median(mean) AS level FROM elev WHERE spread < 0.02 GROUP BY site) l ON l.site = e.site""")
 
 
-@query("water_mask", "SELECT site, j, i, mean, level, water FROM water_cells", {"mean": 6, "level": 6})
+@query("water_mask", "SELECT site, j, i, mean, level, water FROM water_cells", {"mean": 9, "level": 9})
 def _(t):
     return rasters.water_from_spread(elevation(t), ["site"]).select(*KEY, "mean", "level", "water")
 

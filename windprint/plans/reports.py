@@ -147,3 +147,12 @@ def restart_tables(cells: DataFrame, levels: DataFrame, surface: DataFrame, n: i
     return j.select(
         "run_id", "step", "k", "j", "i", "u", "v", "w", z.alias("z_new"), "z0m", F.least("z0m", F.lit(0.01)).alias("z0t")
     )
+
+
+def precision_ab(full: DataFrame, coarse: DataFrame, dom: Domain) -> DataFrame:
+    """Overlap, per-cell L1 and integral difference of a reduced-precision map."""
+    run = ["run_id"]
+    l1 = fp.shape_l1(full, coarse, run).select("run_id", F.col("l1_first").alias("l1"))
+    tot = lambda f, n: f.groupBy(*run).agg((F.sum("f") * dom.area).alias(n))
+    j = fp.overlap(coarse, full, run).join(l1, run).join(tot(full, "a"), run).join(tot(coarse, "b"), run)
+    return j.select("run_id", "overlap", "l1", (F.col("b") - F.col("a")).alias("d_integral"))
