@@ -26,9 +26,10 @@ SELECT run_id, pid, least(t0 + dt, nt - 1) AS step, k0 + dk AS k, ((j0 + dj) % 8
   * CASE WHEN dj = 1 THEN fj - j0 ELSE 1 - (fj - j0) END * CASE WHEN di = 1 THEN fi - i0 ELSE 1 - (fi - i0) END AS w
 FROM p4b, (VALUES (0), (1)) a(dt), (VALUES (0), (1)) b(dk), (VALUES (0), (1)) c(dj), (VALUES (0), (1)) d(di)""")
 _I4 = """
-SELECT run_id, pid, CASE WHEN sum(w) > 1 - 1e-9 THEN sum(w*u) END AS u, CASE WHEN sum(w) > 1 - 1e-9 THEN sum(w*v) END AS v,
-  CASE WHEN sum(w) > 1 - 1e-9 THEN sum(w*c.w_) END AS w, CASE WHEN sum(w) > 1 - 1e-9 THEN sum(w*tke) END AS tke
-FROM (SELECT * FROM c4 WHERE w <> 0) JOIN (SELECT run_id, step, k, j, i, u, v, w AS w_, tke FROM fx_cells) c USING (run_id, step, k, j, i) GROUP BY run_id, pid"""
+SELECT run_id, pid, CASE WHEN sum(q) > 1 - 1e-9 THEN sum(q*u) END AS u, CASE WHEN sum(q) > 1 - 1e-9 THEN sum(q*v) END AS v,
+  CASE WHEN sum(q) > 1 - 1e-9 THEN sum(q*w_) END AS w, CASE WHEN sum(q) > 1 - 1e-9 THEN sum(q*tke) END AS tke
+FROM (SELECT p.run_id, pid, CASE WHEN u IS NOT NULL THEN p.w END AS q, u, v, w_, tke FROM c4 p
+  LEFT JOIN (SELECT run_id, step, k, j, i, u, v, w AS w_, tke FROM fx_cells) c USING (run_id, step, k, j, i) WHERE p.w <> 0) GROUP BY run_id, pid"""
 VALS = ["u", "v", "w", "tke"]
 AX_K, AX_J, AX_I = Axis("fk", "k", LEVELS), Axis("fj", "j", PLANE, "wrap"), Axis("fi", "i", PLANE, "wrap")
 AX_T = Axis("ft", "step", "nt")
@@ -57,10 +58,10 @@ def _(t):
 
 @query(
     "interp4_planes",
-    """WITH full AS (SELECT run_id, step, k FROM fx_cells GROUP BY ALL HAVING count(*) = 64)
-    SELECT run_id, pid, CASE WHEN sum(w) > 1 - 1e-9 THEN sum(w*u) END AS u, CASE WHEN sum(w) > 1 - 1e-9 THEN sum(w*tke) END AS tke
-    FROM (SELECT * FROM c4 WHERE w <> 0) JOIN (SELECT run_id, step, k, j, i, u, tke FROM fx_cells JOIN full USING (run_id, step, k)) c USING (run_id, step, k, j, i)
-    GROUP BY run_id, pid""",
+    """WITH fp AS (SELECT run_id, step, k FROM fx_cells GROUP BY ALL HAVING count(*) = 64)
+    SELECT run_id, pid, CASE WHEN sum(q) > 1 - 1e-9 THEN sum(q*u) END AS u, CASE WHEN sum(q) > 1 - 1e-9 THEN sum(q*tke) END AS tke
+    FROM (SELECT p.run_id, pid, CASE WHEN u IS NOT NULL THEN p.w END AS q, u, tke FROM c4 p
+      LEFT JOIN (SELECT run_id, step, k, j, i, u, tke FROM fx_cells JOIN fp USING (run_id, step, k)) c USING (run_id, step, k, j, i) WHERE p.w <> 0) GROUP BY run_id, pid""",
     {"u": 7, "tke": 7},
 )
 def _(t):
@@ -70,10 +71,11 @@ def _(t):
 
 @query(
     "interp3",
-    """SELECT run_id, pid, CASE WHEN sum(w) > 1 - 1e-9 THEN sum(w*ustar) END AS ustar, CASE WHEN sum(w) > 1 - 1e-9 THEN sum(w*z0m) END AS z0m FROM (
+    """SELECT run_id, pid, CASE WHEN sum(q) > 1 - 1e-9 THEN sum(q*ustar) END AS ustar, CASE WHEN sum(q) > 1 - 1e-9 THEN sum(q*z0m) END AS z0m FROM (
+      SELECT run_id, pid, CASE WHEN ustar IS NOT NULL THEN w END AS q, ustar, z0m FROM (
       SELECT run_id, pid, least(t0 + dt, nt - 1) AS step, ((j0 + dj) % 8 + 8) % 8 AS j, ((i0 + di) % 8 + 8) % 8 AS i,
         CASE WHEN dt = 1 THEN ct - t0 ELSE 1 - (ct - t0) END * CASE WHEN dj = 1 THEN fj - j0 ELSE 1 - (fj - j0) END * CASE WHEN di = 1 THEN fi - i0 ELSE 1 - (fi - i0) END AS w
-      FROM p4b, (VALUES (0), (1)) a(dt), (VALUES (0), (1)) c(dj), (VALUES (0), (1)) d(di)) JOIN fx_surface_dumps USING (run_id, step, j, i) WHERE w <> 0 GROUP BY run_id, pid""",
+      FROM p4b, (VALUES (0), (1)) a(dt), (VALUES (0), (1)) c(dj), (VALUES (0), (1)) d(di)) LEFT JOIN fx_surface_dumps USING (run_id, step, j, i) WHERE w <> 0) GROUP BY run_id, pid""",
     {"ustar": 7, "z0m": 7},
 )
 def _(t):

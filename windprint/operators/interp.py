@@ -60,11 +60,14 @@ def corner_rows(points: DataFrame, keys: Sequence[str], pid: str, axes: Sequence
 def interpolate(
     points: DataFrame, grid: DataFrame, keys: Sequence[str], pid: str, axes: Sequence[Axis], values: Sequence[str]
 ) -> DataFrame:
-    """Sample ``values`` of ``grid`` at the points; NULL where a corner is missing."""
+    """Sample ``values`` of ``grid`` at the points; NULL where a corner is missing.
+
+    Every point comes back, also one that lies wholly outside the grid.
+    """
     on = [*keys, *[a.index for a in axes]]
-    hit = corner_rows(points, keys, pid, axes).join(grid.select(*on, *values), on)
+    hit = corner_rows(points, keys, pid, axes).join(grid.select(*on, *values, F.lit(1).alias("_hit")), on, "left")
     sums = [F.sum(F.col(v) * F.col("_w")).alias(v) for v in values]
-    out = hit.groupBy(*keys, pid).agg(*sums, F.sum("_w").alias("_w"))
+    out = hit.groupBy(*keys, pid).agg(*sums, F.coalesce(F.sum(F.col("_w") * F.col("_hit")), F.lit(0.0)).alias("_w"))
     whole = F.col("_w") > 1.0 - 1e-9
     return out.select(*keys, pid, *[F.when(whole, F.col(v)).alias(v) for v in values])
 
@@ -113,13 +116,13 @@ def interpolate_planes(
     )
     c = corner_rows(flat, [*keys, "_h"], pid, outer)
     on = [*keys, *[a.index for a in outer]]
-    hit = c.join(planes.where(F.size("at") == nx * ny), on)
+    hit = c.join(planes.where(F.size("at") == nx * ny).withColumn("_hit", F.lit(1)), on, "left")
     zero = F.lit(0.0)
     vals = [
         F.sum(F.col("_w") * F.aggregate(F.col("_h"), zero, lambda s, h: s + h["w"] * F.get(F.col(v), h["at"]))).alias(v)  # noqa: B023
         for v in values
     ]
-    out = hit.groupBy(*keys, pid).agg(*vals, F.sum("_w").alias("_w"))
+    out = hit.groupBy(*keys, pid).agg(*vals, F.coalesce(F.sum(F.col("_w") * F.col("_hit")), F.lit(0.0)).alias("_w"))
     return out.select(*keys, pid, *[F.when(F.col("_w") > 1.0 - 1e-9, F.col(v)).alias(v) for v in values])
 
 

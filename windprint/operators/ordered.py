@@ -69,7 +69,10 @@ def _inside(rows: DataFrame, wanted: DataFrame, keys: Sequence[str], descending:
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
-    """(keys, p, q, n): exact linear-interpolated quantiles of the finite values."""
+    """(keys, p, q, n): exact linear-interpolated quantiles of the finite values.
+
+    The count column is left out when a key is itself called n.
+    """
     rows = bucketed(distinct_mass(df, keys, value), keys)
     off = bucket_offsets(rows, keys)
     ranks = F.transform(
@@ -94,11 +97,11 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
         F.max(F.when(at("r0"), F.col("v"))).alias("v0"),
         F.max(F.when(at("r1"), F.col("v"))).alias("v1"),
         F.max("r.t").alias("t"),
-        F.max("total").alias("n"),
-    )
-    return got.select(
-        *keys, "p", (F.col("v0") + (F.col("v1") - F.col("v0")) * F.col("t")).alias("q"), F.col("n").cast("bigint").alias("n")
+        F.max("total").alias("_n"),
     )
+    value = F.col("v0") + (F.col("v1") - F.col("v0")) * F.col("t")
+    count = [] if "n" in keys else [F.col("_n").cast("bigint").alias("n")]
+    return got.select(*keys, "p", value.alias("q"), *count)
 
 
 def wide_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
