@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import ensemble as en, footprint as fp
+from ..sources.shared_table import materialize
 from ..streaming import incremental as inc
 from .footprint import SUB_SECONDS, SUBS, T_FIRST, sub_maps, sub_releases
 from .registry import cte, query
@@ -94,7 +95,8 @@ _CONV_D = {"overlap": 7, "d_peak_p50": 4, "d_peak_p90": 4, "d_centroid_p50": 3,
 
 
 def scores(t, reference="held-out"):
-    means, ref = en.draw_means(coarse_maps(t), en.draw_members(t.spark, DRAWS, SUBS), RUN, SUBS, DRAWS, reference)
+    means, ref = en.draw_means(materialize(coarse_maps(t), "submaps"), en.draw_members(t.spark, DRAWS, SUBS), RUN, SUBS, DRAWS, reference)
+    means, ref = materialize(means, "means"), materialize(ref, "reference")
     return en.draw_scores(means, ref, RUN, SUBS, EX, ERES)
 
 

@@ -295,19 +295,6 @@ WHERE r = 1""")
     {"was": 6, "now": 6, "diff": 6, "tol": 6},
 )
 def _(t):
-    from .shared import framed, half_maps, half
+    from ..plans import reports
 
-    w = weighted(t)
-    keys = ["run_id", "half"]
-    hp = fp.fy_metrics(fp.fy_histogram(w, fp.half_totals(framed(t)), keys, DOM), keys, DOM.dx)
-    h = hp.groupBy("run_id").agg(
-        F.max(F.when(F.col("half") == 1, F.col("peak_x"))).alias("p1"), F.max(F.when(F.col("half") == 2, F.col("peak_x"))).alias("p2")
-    )
-    maps, full = half_maps(t), static_map(t)
-    total = lambda f: f.groupBy("run_id").agg((F.sum("f") * DOM.area).alias("integral"))
-    base = h.select("run_id", F.col("p1").alias("peak_x")).join(total(half(maps, 1)), "run_id").join(fp.overlap(half(maps, 1), half(maps, 2), RUN), "run_id")
-    now = fp.fy_metrics(fy(t), RUN, DOM.dx).select("run_id", "peak_x").join(total(full), "run_id")
-    now = now.join(fp.overlap(full, rm.static_raster(params(t), DOM), RUN), "run_id")
-    names = ["peak_x", "integral", "overlap"]
-    b, c = compare.melt(base, RUN, names), compare.melt(now, RUN, names)
-    return compare.verdict(b, c, compare.tolerances(b, h.select("run_id", (F.col("p1") - F.col("p2")).alias("dpeak"))))
+    return reports.regression(t.touchdowns, t.releases, params(t), DOM)

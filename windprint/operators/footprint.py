@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
 from ..functions.geometry import Domain
-from .ordered import mass_threshold, top_sum
+from .ordered import mass_threshold, top_sum, with_threshold
 
 MARKS = (300.0, 450.0, 600.0, 750.0)
 DISP_FRACTIONS = (0.25, 0.5, 0.75, 1.0, 1.5, 2.0)
@@ -169,6 +169,12 @@ def fy_histogram(w: DataFrame, spine: DataFrame, keys: Sequence[str], dom: Domai
         .groupBy(*keys, "bin")
         .agg(F.sum("wt_f").alias("s"))
     )
+    return dense_fy(sums, spine, keys, dom)
+
+
+def dense_fy(sums: DataFrame, spine: DataFrame, keys: Sequence[str], dom: Domain) -> DataFrame:
+    """Fill missing bins with zero and scale sums to a density per metre."""
+    nfy = dom.nx
     bins = spine.select(*keys, "n_particles", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(2 * nfy - 1).cast("bigint"))).alias("bin"))
     return bins.join(sums, [*keys, "bin"], "left").select(
         *keys,
@@ -325,27 +331,103 @@ def frame_sweep(touchdowns: DataFrame, releases: DataFrame, dom: Domain, tbacks:
     )
 
 
+# ----------------------------------------------------------- one-pass account
+def accumulate(w: DataFrame, dom: Domain, marks: Sequence[float] = MARKS, t_back: float = 900.0) -> DataFrame:
+    """Every per-run sum of a footprint from ONE pass over the touchdowns.
+
+    Each touchdown fans out to tagged keys (kind, a, b): its four cells, its
+    upwind bin, the backward-time marks and displacement edges it counts for,
+    and its wrapped flag. All of them meet in a single grouped sum, so the
+    touchdown join runs once and the result is bounded by the grid.
+    """
+    nfy = dom.nx
+    u, v = F.col("xm") / dom.dx + dom.i_r, F.col("ym") / dom.dx + dom.j_r
+    p = w.select("run_id", "half", "wt_f", "wt_c", "x_up", "disp", "td_age", "wrapped", F.floor(u).alias("i0"), F.floor(v).alias("j0"), u.alias("u"), v.alias("v"))
+    p = p.withColumn("fx", F.col("u") - F.col("i0")).withColumn("fy", F.col("v") - F.col("j0"))
+    big = lambda c: c.cast("bigint")
+
+    def key(kind: str, a: Column, b: Column, part: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), big(a).alias("a"), big(b).alias("b"), part.cast("double").alias("part"))
+
+    zero, one = F.lit(0), F.lit(1.0)
+    cells = [
+        key("cell", F.pmod(F.col("j0") + dj, F.lit(dom.ny)), F.pmod(F.col("i0") + di, F.lit(dom.nx)), wi * wj)
+        for di, wi in ((0, 1.0 - F.col("fx")), (1, F.col("fx")))
+        for dj, wj in ((0, 1.0 - F.col("fy")), (1, F.col("fy")))
+    ]
+    top = (nfy + 0.5) * dom.dx
+    b = F.when(F.col("x_up") == top, F.lit(2 * nfy - 1)).otherwise(F.floor(F.col("x_up") / dom.dx - 0.5) + nfy)
+    bins = [key("fy", b, zero, one)]
+    ages = [F.when(F.col("td_age") <= m, key("age", F.lit(round(m)), zero, one)) for m in (*marks, t_back)]
+    disps = [F.when(F.col("disp") <= f * dom.length, key("disp", F.lit(n), zero, one)) for n, f in enumerate(DISP_FRACTIONS)]
+    rest = [key("all", zero, zero, one), F.when(F.col("wrapped"), key("wrap", zero, zero, one))]
+    keys = F.filter(F.array(*cells, *bins, *ages, *disps, *rest), lambda k: k.isNotNull())
+    return (
+        p.select("run_id", "half", "wt_f", "wt_c", F.explode(keys).alias("k"))
+        .groupBy("run_id", "half", "k.kind", "k.a", "k.b")
+        .agg(F.sum(F.col("wt_f") * F.col("k.part")).alias("flux"), F.sum(F.col("wt_c") * F.col("k.part")).alias("conc"), F.count(F.lit(1)).alias("n"))
+    )
+
+
+def account_cells(acc: DataFrame, by_half: bool = False) -> DataFrame:
+    """(run_id[, half], j, i, flux, conc) from an account."""
+    keys = ["run_id", "half"] if by_half else ["run_id"]
+    c = acc.where(F.col("kind") == "cell")
+    return c.groupBy(*keys, F.col("a").alias("j"), F.col("b").alias("i")).agg(F.sum("flux").alias("flux"), F.sum("conc").alias("conc"))
+
+
+def account_fy(acc: DataFrame, spine: DataFrame, keys: Sequence[str], dom: Domain) -> DataFrame:
+    """Dense crosswind-integrated curve from an account."""
+    sums = acc.where((F.col("kind") == "fy") & F.col("a").between(0, 2 * dom.nx - 1))
+    sums = sums.groupBy(*keys, F.col("a").alias("bin")).agg(F.sum("flux").alias("s"))
+    return dense_fy(sums, spine, keys, dom)
+
+
+def account_scalars(acc: DataFrame, totals: DataFrame) -> DataFrame:
+    """Integral, wrapped fraction and touchdown count per run from an account."""
+    pick = lambda kind, c: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col(c))), F.lit(0))
+    g = acc.where(F.col("kind").isin("all", "wrap")).groupBy("run_id").agg(
+        pick("all", "flux").alias("s"), pick("wrap", "flux").alias("sw"), pick("all", "conc").alias("sc"), pick("all", "n").alias("n_touchdown")
+    )
+    n = F.greatest("n_particles", F.lit(1))
+    return g.join(totals.select("run_id", "n_particles"), "run_id").select(
+        "run_id",
+        "n_particles",
+        "n_touchdown",
+        (F.col("s") / n).alias("integral_all"),
+        (F.col("sc") / n).alias("conc_all"),
+        (F.col("sw") / F.greatest("s", F.lit(1e-30))).alias("wrapped_fraction"),
+    )
+
+
 # -------------------------------------------------------------- map metrics
-def source_area(field: DataFrame, keys: Sequence[str], frac: float = 0.8, value: str = "f") -> DataFrame:
-    """Cells of the smallest set that holds ``frac`` of each key's total."""
-    thr = mass_threshold(field, keys, value, frac)
-    return field.join(thr.select(*keys, "thr"), list(keys)).where(F.col(value) >= F.col("thr"))
+def source_area(field: DataFrame, keys: Sequence[str], frac: float = 0.8, value: str = "f", bounded: bool = True) -> DataFrame:
+    """Cells of the smallest set that holds ``frac`` of each key's total.
+
+    A field made by the deposits above has at most ny * nx cells per key. Pass
+    ``bounded=False`` for fields of any size: the threshold then comes from
+    value-ordered buckets and no key is sorted in one task.
+    """
+    if not bounded:
+        thr = mass_threshold(field, keys, value, frac).select(*keys, "thr")
+        return field.join(thr, list(keys)).where(F.col(value) >= F.col("thr"))
+    return with_threshold(field, keys, {"thr": frac}, value).where(F.col(value) >= F.col("thr"))
 
 
 def map_metrics(field: DataFrame, keys: Sequence[str], dom: Domain) -> DataFrame:
-    """Centroid, bearing, peak cell and 80/50% areas of a north-up map."""
+    """Centroid, bearing, peak cell and 80/50% areas of a north-up map.
+
+    The thresholds and the closing aggregate share one shuffle by key.
+    """
     f, i, j = F.col("f"), F.col("i"), F.col("j")
-    base = field.groupBy(*keys).agg(
+    out = with_threshold(field.select(*keys, "j", "i", "f"), keys, {"t80": 0.8, "t50": 0.5}).groupBy(*keys).agg(
         F.sum("f").alias("tot"),
         F.sum(f * dom.xc(i)).alias("fe"),
         F.sum(f * dom.yc(j)).alias("fn"),
         F.min(F.struct((-f).alias("nf"), j, i)).alias("pk"),
+        F.count_if(f >= F.col("t80")).alias("area80"),
+        F.count_if(f >= F.col("t50")).alias("area50"),
     )
-    areas = []
-    for name, frac in (("area80", 0.8), ("area50", 0.5)):
-        a = source_area(field, keys, frac).groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
-        areas.append(a)
-    out = base.join(areas[0], list(keys), "left").join(areas[1], list(keys), "left")
     ok = F.col("tot") > 0
     e, n = F.col("fe") / F.when(ok, F.col("tot")), F.col("fn") / F.when(ok, F.col("tot"))
     return out.select(
@@ -354,9 +436,9 @@ def map_metrics(field: DataFrame, keys: Sequence[str], dom: Domain) -> DataFrame
         n.alias("centroid_n"),
         F.hypot(e, n).alias("centroid_dist"),
         geo.pmod_(F.degrees(F.atan2(e, n)), 360.0).alias("centroid_bearing"),
-        F.coalesce("area80", F.lit(0)).alias("area80_cells"),
-        (F.col("area80") * dom.area / 1e4).alias("area80_ha"),
-        (F.col("area50") * dom.area / 1e4).alias("area50_ha"),
+        F.col("area80").alias("area80_cells"),
+        F.when(ok, F.col("area80") * dom.area / 1e4).alias("area80_ha"),
+        F.when(ok, F.col("area50") * dom.area / 1e4).alias("area50_ha"),
         F.when(ok, dom.xc(F.col("pk.i"))).alias("peak_e"),
         F.when(ok, dom.yc(F.col("pk.j"))).alias("peak_n"),
         F.when(ok, -F.col("pk.nf")).alias("peak_value"),
@@ -372,25 +454,34 @@ def crosswind_sum(field: DataFrame, keys: Sequence[str], res: float, value: str
 def wind_metrics(field: DataFrame, keys: Sequence[str], x_edge: float, y_edge: float, res: float) -> DataFrame:
     """Peak, centroid and near/far extent of the 80% area on a wind-frame map."""
     xc, yc = x_edge + (F.col("i") + 0.5) * res, y_edge + (F.col("j") + 0.5) * res
-    mom = field.groupBy(*keys).agg(F.sum("f").alias("tot"), F.sum(F.col("f") * xc).alias("fx"), F.sum(F.col("f") * yc).alias("fyc"))
-    peak = crosswind_sum(field, keys, 1.0).groupBy(*keys).agg(F.min(F.struct((-F.col("fy")).alias("s"), "i"))["i"].alias("ip"))
-    area = source_area(field, keys, 0.8).groupBy(*keys).agg(
-        F.min(xc).alias("x80_near"), F.max(xc).alias("x80_far"), F.count(F.lit(1)).alias("area80_cells"), F.max("thr").alias("thr80")
+    inside = F.col("f") >= F.col("thr")
+    # columns of the map first: they carry everything the closing aggregate needs
+    cols = with_threshold(field.select(*keys, "j", "i", "f"), keys, {"thr": 0.8}).groupBy(*keys, "i").agg(
+        F.sum("f").alias("fy"),
+        F.sum(F.col("f") * yc).alias("fyc"),
+        F.count_if(inside).alias("n_in"),
+        F.max("thr").alias("thr"),
+    )
+    g = cols.groupBy(*keys).agg(
+        F.sum("fy").alias("tot"),
+        F.sum(F.col("fy") * xc).alias("fx"),
+        F.sum("fyc").alias("fyc"),
+        F.min(F.struct((-F.col("fy")).alias("s"), "i"))["i"].alias("ip"),
+        F.min(F.when(F.col("n_in") > 0, xc)).alias("x80_near"),
+        F.max(F.when(F.col("n_in") > 0, xc)).alias("x80_far"),
+        F.sum("n_in").alias("area80_cells"),
+        F.max("thr").alias("thr80"),
     )
     ok = F.when(F.col("tot") > 0, F.col("tot"))
-    return (
-        mom.join(peak, list(keys))
-        .join(area, list(keys), "left")
-        .select(
-            *keys,
-            F.when(ok.isNotNull(), x_edge + (F.col("ip") + 0.5) * res).alias("peak_x"),
-            (F.col("fx") / ok).alias("centroid_x"),
-            (F.col("fyc") / ok).alias("centroid_y"),
-            "x80_near",
-            "x80_far",
-            F.coalesce("area80_cells", F.lit(0)).alias("area80_cells"),
-            "thr80",
-        )
+    return g.select(
+        *keys,
+        F.when(ok.isNotNull(), x_edge + (F.col("ip") + 0.5) * res).alias("peak_x"),
+        (F.col("fx") / ok).alias("centroid_x"),
+        (F.col("fyc") / ok).alias("centroid_y"),
+        "x80_near",
+        "x80_far",
+        "area80_cells",
+        "thr80",
     )
 
 
@@ -413,14 +504,12 @@ def field_peak_centroid(field: DataFrame, keys: Sequence[str], x_edge: float, re
 def overlap(a: DataFrame, b: DataFrame, keys: Sequence[str], frac: float = 0.8) -> DataFrame:
     """Jaccard index of the two maps' source areas (negative cells clipped first)."""
 
-    def mask(f: DataFrame, name: str) -> DataFrame:
-        pos = f.select(*keys, "j", "i", F.greatest("f", F.lit(0.0)).alias("f"))
-        return source_area(pos, keys, frac).select(*keys, "j", "i", F.lit(1).alias(name))
+    def side(f: DataFrame, n: int) -> DataFrame:
+        return f.select(*keys, "j", "i", F.greatest("f", F.lit(0.0)).alias("f"), F.lit(n).alias("side"))
 
-    both = mask(a, "ma").join(mask(b, "mb"), [*keys, "j", "i"], "full_outer")
-    return both.groupBy(*keys).agg(
-        (F.count_if(F.col("ma").isNotNull() & F.col("mb").isNotNull()) / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("overlap")
-    )
+    both = source_area(side(a, 1).unionByName(side(b, 2)), [*keys, "side"], frac)
+    cells = both.groupBy(*keys, "j", "i").agg(F.count(F.lit(1)).alias("_hits"))
+    return cells.groupBy(*keys).agg((F.count_if(F.col("_hits") == 2) / F.count(F.lit(1))).alias("overlap"))
 
 
 def shape_l1(a: DataFrame, b: DataFrame, keys: Sequence[str], unit: bool = False) -> DataFrame:

@@ -111,6 +111,40 @@ def wide_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequen
     return long.groupBy(*keys).agg(F.max("n").alias("n"), *cols)
 
 
+def mass_threshold(df: DataFrame, keys: Sequence[str], value: str, frac: float) -> DataFrame:
+    """(keys, thr, total): value of the first row, in descending order, whose
+    running sum reaches ``frac`` of the total. Keys with total <= 0 are absent.
+    """
+    rows = bucketed(distinct_mass(df.withColumn("_w", F.col(value)), keys, value, "_w"), keys, descending=True)
+    off = bucket_offsets(rows, keys).where(F.col("total") > 0)
+    first = F.min(F.when(F.col("through") >= frac * F.col("total"), F.col("b"))).over(Window.partitionBy(*keys))
+    wanted = off.withColumn("b_hit", first).where(F.col("b") == F.coalesce("b_hit", "b"))
+    cand = _inside(rows, wanted, keys, True)
+    return cand.groupBy(*keys).agg(
+        F.coalesce(F.max(F.when(F.col("c1") >= frac * F.col("total"), F.col("v"))), F.min("v")).alias("thr"),
+        F.max("total").alias("total"),
+    )
+
+
+def with_threshold(field: DataFrame, keys: Sequence[str], fracs: dict[str, float], value: str = "f") -> DataFrame:
+    """Add, per name in ``fracs``, the value of the first cell in descending
+    order whose running sum reaches that share of the key's total (NULL where
+    the total is not positive). Equal cells are reached together.
+
+    For gridded fields: a key holds at most one raster (ny * nx cells, fixed by
+    the deposition), so one key is sorted in one task. Use
+    :func:`mass_threshold` for values without such a bound.
+    """
+    whole = Window.partitionBy(*keys)
+    down = whole.orderBy(F.col(value).desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    f = field.withColumn("_c", F.sum(value).over(down)).withColumn("_t", F.sum(value).over(whole))
+    for name, frac in fracs.items():
+        hit = F.when(F.col("_c") >= frac * F.col("_t"), F.col(value))
+        thr = F.coalesce(F.max(hit).over(whole), F.min(value).over(whole))
+        f = f.withColumn(name, F.when(F.col("_t") > 0, thr))
+    return f.drop("_c", "_t")
+
+
 def mass_threshold(df: DataFrame, keys: Sequence[str], value: str, frac: float) -> DataFrame:
     """(keys, thr, total): value of the first cell, in descending order, whose
     running sum reaches ``frac`` of the total. Keys with total <= 0 are absent.

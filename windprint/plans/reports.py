@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
 from ..functions.geometry import Domain
-from ..operators import climate
+from ..operators import climate, compare
 from ..operators import footprint as fp
 from ..operators import levels as lv
 from ..operators import rasters
 from ..operators import reference_model as rm
+from ..sources.shared_table import materialize
 
 
 def spinup_gate(cells: DataFrame, surface: DataFrame, dt: float) -> DataFrame:
@@ -64,28 +65,25 @@ def near_surface(cells: DataFrame, surface: DataFrame) -> DataFrame:
 def footprint_report(touchdowns: DataFrame, releases: DataFrame, params: DataFrame, dom: Domain) -> DataFrame:
     """Measured map and curve metrics next to the closed-form model, per run."""
     run = ["run_id"]
-    frames = fp.release_frames(releases)
+    frames = materialize(fp.release_frames(releases), "frames")
     framed = fp.framed_releases(releases, frames)
-    w = fp.weigh(touchdowns, framed, dom)
-    # one deposition by half serves the full map too: both are sums of the same cells
-    cells = fp.deposit_static(w, dom, ["run_id", "half"])
-    whole = cells.groupBy("run_id", "j", "i").agg(F.sum("flux").alias("flux"), F.sum("conc").alias("conc"))
-    full = fp.density(whole, frames, run, dom.area)
-    halves = fp.density(cells, fp.half_totals(framed), ["run_id", "half"], dom.area)
+    # the touchdown join runs once; everything below reads the bounded account
+    acc = materialize(fp.accumulate(fp.weigh(touchdowns, framed, dom), dom), "account")
+    full = fp.density(fp.account_cells(acc), frames, run, dom.area)
+    halves = fp.density(fp.account_cells(acc, True), fp.half_totals(framed), ["run_id", "half"], dom.area)
     first, second = (halves.where(F.col("half") == n).drop("half") for n in (1, 2))
-    model = rm.static_raster(params, dom)
+    model = materialize(rm.static_raster(params, dom), "model")
     mm = fp.map_metrics(full, run, dom).select("run_id", "area80_ha", "centroid_dist", "centroid_bearing", F.col("integral").alias("integral_les"))
-    fm = fp.fy_metrics(fp.fy_histogram(w, frames, run, dom), run, dom.dx).select("run_id", "peak_x", "x80")
+    fm = fp.fy_metrics(fp.account_fy(acc, frames, run, dom), run, dom.dx).select("run_id", "peak_x", "x80")
     kl = model.groupBy("run_id").agg((F.sum("f") * dom.area).alias("integral_kljun"))
     out = (
-        frames.select("run_id", "n_particles")
+        fp.account_scalars(acc, frames)
         .join(mm, "run_id")
         .join(kl, "run_id")
         .join(fm, "run_id")
         .join(rm.peaks(params).select("run_id", F.col("x_max").alias("peak_kljun")), "run_id")
         .join(fp.overlap(full, model, run).withColumnRenamed("overlap", "overlap_kljun"), "run_id", "left")
         .join(fp.overlap(first, second, run).withColumnRenamed("overlap", "overlap_halves"), "run_id", "left")
-        .join(fp.wrapped_fraction(w).select("run_id", "wrapped_fraction"), "run_id")
     )
     return out.select(
         "run_id",
@@ -156,3 +154,52 @@ def precision_ab(full: DataFrame, coarse: DataFrame, dom: Domain) -> DataFrame:
     tot = lambda f, n: f.groupBy(*run).agg((F.sum("f") * dom.area).alias(n))
     j = fp.overlap(coarse, full, run).join(l1, run).join(tot(full, "a"), run).join(tot(coarse, "b"), run)
     return j.select("run_id", "overlap", "l1", (F.col("b") - F.col("a")).alias("d_integral"))
+
+
+def compute_footprint(touchdowns: DataFrame, releases: DataFrame, surface: DataFrame | None, dom: Domain, w_floor: float = 0.02) -> dict[str, DataFrame]:
+    """Everything one averaging window yields, as tables keyed by run.
+
+    Two passes over the touchdowns at most: the account, and the per-cell
+    cover sums when a surface is given.
+    """
+    run = ["run_id"]
+    frames = materialize(fp.release_frames(releases), "frames")
+    framed = fp.framed_releases(releases, frames)
+    w = fp.weigh(touchdowns, framed, dom, w_floor)
+    acc = materialize(fp.accumulate(w, dom), "account")
+    sums = acc.where(F.col("kind").isin("age", "disp")).groupBy("run_id", "kind", "a").agg(F.sum("flux").alias("s"))
+    sums = sums.join(frames.select("run_id", "n_particles"), "run_id").withColumn("integral", F.col("s") / F.greatest("n_particles", F.lit(1)))
+    edges = F.element_at(F.array(*[F.lit(f) for f in fp.DISP_FRACTIONS]), (F.col("a") + 1).cast("int"))
+    out = {
+        "frames": frames,
+        "map": fp.density(fp.account_cells(acc), frames, run, dom.area),
+        "concentration": fp.density(fp.account_cells(acc), frames, run, dom.area, "conc"),
+        "halves": fp.density(fp.account_cells(acc, True), fp.half_totals(framed), ["run_id", "half"], dom.area),
+        "fy": fp.account_fy(acc, frames, run, dom),
+        "fy_halves": fp.account_fy(acc, fp.half_totals(framed), ["run_id", "half"], dom),
+        "capture": sums.where(F.col("kind") == "age").select("run_id", F.col("a").cast("double").alias("mark"), "integral"),
+        "by_disp": sums.where(F.col("kind") == "disp").select("run_id", edges.alias("frac_of_lx"), "integral"),
+        "scalars": fp.account_scalars(acc, frames),
+    }
+    if surface is not None:
+        out["cover"] = fp.cover_share(w, surface)
+    return out
+
+
+def regression(touchdowns: DataFrame, releases: DataFrame, params: DataFrame, dom: Domain) -> DataFrame:
+    """First half as baseline, whole window as candidate, half difference as tolerance."""
+    run, keys = ["run_id"], ["run_id", "half"]
+    parts = compute_footprint(touchdowns, releases, None, dom)
+    maps = parts["halves"]
+    first, second = (maps.where(F.col("half") == n).drop("half") for n in (1, 2))
+    peaks = fp.fy_metrics(parts["fy_halves"], keys, dom.dx)
+    h = peaks.groupBy("run_id").agg(*[F.max(F.when(F.col("half") == n, F.col("peak_x"))).alias(f"p{n}") for n in (1, 2)])
+    h = materialize(h, "half-peaks")
+    total = lambda f: f.groupBy("run_id").agg((F.sum("f") * dom.area).alias("integral"))
+    base = h.select("run_id", F.col("p1").alias("peak_x")).join(total(first), run).join(fp.overlap(first, second, run), run)
+    now = fp.fy_metrics(parts["fy"], run, dom.dx).select("run_id", "peak_x").join(total(parts["map"]), run)
+    now = now.join(fp.overlap(parts["map"], rm.static_raster(params, dom), run), run)
+    names = ["peak_x", "integral", "overlap"]
+    was = materialize(compare.melt(base, run, names), "baseline")
+    tol = compare.tolerances(was, h.select("run_id", (F.col("p1") - F.col("p2")).alias("dpeak")))
+    return compare.verdict(was, compare.melt(now, run, names), tol)

@@ -8,8 +8,6 @@ every group. One stateful aggregate per query, metrics are finished in batch.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,20 +17,7 @@ from pyspark.sql import types as T
 from ..functions.geometry import Domain
 from ..operators import footprint as fp
 from ..operators.levels import gate_status
-
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the cluster's checkpoint folder.
-
-    Only where the session names none (single-machine tests) is a local
-    temporary folder used.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a shared folder")
-        root = tempfile.mkdtemp(prefix="windprint-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from ..sources.shared_table import shared_folder  # noqa: F401
 
 
 def stream_parquet(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int | None = None) -> DataFrame:
