@@ -48,8 +48,8 @@ cte("fx_pixel_blocks", """
 SELECT *, (j // 8 + (i // 8)*3) % 6 AS blk FROM fx_pixel_keys""")
 cte("fx_pixels", """
 SELECT l_orderkey // 15000 AS site, j, i,
-  CASE WHEN blk = 3 THEN 250.0::DOUBLE + l_tax/10.0::DOUBLE
-       ELSE 251.0::DOUBLE + l_extendedprice/5000.0::DOUBLE + j/8.0::DOUBLE END AS elevation,
+  CASE WHEN blk = 3 THEN 250.0::DOUBLE + l_tax/11.0::DOUBLE
+       ELSE 251.0::DOUBLE + l_extendedprice/4999.0::DOUBLE + j/8.0::DOUBLE END AS elevation,
   [40, 10, 30, 80, 50, 90][1 + CASE WHEN blk = 3 OR q % 3 <> 0 THEN blk ELSE (blk + q) % 6 END] AS lcclass
 FROM fx_pixel_blocks""")
 

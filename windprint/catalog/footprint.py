@@ -82,13 +82,14 @@ cte("map_peak", """
 SELECT run_id, f AS peak_value, (i-32)*24.0 AS peak_e, (j-32)*24.0 AS peak_n FROM (
   SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY f DESC, j, i) AS r FROM fmap) WHERE r = 1""")
 cte("map_metrics_sql", """
-SELECT run_id, fe/tot AS centroid_e, fn/tot AS centroid_n, sqrt((fe/tot)*(fe/tot) + (fn/tot)*(fn/tot)) AS centroid_dist,
-  (degrees(atan2(fe/tot, fn/tot)) + 360) % 360 AS centroid_bearing,
-  n80 AS area80_cells, n80*576.0::DOUBLE/1e4 AS area80_ha, n50*576.0::DOUBLE/1e4 AS area50_ha,
-  peak_e::DOUBLE AS peak_e, peak_n::DOUBLE AS peak_n, peak_value, tot*576.0::DOUBLE AS integral
-FROM map_base JOIN map_peak USING (run_id)
-JOIN (SELECT run_id, count(*) AS n80 FROM area80 GROUP BY 1) USING (run_id)
-JOIN (SELECT run_id, count(*) AS n50 FROM area50 GROUP BY 1) USING (run_id)""")
+SELECT run_id, fe/tp AS centroid_e, fn/tp AS centroid_n, sqrt((fe/tp)*(fe/tp) + (fn/tp)*(fn/tp)) AS centroid_dist,
+  (degrees(atan2(fe/tp, fn/tp)) + 360) % 360 AS centroid_bearing,
+  coalesce(n80, 0) AS area80_cells, n80*576.0::DOUBLE/1e4 AS area80_ha, n50*576.0::DOUBLE/1e4 AS area50_ha,
+  CASE WHEN tot > 0 THEN peak_e END::DOUBLE AS peak_e, CASE WHEN tot > 0 THEN peak_n END::DOUBLE AS peak_n, CASE WHEN tot > 0 THEN peak_value END AS peak_value,
+  tot*576.0::DOUBLE AS integral
+FROM (SELECT *, CASE WHEN tot > 0 THEN tot END AS tp FROM map_base) JOIN map_peak USING (run_id)
+LEFT JOIN (SELECT run_id, count(*) AS n80 FROM area80 GROUP BY 1) USING (run_id)
+LEFT JOIN (SELECT run_id, count(*) AS n50 FROM area50 GROUP BY 1) USING (run_id)""")
 MAP_DIGITS = {
     "centroid_e": 4,
     "centroid_n": 4,
@@ -135,8 +136,10 @@ def wind_map(t, keys=RUN, totals=None, w=None):
     col AS (SELECT run_id, i, sum(f) AS fy FROM wmap GROUP BY ALL),
     pk AS (SELECT run_id, -570.0 + i*60 AS peak_x FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY fy DESC, i) AS r FROM col) WHERE r = 1),
     mo AS (SELECT run_id, sum(f*(-570.0 + i*60))/sum(f) AS centroid_x, sum(f*(-1470.0 + j*60))/sum(f) AS centroid_y FROM wmap GROUP BY 1)
-    SELECT run_id, peak_x::DOUBLE AS peak_x, centroid_x, centroid_y, x80_near::DOUBLE AS x80_near, x80_far::DOUBLE AS x80_far, area80_cells, thr80
-    FROM pk JOIN mo USING (run_id) JOIN ar USING (run_id)""",
+    SELECT run_id, CASE WHEN t > 0 THEN peak_x END::DOUBLE AS peak_x, CASE WHEN t > 0 THEN centroid_x END AS centroid_x, CASE WHEN t > 0 THEN centroid_y END AS centroid_y,
+      CASE WHEN t > 0 THEN x80_near END::DOUBLE AS x80_near, CASE WHEN t > 0 THEN x80_far END::DOUBLE AS x80_far, CASE WHEN t > 0 THEN area80_cells ELSE 0 END AS area80_cells,
+      CASE WHEN t > 0 THEN thr80 END AS thr80
+    FROM pk JOIN mo USING (run_id) LEFT JOIN ar USING (run_id) JOIN (SELECT run_id, sum(f) AS t FROM wmap GROUP BY run_id) USING (run_id)""",
     {"centroid_x": 4, "centroid_y": 4, "thr80": 12},
 )
 def _(t):
@@ -383,7 +386,7 @@ def variant_maps(t):
       CASE WHEN sum(f) > 0 THEN any_value(peak_e)::DOUBLE END AS peak_e, CASE WHEN sum(f) > 0 THEN any_value(peak_n)::DOUBLE END AS peak_n,
       sum(f)*576.0 AS integral
     FROM f JOIN p USING (run_id, w_floor) JOIN a USING (run_id, w_floor) GROUP BY run_id, w_floor""",
-    {"centroid_e": 4, "centroid_n": 4, "area80_ha": 4, "integral": 6},
+    {"centroid_e": 2, "centroid_n": 2, "area80_ha": 4, "integral": 6},
 )
 def _(t):
     m = fp.map_metrics(variant_maps(t), ["run_id", "w_floor"], DOM)

@@ -281,15 +281,23 @@ SELECT run_id, half, CASE WHEN tot > 0 THEN xc END AS peak_x FROM (
 WHERE r = 1""")
 
 
+cte("h1_area", """
+SELECT run_id, j, i FROM (SELECT *, min(CASE WHEN c >= 0.8*tot THEN ord END) OVER (PARTITION BY run_id) AS hit FROM (
+  SELECT *, sum(f) OVER (PARTITION BY run_id ORDER BY f DESC RANGE UNBOUNDED PRECEDING) AS c, dense_rank() OVER (PARTITION BY run_id ORDER BY f DESC) AS ord,
+    sum(f) OVER (PARTITION BY run_id) AS tot FROM fmap_half WHERE half = 1)) WHERE ord <= hit AND tot > 0""")
+
+
 @query(
     "regression_verdict",
     """WITH pk AS (SELECT run_id, xc AS px FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY sm DESC, bin) AS r FROM fy_sm) WHERE r = 1),
     pkf AS (SELECT run_id, CASE WHEN integral > 0 THEN px END AS px FROM pk JOIN fy_x80 USING (run_id)),
     h AS (SELECT run_id, max(CASE WHEN half = 1 THEN peak_x END) AS p1, max(CASE WHEN half = 2 THEN peak_x END) AS p2 FROM fy_half_pk GROUP BY run_id),
     h1 AS (SELECT run_id, sum(f)*576 AS int1 FROM fmap_half WHERE half = 1 GROUP BY run_id),
-    cur AS (SELECT run_id, 'peak_x' AS metric, px::DOUBLE AS now FROM pkf UNION ALL SELECT run_id, 'integral', integral FROM map_metrics_sql UNION ALL SELECT run_id, 'overlap', overlap FROM kl_overlap),
-    bas AS (SELECT run_id, 'peak_x' AS metric, p1::DOUBLE AS was FROM h UNION ALL SELECT run_id, 'integral', int1 FROM h1 UNION ALL SELECT run_id, 'overlap', overlap FROM half_overlap),
-    j AS (SELECT run_id, metric, was, now, CASE metric WHEN 'peak_x' THEN greatest(2.5*abs(coalesce(p1 - p2, 0)), 48.0) WHEN 'integral' THEN 0.08 ELSE 0.15 END::DOUBLE AS tol
+    cur AS (SELECT run_id, 'peak_x' AS metric, px::DOUBLE AS now FROM pkf UNION ALL SELECT run_id, 'integral', integral FROM map_metrics_sql UNION ALL SELECT run_id, 'overlap', overlap FROM kl_overlap
+      UNION ALL SELECT run_id, 'area80_ha', area80_ha FROM map_metrics_sql),
+    bas AS (SELECT run_id, 'peak_x' AS metric, p1::DOUBLE AS was FROM h UNION ALL SELECT run_id, 'integral', int1 FROM h1 UNION ALL SELECT run_id, 'overlap', overlap FROM half_overlap
+      UNION ALL SELECT run_id, 'area80_ha', n80*576.0::DOUBLE/1e4 FROM h1 LEFT JOIN (SELECT run_id, count(*) AS n80 FROM h1_area GROUP BY run_id) USING (run_id)),
+    j AS (SELECT run_id, metric, was, now, CASE metric WHEN 'peak_x' THEN greatest(2.5*abs(coalesce(p1 - p2, 0)), 48.0) WHEN 'integral' THEN 0.08 WHEN 'area80_ha' THEN greatest(0.35*was, 5) ELSE 0.15 END::DOUBLE AS tol
       FROM bas FULL OUTER JOIN cur USING (run_id, metric) JOIN h USING (run_id))
     SELECT run_id, metric, was, now, now - was AS diff, tol, CASE WHEN coalesce(abs(now - was) <= tol, false) THEN 'ok' ELSE 'CHANGED' END AS status FROM j""",
     {"was": 6, "now": 6, "diff": 6, "tol": 6},

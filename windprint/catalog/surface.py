@@ -16,7 +16,7 @@ def elevation(t):
     return rasters.resample_mean(t.pixels, KEY, "elevation")
 
 
-@query("resample_avg", "SELECT site, j, i, mean, spread, n_pixels FROM elev", {"mean": 9, "spread": 7})
+@query("resample_avg", "SELECT site, j, i, mean, spread, n_pixels FROM elev", {"mean": 7, "spread": 7})
 def _(t):
     return elevation(t)
 
@@ -51,12 +51,12 @@ def _(t):
     )
 
 
-@query("taper", "SELECT site, j, i, datum, topo FROM tapered", {"datum": 6, "topo": 6})
+@query("taper", "SELECT site, j, i, datum, topo FROM tapered", {"datum": 7, "topo": 7})
 def _(t):
     return rasters.taper_terrain(elevation(t), ["site"], "mean", DOM, 8).select(*KEY, "datum", "topo")
 
 
-@query("smooth121", "SELECT site, j, i, topo FROM smooth_i", {"topo": 6})
+@query("smooth121", "SELECT site, j, i, topo FROM smooth_i", {"topo": 7})
 def _(t):
     topo = rasters.taper_terrain(elevation(t), ["site"], "mean", DOM, 8).select(*KEY, "topo")
     return rasters.smooth121(topo, ["site"], "topo", 1)
@@ -99,7 +99,7 @@ SELECT e.*, coalesce(spread < 0.02 AND abs(mean - level) < 1, false) AS water, l
 LEFT JOIN (SELECT site, median(mean) AS level FROM elev WHERE spread < 0.02 GROUP BY site) l ON l.site = e.site""")
 
 
-@query("water_mask", "SELECT site, j, i, mean, level, water FROM water_cells", {"mean": 9, "level": 9})
+@query("water_mask", "SELECT site, j, i, mean, level, water FROM water_cells", {"mean": 7, "level": 7})
 def _(t):
     return rasters.water_from_spread(elevation(t), ["site"]).select(*KEY, "mean", "level", "water")
 
@@ -150,7 +150,7 @@ SELECT *, least(greatest(CAST(floor(fi) AS BIGINT), 0), 62) AS i0, least(greates
     """SELECT p.site, pid, (1 - (fj-j0))*(1 - (fi-i0))*a.mean + (1 - (fj-j0))*(fi-i0)*b.mean + (fj-j0)*(1 - (fi-i0))*c.mean + (fj-j0)*(fi-i0)*d.mean AS mean
     FROM pt_ext p JOIN elev a ON a.site = p.site AND a.j = j0 AND a.i = i0 JOIN elev b ON b.site = p.site AND b.j = j0 AND b.i = i0 + 1
     JOIN elev c ON c.site = p.site AND c.j = j0 + 1 AND c.i = i0 JOIN elev d ON d.site = p.site AND d.j = j0 + 1 AND d.i = i0 + 1""",
-    {"mean": 6},
+    {"mean": 7},
 )
 def _(t):
     axes = [Axis("fj", "j", DOM.ny, "extrapolate"), Axis("fi", "i", DOM.nx, "extrapolate")]
@@ -194,7 +194,7 @@ SELECT run_id, site, n, d, ((CAST(round_even(32 + d*sin(radians(wdir))/24, 0) AS
 cte("tran", "SELECT r.run_id, r.n, r.d, topo, z0m, lcclass FROM ray r JOIN srf s ON s.site = r.site AND s.j = r.j AND s.i = r.i")
 
 
-@query("transect", "SELECT * FROM tran", {"topo": 6, "z0m": 6})
+@query("transect", "SELECT * FROM tran", {"topo": 7, "z0m": 6})
 def _(t):
     return rasters.transect(rays(t), surface(t), DOM, RMAX).select("run_id", "n", "d", "topo", "z0m", "lcclass")
 
@@ -288,7 +288,7 @@ def _(t):
     return c.select("run_id", "j", "i", x.alias("x"), y.alias("y"))
 
 
-@query("surface_build", 'SELECT site, j, i, topo, z0m, ht_flux, water, "array", lcclass FROM srf', {"topo": 6, "z0m": 6, "ht_flux": 6})
+@query("surface_build", 'SELECT site, j, i, topo, z0m, ht_flux, water, "array", lcclass FROM srf', {"topo": 7, "z0m": 6, "ht_flux": 6})
 def _(t):
     return surface(t).select(*KEY, "topo", "z0m", "ht_flux", "water", "array", "lcclass")
 

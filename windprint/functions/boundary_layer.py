@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .kljun import KAPPA, psi_from_ratio
+from .kljun import KAPPA, chi_of, psi_from_chi, psi_from_ratio
 from .numeric import clip, isfinite
 
 GRAVITY = 9.81
@@ -46,27 +46,29 @@ def obukhov(ustar: Column, theta: Column, wth: Column, floor: float = 1e-6) -> C
     )
 
 
-def solve_ustar(u10: Column, wth: Column, theta: Column, z0: float = 0.05, rounds: int = 12) -> Column:
-    """struct(us, L): joint friction velocity and Obukhov length.
+def with_ustar(df: DataFrame, u10: str, wth: str, theta: str, z0: float = 0.05, rounds: int = 12) -> DataFrame:
+    """Add us and L: joint friction velocity and Obukhov length.
 
-    A native higher-order fold: each row repeats the fixed point ``rounds``
-    times without unrolling the expression.
+    The fixed point is written as one select whose columns refer to earlier
+    ones, so every round is a generated projection evaluated once per row. The
+    one-element inline at the end keeps later filters and expressions on us and
+    L from being pushed down into copies of the whole chain.
     """
     log10z = math.log(10.0 / z0)
-
-    def step(acc: Column, _: Column) -> Column:
-        us = F.greatest(acc["us"], F.lit(1e-3))
-        length = F.when(
-            F.abs(wth) > 1e-6, F.try_divide(-(us * us * us) * theta, KAPPA * GRAVITY * wth)
-        )
-        length = F.coalesce(length, F.lit(1e9))
-        zl = clip(10.0 / length, -2.0, 1.0)
-        return F.struct(
-            (KAPPA * u10 / F.greatest(log10z - psi_from_ratio(zl), F.lit(0.5))).alias("us"), length.alias("L")
-        )
-
-    start = F.struct((KAPPA * u10 / log10z).alias("us"), F.lit(1e9).alias("L"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step)
+    cols = [(KAPPA * F.col(u10) / log10z).alias("_us0")]
+    for n in range(1, rounds + 1):
+        us, ln, zl, chi = (f"_{c}{n}" for c in ("us", "ln", "zl", "chi"))
+        prev = F.greatest(F.col(f"_us{n - 1}"), F.lit(1e-3))
+        length = F.when(F.abs(wth) > 1e-6, F.try_divide(-F.pow(prev, F.lit(3.0)) * F.col(theta), KAPPA * GRAVITY * F.col(wth)))
+        cols += [
+            F.coalesce(length, F.lit(1e9)).alias(ln),
+            clip(10.0 / F.col(ln), -2.0, 1.0).alias(zl),
+            chi_of(F.col(zl)).alias(chi),
+            (KAPPA * F.col(u10) / F.greatest(log10z - psi_from_chi(F.col(zl), F.col(chi)), F.lit(0.5))).alias(us),
+        ]
+    last = F.struct(F.col(f"_us{rounds}").alias("us"), F.col(f"_ln{rounds}").alias("L"))
+    out = df.select("*", *cols)
+    return out.select(*df.columns, F.inline(F.array(last)))
 
 
 def profile_wind(us: Column, L: Column, zm: float = 30.0, z0: float = 0.05) -> Column:

@@ -16,13 +16,20 @@ AC, BC, CC = 2.17, 1.66, 20.0
 XSTAR_MAX = -C / B + D
 
 
-def psi_from_ratio(zl: Column) -> Column:
-    """Integrated stability correction as a function of z/L."""
-    chi = F.pow(F.greatest(1.0 - 19.0 * zl, F.lit(0.0)), F.lit(0.25))
+def chi_of(zl: Column) -> Column:
+    return F.pow(F.greatest(1.0 - 19.0 * zl, F.lit(0.0)), F.lit(0.25))
+
+
+def psi_from_chi(zl: Column, chi: Column) -> Column:
     unstable = F.ln((1.0 + chi * chi) / 2.0) + 2.0 * F.ln((1.0 + chi) / 2.0) - 2.0 * F.atan(chi) + math.pi / 2.0
     return F.when(zl > 0, -5.3 * zl).when(zl < 0, unstable).otherwise(0.0)
 
 
+def psi_from_ratio(zl: Column) -> Column:
+    """Integrated stability correction as a function of z/L."""
+    return psi_from_chi(zl, chi_of(zl))
+
+
 def near_neutral(L: Column) -> Column:
     return ~isfinite(L) | (F.abs(L) > 1e5)
 

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import boundary_layer as bl
 from ..functions import geometry as geo
 from ..functions.numeric import isfinite
-from .ordered import exact_quantiles
+from ..sources.shared_table import materialize
+from .ordered import distinct_mass, mass_quantiles
 
 PROBS = (0.05, 0.25, 0.50, 0.75, 0.95, 0.99)
 
@@ -57,9 +58,7 @@ def derive(hourly: DataFrame, cos_a: Column, sin_a: Column, zm: float = 30.0, z0
             **hour_parts(F.col("time_hours")),
         }
     )
-    # a one-element inline keeps the optimizer from copying the fixed point into
-    # every later expression and filter that mentions us or L
-    d = d.select("*", F.inline(F.array(bl.solve_ustar(F.col("u10m"), F.col("wth"), F.col("tk"), z0))))
+    d = bl.with_ustar(d, "u10m", "wth", "tk", z0)
     return d.withColumns(
         {
             "u30": bl.profile_wind(F.col("us"), F.col("L"), zm, z0),
@@ -77,13 +76,21 @@ def _long(df: DataFrame, keys: Sequence[str], variables: Sequence[str]) -> DataF
     return df.select(*keys, F.explode(rows).alias("r")).select(*keys, "r.var", "r.x").where(isfinite(F.col("x")))
 
 
+def _value_table(df: DataFrame, keys: Sequence[str], variables: Sequence[str]) -> DataFrame:
+    """Distinct values with their counts, kept as a table.
+
+    The derivation runs once; counts, means and quantiles all read this.
+    """
+    return materialize(distinct_mass(_long(df, keys, variables), [*keys, "var"], "x"), "values")
+
+
 def percentiles(df: DataFrame, keys: Sequence[str], variables: Sequence[str], probs: Sequence[float] = PROBS) -> DataFrame:
     """Exact percentile line per (keys, var): count, mean and one column per prob."""
-    long = _long(df, keys, variables)
     on = [*keys, "var"]
-    q = exact_quantiles(long, on, "x", probs)
+    mass = _value_table(df, keys, variables)
+    q = mass_quantiles(mass, on, probs)
     wide = q.groupBy(*on).agg(*[F.max(F.when(F.col("p") == float(p), F.col("q"))).alias(f"p{round(100 * p):d}") for p in probs])
-    mean = long.groupBy(*on).agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"))
+    mean = mass.groupBy(*on).agg(F.sum("m").cast("bigint").alias("n"), (F.sum(F.col("v") * F.col("m")) / F.sum("m")).alias("mean"))
     return mean.join(wide, on)
 
 
@@ -94,11 +101,12 @@ def with_groups(derived: DataFrame) -> DataFrame:
 
 def stability_table(derived: DataFrame, keys: Sequence[str] = ("site",)) -> DataFrame:
     """Share of every stability class and its exact medians."""
-    good = derived.where("qc")
-    n = good.groupBy(*keys, "cls").agg(F.count(F.lit(1)).alias("n"))
-    tot = n.groupBy(*keys).agg(F.sum("n").alias("total"))
     on = [*keys, "cls"]
-    med = exact_quantiles(_long(good, on, ["pblh", "us", "wth"]), [*on, "var"], "x", [0.5])
+    mass = _value_table(derived.where("qc"), on, ["pblh", "us", "wth"])
+    # every accepted hour has a finite pblh, so its mass is the class count
+    n = mass.where(F.col("var") == "pblh").groupBy(*on).agg(F.sum("m").cast("bigint").alias("n"))
+    tot = n.groupBy(*keys).agg(F.sum("n").alias("total"))
+    med = mass_quantiles(mass, [*on, "var"], [0.5])
     wide = med.groupBy(*on).agg(*[F.max(F.when(F.col("var") == v, F.col("q"))).alias(f"{v}_p50") for v in ("pblh", "us", "wth")])
     return n.join(tot, list(keys)).join(wide, on).select(*on, "n", (100.0 * F.col("n") / F.col("total")).alias("pct"), "pblh_p50", "us_p50", "wth_p50")
 

@@ -220,7 +220,7 @@ def fy_metrics(fy: DataFrame, keys: Sequence[str], res: float) -> DataFrame:
 def capture_curve(w: DataFrame, totals: DataFrame, dom: Domain, marks: Sequence[float] = MARKS, t_back: float = 900.0) -> DataFrame:
     """The estimator truncated at shorter backward times, with curve metrics."""
     all_marks = F.array(*[F.lit(float(m)) for m in (*marks, t_back)])
-    m = w.select("run_id", "wt_f", "x_up", F.explode(F.filter(all_marks, lambda a: F.col("td_age") <= a)).alias("mark"))
+    m = w.select("run_id", "wt_f", "x_up", "td_age", F.explode(all_marks).alias("mark")).where(F.col("td_age") <= F.col("mark"))
     spine = totals.select("run_id", "n_particles", F.explode(all_marks).alias("mark"))
     keys = ["run_id", "mark"]
     shape = fy_metrics(fy_histogram(m, spine, keys, dom), keys, dom.dx).drop("integral", "mean_x")
@@ -301,14 +301,15 @@ def frame_sweep(touchdowns: DataFrame, releases: DataFrame, dom: Domain, tbacks:
     """
     marks = F.array(*[F.lit(float(t)) for t in tbacks])
     keys = ["run_id", "t_back"]
-    rel = releases.select("*", F.explode(F.filter(marks, lambda m: F.col("t_release") >= m)).alias("t_back"))
+    rel = releases.select("*", F.explode(marks).alias("t_back")).where(F.col("t_release") >= F.col("t_back"))
     frames = release_frames(rel, keys)
     j = touchdowns.join(releases.select("run_id", "particle", "t_release", "rel_u", "rel_v", "rel_w"), ["run_id", "particle"])
     j = j.withColumn("s", contact_weight(F.col("td_w"), w_floor))
     far = (F.abs(F.col("td_x") - dom.xr) > dom.length).cast("double")
-    live = F.filter(marks, lambda m: (F.col("t_release") >= m) & (F.col("td_age") <= m))
+    live = (F.col("t_release") >= F.col("t_back")) & (F.col("td_age") <= F.col("t_back"))
     sums = (
-        j.select("run_id", "s", "rel_u", "rel_v", "rel_w", far.alias("far"), F.explode(live).alias("t_back"))
+        j.select("run_id", "s", "rel_u", "rel_v", "rel_w", "t_release", "td_age", far.alias("far"), F.explode(marks).alias("t_back"))
+        .where(live)
         .groupBy(*keys)
         .agg(
             F.sum("s").alias("s"),
@@ -361,9 +362,10 @@ def accumulate(w: DataFrame, dom: Domain, marks: Sequence[float] = MARKS, t_back
     ages = [F.when(F.col("td_age") <= m, key("age", F.lit(round(m)), zero, one)) for m in (*marks, t_back)]
     disps = [F.when(F.col("disp") <= f * dom.length, key("disp", F.lit(n), zero, one)) for n, f in enumerate(DISP_FRACTIONS)]
     rest = [key("all", zero, zero, one), F.when(F.col("wrapped"), key("wrap", zero, zero, one))]
-    keys = F.filter(F.array(*cells, *bins, *ages, *disps, *rest), lambda k: k.isNotNull())
+    keys = F.array(*cells, *bins, *ages, *disps, *rest)
     return (
         p.select("run_id", "half", "wt_f", "wt_c", F.explode(keys).alias("k"))
+        .where(F.col("k").isNotNull())
         .groupBy("run_id", "half", "k.kind", "k.a", "k.b")
         .agg(F.sum(F.col("wt_f") * F.col("k.part")).alias("flux"), F.sum(F.col("wt_c") * F.col("k.part")).alias("conc"), F.count(F.lit(1)).alias("n"))
     )

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,17 +43,22 @@ class Axis:
 
 
 def corner_rows(points: DataFrame, keys: Sequence[str], pid: str, axes: Sequence[Axis]) -> DataFrame:
-    """One row per (point, corner) with a non-zero weight."""
-    per_axis = [a.corners() for a in axes]
-    combos = []
-    for pick in product((0, 1), repeat=len(axes)):
-        w = None
-        for ax, b in zip(per_axis, pick):
-            w = ax[b][1] if w is None else w * ax[b][1]
-        combos.append(F.struct(*[per_axis[n][b][0].cast("bigint").alias(a.index) for n, (a, b) in enumerate(zip(axes, pick))], w.alias("w")))
-    some = F.filter(F.array(*combos), lambda c: c["w"] != 0.0)
-    out = points.select(*keys, pid, F.explode(some).alias("_c"))
-    return out.select(*keys, pid, *[F.col(f"_c.{a.index}").alias(a.index) for a in axes], F.col("_c.w").alias("_w"))
+    """One row per (point, corner) with a non-zero weight.
+
+    Axes are split one after the other, two small structs at a time: a point on
+    a grid plane never fans out along that axis, and each generated method
+    stays small enough for the JIT.
+    """
+    later = dict.fromkeys(c for a in axes for c in (a.coord, a.size) if isinstance(c, str))
+    out = points.select(*keys, pid, *later, F.lit(1.0).alias("_w"))
+    done: list[str] = []
+    for n, a in enumerate(axes):
+        pair = F.array(*[F.struct(i.cast("bigint").alias("i"), w.alias("w")) for i, w in a.corners()])
+        rest = dict.fromkeys(c for x in axes[n + 1 :] for c in (x.coord, x.size) if isinstance(c, str))
+        out = out.select(*keys, pid, *done, *rest, "_w", F.explode(pair).alias("_c")).where(F.col("_c.w") != 0.0)
+        done.append(a.index)
+        out = out.select(*keys, pid, *done[:-1], F.col("_c.i").alias(a.index), *rest, (F.col("_w") * F.col("_c.w")).alias("_w"))
+    return out
 
 
 def interpolate(

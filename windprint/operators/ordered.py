@@ -73,7 +73,12 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
 
     The count column is left out when a key is itself called n.
     """
-    rows = bucketed(distinct_mass(df, keys, value), keys)
+    return mass_quantiles(distinct_mass(df, keys, value), keys, probs)
+
+
+def mass_quantiles(mass: DataFrame, keys: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """Quantiles from a (keys, v, m) table of :func:`distinct_mass`."""
+    rows = bucketed(mass, keys)
     off = bucket_offsets(rows, keys)
     ranks = F.transform(
         F.array(*[F.lit(float(p)) for p in probs]),

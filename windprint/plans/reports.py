@@ -119,6 +119,7 @@ def flat_vs_terrain(flat: DataFrame, terrain: DataFrame, dom: Domain, box: tuple
 
 def climate_report(derived: DataFrame) -> DataFrame:
     """Wind rose by stability with class medians, margins included."""
+    derived = materialize(derived.select("site", "cls", "oct", "qc", "pblh", "us", "wth"), "derived")
     rose = climate.rose_wide(climate.wind_rose(derived))
     tab = climate.stability_table(derived).drop("pct")
     octs = [f"oct_{o}" for o in [*range(8), "all"]]
@@ -196,10 +197,11 @@ def regression(touchdowns: DataFrame, releases: DataFrame, params: DataFrame, do
     h = peaks.groupBy("run_id").agg(*[F.max(F.when(F.col("half") == n, F.col("peak_x"))).alias(f"p{n}") for n in (1, 2)])
     h = materialize(h, "half-peaks")
     total = lambda f: f.groupBy("run_id").agg((F.sum("f") * dom.area).alias("integral"))
-    base = h.select("run_id", F.col("p1").alias("peak_x")).join(total(first), run).join(fp.overlap(first, second, run), run)
+    area = lambda f: fp.map_metrics(f, run, dom).select("run_id", "area80_ha")
+    base = h.select("run_id", F.col("p1").alias("peak_x")).join(total(first), run).join(fp.overlap(first, second, run), run).join(area(first), run)
     now = fp.fy_metrics(parts["fy"], run, dom.dx).select("run_id", "peak_x").join(total(parts["map"]), run)
-    now = now.join(fp.overlap(parts["map"], rm.static_raster(params, dom), run), run)
-    names = ["peak_x", "integral", "overlap"]
+    now = now.join(fp.overlap(parts["map"], rm.static_raster(params, dom), run), run).join(area(parts["map"]), run)
+    names = ["peak_x", "area80_ha", "integral", "overlap"]
     was = materialize(compare.melt(base, run, names), "baseline")
     tol = compare.tolerances(was, h.select("run_id", (F.col("p1") - F.col("p2")).alias("dpeak")))
     return compare.verdict(was, compare.melt(now, run, names), tol)

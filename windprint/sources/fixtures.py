@@ -142,8 +142,8 @@ class Tables:
         block = (F.floor(j / 8) + F.floor(i / 8) * 3).cast("bigint") % 6
         idx = F.when((block == 3) | (q % 3 != 0), block).otherwise((block + q) % 6)
         codes = F.array(*[F.lit(c) for c in COVER_CODES])
-        wet = 250.0 + F.col("l_tax") / 10.0
-        dry = 251.0 + F.col("l_extendedprice") / 5000.0 + j.cast("double") / 8.0
+        wet = 250.0 + F.col("l_tax") / 11.0
+        dry = 251.0 + F.col("l_extendedprice") / 4999.0 + j.cast("double") / 8.0
         return self.raw("lineitem").select(
             F.floor(F.col("l_orderkey") / SITE_ORDERS).cast("bigint").alias("site"),
             j.alias("j"),
