@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .kljun import KAPPA, chi_of, psi_from_chi, psi_from_ratio
+from .kljun import KAPPA, psi_from_ratio
 from .numeric import clip, isfinite
 
 GRAVITY = 9.81
@@ -54,21 +54,21 @@ def with_ustar(df: DataFrame, u10: str, wth: str, theta: str, z0: float = 0.05,
     one-element inline at the end keeps later filters and expressions on us and
     L from being pushed down into copies of the whole chain.
     """
-    log10z = math.log(10.0 / z0)
-    cols = [(KAPPA * F.col(u10) / log10z).alias("_us0")]
+    k, ln10 = repr(KAPPA) + "D", repr(math.log(10.0 / z0)) + "D"
+    cols = [f"{k} * {u10} / {ln10} AS _us0"]
     for n in range(1, rounds + 1):
-        us, ln, zl, chi = (f"_{c}{n}" for c in ("us", "ln", "zl", "chi"))
-        prev = F.greatest(F.col(f"_us{n - 1}"), F.lit(1e-3))
-        length = F.when(F.abs(wth) > 1e-6, F.try_divide(-F.pow(prev, F.lit(3.0)) * F.col(theta), KAPPA * GRAVITY * F.col(wth)))
+        c, zl = f"_chi{n}", f"_zl{n}"
+        unstable = f"ln((1D + {c} * {c}) / 2D) + 2D * ln((1D + {c}) / 2D) - 2D * atan({c}) + {math.pi / 2!r}D"
+        psi = f"CASE WHEN {zl} > 0 THEN -5.3D * {zl} WHEN {zl} < 0 THEN {unstable} ELSE 0D END"
+        length = f"try_divide(-power(greatest(_us{n - 1}, 1e-3D), 3D) * {theta}, {k} * {GRAVITY!r}D * {wth})"
         cols += [
-            F.coalesce(length, F.lit(1e9)).alias(ln),
-            clip(10.0 / F.col(ln), -2.0, 1.0).alias(zl),
-            chi_of(F.col(zl)).alias(chi),
-            (KAPPA * F.col(u10) / F.greatest(log10z - psi_from_chi(F.col(zl), F.col(chi)), F.lit(0.5))).alias(us),
+            f"coalesce(CASE WHEN abs({wth}) > 1e-6D THEN {length} END, 1e9D) AS _ln{n}",
+            f"least(greatest(10D / _ln{n}, -2D), 1D) AS {zl}",
+            f"power(greatest(1D - 19D * {zl}, 0D), 0.25D) AS {c}",
+            f"{k} * {u10} / greatest({ln10} - ({psi}), 0.5D) AS _us{n}",
         ]
-    last = F.struct(F.col(f"_us{rounds}").alias("us"), F.col(f"_ln{rounds}").alias("L"))
-    out = df.select("*", *cols)
-    return out.select(*df.columns, F.inline(F.array(last)))
+    out = df.selectExpr("*", *cols)
+    return out.selectExpr(*df.columns, f"inline(array(struct(_us{rounds} AS us, _ln{rounds} AS L)))")
 
 
 def profile_wind(us: Column, L: Column, zm: float = 30.0, z0: float = 0.05) -> Column:

@@ -120,7 +120,7 @@ def wind_rose(derived: DataFrame, keys: Sequence[str] = ("site",)) -> DataFrame:
 
     Hours collapse to at most 40 counts per key before the margins fan out.
     """
-    c = rose_counts(derived, keys)
+    c = materialize(rose_counts(derived, keys), "rose")
     margins = F.array(
         F.struct("cls", F.col("oct").cast("string").alias("oct")),
         F.struct("cls", F.lit("all").alias("oct")),

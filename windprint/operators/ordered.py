@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import isfinite
+from ..sources.shared_table import materialize
 
 BUCKETS = 1024
 
@@ -71,9 +72,10 @@ def _inside(rows: DataFrame, wanted: DataFrame, keys: Sequence[str], descending:
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
     """(keys, p, q, n): exact linear-interpolated quantiles of the finite values.
 
-    The count column is left out when a key is itself called n.
+    The input is evaluated once, into a table of its distinct values. The count
+    column is left out when a key is itself called n.
     """
-    return mass_quantiles(distinct_mass(df, keys, value), keys, probs)
+    return mass_quantiles(materialize(distinct_mass(df, keys, value), "values"), keys, probs)
 
 
 def mass_quantiles(mass: DataFrame, keys: Sequence[str], probs: Sequence[float]) -> DataFrame:
@@ -120,7 +122,8 @@ def mass_threshold(df: DataFrame, keys: Sequence[str], value: str, frac: float)
     """(keys, thr, total): value of the first row, in descending order, whose
     running sum reaches ``frac`` of the total. Keys with total <= 0 are absent.
     """
-    rows = bucketed(distinct_mass(df.withColumn("_w", F.col(value)), keys, value, "_w"), keys, descending=True)
+    mass = materialize(distinct_mass(df.withColumn("_w", F.col(value)), keys, value, "_w"), "values")
+    rows = bucketed(mass, keys, descending=True)
     off = bucket_offsets(rows, keys).where(F.col("total") > 0)
     first = F.min(F.when(F.col("through") >= frac * F.col("total"), F.col("b"))).over(Window.partitionBy(*keys))
     wanted = off.withColumn("b_hit", first).where(F.col("b") == F.coalesce("b_hit", "b"))
@@ -175,7 +178,7 @@ def top_sum(df: DataFrame, keys: Sequence[str], value: str, k: Column) -> DataFr
     ``k`` may use the row count column ``total``. Copies of the k-th value are
     counted only as often as needed, so ties cannot change the sum.
     """
-    rows = bucketed(distinct_mass(df, keys, value), keys, descending=True)
+    rows = bucketed(materialize(distinct_mass(df, keys, value), "values"), keys, descending=True)
     off = bucket_offsets(rows, keys).withColumn("k", k)
     whole = F.col("through") <= F.col("k")
     edge = off.where((F.col("before") < F.col("k")) & ~whole)
