@@ -90,7 +90,7 @@ def percentiles(df: DataFrame, keys: Sequence[str], variables: Sequence[str], pr
     mass = _value_table(df, keys, variables)
     q = mass_quantiles(mass, on, probs)
     wide = q.groupBy(*on).agg(*[F.max(F.when(F.col("p") == float(p), F.col("q"))).alias(f"p{round(100 * p):d}") for p in probs])
-    mean = mass.groupBy(*on).agg(F.sum("m").cast("bigint").alias("n"), (F.sum(F.col("v") * F.col("m")) / F.sum("m")).alias("mean"))
+    mean = mass.groupBy(*on).agg(F.sum("_m").cast("bigint").alias("n"), (F.sum(F.col("_v") * F.col("_m")) / F.sum("_m")).alias("mean"))
     return mean.join(wide, on)
 
 
@@ -104,7 +104,7 @@ def stability_table(derived: DataFrame, keys: Sequence[str] = ("site",)) -> Data
     on = [*keys, "cls"]
     mass = _value_table(derived.where("qc"), on, ["pblh", "us", "wth"])
     # every accepted hour has a finite pblh, so its mass is the class count
-    n = mass.where(F.col("var") == "pblh").groupBy(*on).agg(F.sum("m").cast("bigint").alias("n"))
+    n = mass.where(F.col("var") == "pblh").groupBy(*on).agg(F.sum("_m").cast("bigint").alias("n"))
     tot = n.groupBy(*keys).agg(F.sum("n").alias("total"))
     med = mass_quantiles(mass, [*on, "var"], [0.5])
     wide = med.groupBy(*on).agg(*[F.max(F.when(F.col("var") == v, F.col("q"))).alias(f"{v}_p50") for v in ("pblh", "us", "wth")])

@@ -26,34 +26,34 @@ def _stretch(v: Column) -> Column:
 
 
 def distinct_mass(df: DataFrame, keys: Sequence[str], value: str, weight: str | None = None) -> DataFrame:
-    """(keys, v, m): total weight (or row count) per distinct finite value."""
+    """(keys, _v, _m): total weight (or row count) per distinct finite value."""
     mass = F.count(F.lit(1)).cast("double") if weight is None else F.sum(weight)
     v = F.col(value).cast("double")
     return (
         df.where(isfinite(v))
-        .groupBy(*keys, (v + 0.0).alias("v"))
-        .agg(mass.alias("m"))
+        .groupBy(*keys, (v + 0.0).alias("_v"))
+        .agg(mass.alias("_m"))
     )
 
 
 def bucketed(mass: DataFrame, keys: Sequence[str], descending: bool = False, buckets: int = BUCKETS) -> DataFrame:
-    """Add a value-ordered bucket number ``b`` to (keys, v, m)."""
-    g = mass.withColumn("g", _stretch(F.col("v")))
+    """Add a value-ordered bucket number ``_b`` to (keys, _v, _m)."""
+    g = mass.withColumn("g", _stretch(F.col("_v")))
     span = g.groupBy(*keys).agg(F.min("g").alias("g_lo"), F.max("g").alias("g_hi"))
     pos = F.try_divide(F.col("g") - F.col("g_lo"), F.col("g_hi") - F.col("g_lo"))
     b = F.floor(F.coalesce(pos, F.lit(0.0)) * buckets)
-    return g.join(span, list(keys)).select(*keys, "v", "m", (-b if descending else b).alias("b"))
+    return g.join(span, list(keys)).select(*keys, "_v", "_m", (-b if descending else b).alias("_b"))
 
 
 def bucket_offsets(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, b, before, through, total): running mass over at most BUCKETS rows per key."""
-    per = rows.groupBy(*keys, "b").agg(F.sum("m").alias("bm"))
-    w = Window.partitionBy(*keys).orderBy("b")
+    """(keys, _b, before, through, total): running mass over at most BUCKETS rows per key."""
+    per = rows.groupBy(*keys, "_b").agg(F.sum("_m").alias("bm"))
+    w = Window.partitionBy(*keys).orderBy("_b")
     run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     per = per.withColumn("through", F.sum("bm").over(run))
     return per.select(
         *keys,
-        "b",
+        "_b",
         "through",
         F.coalesce(F.lag("through").over(w), F.lit(0.0)).alias("before"),
         F.sum("bm").over(Window.partitionBy(*keys)).alias("total"),
@@ -62,11 +62,11 @@ def bucket_offsets(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def _inside(rows: DataFrame, wanted: DataFrame, keys: Sequence[str], descending: bool) -> DataFrame:
     """Exact running mass (c0, c1] of each distinct value inside the wanted buckets."""
-    order = F.col("v").desc() if descending else F.col("v").asc()
-    w = Window.partitionBy(*keys, "b").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    hit = rows.join(wanted, [*keys, "b"])
-    hit = hit.withColumn("c1", F.col("before") + F.sum("m").over(w))
-    return hit.withColumn("c0", F.col("c1") - F.col("m"))
+    order = F.col("_v").desc() if descending else F.col("_v").asc()
+    w = Window.partitionBy(*keys, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    hit = rows.join(wanted, [*keys, "_b"])
+    hit = hit.withColumn("c1", F.col("before") + F.sum("_m").over(w))
+    return hit.withColumn("c0", F.col("c1") - F.col("_m"))
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
@@ -79,7 +79,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
 
 
 def mass_quantiles(mass: DataFrame, keys: Sequence[str], probs: Sequence[float]) -> DataFrame:
-    """Quantiles from a (keys, v, m) table of :func:`distinct_mass`."""
+    """Quantiles from a (keys, _v, _m) table of :func:`distinct_mass`."""
     rows = bucketed(mass, keys)
     off = bucket_offsets(rows, keys)
     ranks = F.transform(
@@ -98,11 +98,11 @@ def mass_quantiles(mass: DataFrame, keys: Sequence[str], probs: Sequence[float])
         )
 
     wanted = off.withColumn("ranks", F.filter(ranks, holds)).where(F.size("ranks") > 0)
-    cand = _inside(rows, wanted, keys, False).select(*keys, "v", "c0", "c1", "total", F.explode("ranks").alias("r"))
+    cand = _inside(rows, wanted, keys, False).select(*keys, "_v", "c0", "c1", "total", F.explode("ranks").alias("r"))
     at = lambda r: (F.col(f"r.{r}") >= F.col("c0")) & (F.col(f"r.{r}") < F.col("c1"))
     got = cand.groupBy(*keys, F.col("r.p").alias("p")).agg(
-        F.max(F.when(at("r0"), F.col("v"))).alias("v0"),
-        F.max(F.when(at("r1"), F.col("v"))).alias("v1"),
+        F.max(F.when(at("r0"), F.col("_v"))).alias("v0"),
+        F.max(F.when(at("r1"), F.col("_v"))).alias("v1"),
         F.max("r.t").alias("t"),
         F.max("total").alias("_n"),
     )
@@ -125,11 +125,11 @@ def mass_threshold(df: DataFrame, keys: Sequence[str], value: str, frac: float)
     mass = materialize(distinct_mass(df.withColumn("_w", F.col(value)), keys, value, "_w"), "values")
     rows = bucketed(mass, keys, descending=True)
     off = bucket_offsets(rows, keys).where(F.col("total") > 0)
-    first = F.min(F.when(F.col("through") >= frac * F.col("total"), F.col("b"))).over(Window.partitionBy(*keys))
-    wanted = off.withColumn("b_hit", first).where(F.col("b") == F.coalesce("b_hit", "b"))
+    first = F.min(F.when(F.col("through") >= frac * F.col("total"), F.col("_b"))).over(Window.partitionBy(*keys))
+    wanted = off.withColumn("b_hit", first).where(F.col("_b") == F.coalesce("b_hit", "_b"))
     cand = _inside(rows, wanted, keys, True)
     return cand.groupBy(*keys).agg(
-        F.coalesce(F.max(F.when(F.col("c1") >= frac * F.col("total"), F.col("v"))), F.min("v")).alias("thr"),
+        F.coalesce(F.max(F.when(F.col("c1") >= frac * F.col("total"), F.col("_v"))), F.min("_v")).alias("thr"),
         F.max("total").alias("total"),
     )
 
@@ -160,41 +160,40 @@ def mass_threshold(df: DataFrame, keys: Sequence[str], value: str, frac: float)
     f = df.withColumn("_w", F.col(value))
     rows = bucketed(distinct_mass(f, keys, value, "_w"), keys, descending=True)
     off = bucket_offsets(rows, keys).where(F.col("total") > 0)
-    first = F.min(F.when(F.col("through") >= frac * F.col("total"), F.col("b"))).over(Window.partitionBy(*keys))
-    wanted = off.withColumn("b_hit", first).where(F.col("b") == F.coalesce("b_hit", "b"))
+    first = F.min(F.when(F.col("through") >= frac * F.col("total"), F.col("_b"))).over(Window.partitionBy(*keys))
+    wanted = off.withColumn("b_hit", first).where(F.col("_b") == F.coalesce("b_hit", "_b"))
     cand = _inside(rows, wanted, keys, True)
     return cand.groupBy(*keys).agg(
         F.coalesce(
-            F.max(F.when(F.col("c1") >= frac * F.col("total"), F.col("v"))),
-            F.min("v"),
+            F.max(F.when(F.col("c1") >= frac * F.col("total"), F.col("_v"))),
+            F.min("_v"),
         ).alias("thr"),
         F.max("total").alias("total"),
     )
 
 
 def top_sum(df: DataFrame, keys: Sequence[str], value: str, k: Column) -> DataFrame:
-    """(keys, k, top, biggest, n): sum of |value| over the k largest signed values.
+    """(keys, top, biggest, n): sum of |value| over the k largest signed values.
 
     ``k`` may use the row count column ``total``. Copies of the k-th value are
     counted only as often as needed, so ties cannot change the sum.
     """
     rows = bucketed(materialize(distinct_mass(df, keys, value), "values"), keys, descending=True)
-    off = bucket_offsets(rows, keys).withColumn("k", k)
-    whole = F.col("through") <= F.col("k")
-    edge = off.where((F.col("before") < F.col("k")) & ~whole)
+    off = bucket_offsets(rows, keys).withColumn("_k", k)
+    whole = F.col("through") <= F.col("_k")
+    edge = off.where((F.col("before") < F.col("_k")) & ~whole)
     inside = _inside(rows, edge, keys, True).select(
-        *keys, "v", F.greatest(F.least(F.col("m"), F.col("k") - F.col("c0")), F.lit(0.0)).alias("take"), "k", "total"
+        *keys, "_v", F.greatest(F.least(F.col("_m"), F.col("_k") - F.col("c0")), F.lit(0.0)).alias("take"), "_k", "total"
     )
-    full = rows.join(off.where(whole).select(*keys, "b", "k", "total"), [*keys, "b"]).select(
-        *keys, "v", F.col("m").alias("take"), "k", "total"
+    full = rows.join(off.where(whole).select(*keys, "_b", "_k", "total"), [*keys, "_b"]).select(
+        *keys, "_v", F.col("_m").alias("take"), "_k", "total"
     )
     return (
         full.unionByName(inside)
         .groupBy(*keys)
         .agg(
-            F.max("k").alias("k"),
-            F.sum(F.abs("v") * F.col("take")).alias("top"),
-            F.max(F.abs(F.when(F.col("take") > 0, F.col("v")))).alias("biggest"),
+            F.sum(F.abs("_v") * F.col("take")).alias("top"),
+            F.max(F.abs(F.when(F.col("take") > 0, F.col("_v")))).alias("biggest"),
             F.max("total").alias("n"),
         )
     )

@@ -15,7 +15,7 @@ BANNER = "simulation is complete"
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(path, text): whole small text files, one row each."""
-    df = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    df = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
     return df.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
