@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import isfinite
 from ..sources.shared_table import materialize
 
-BUCKETS = 8192
+BUCKETS = 2048
 
 
 def _stretch(v: Column) -> Column:
