@@ -61,7 +61,7 @@ def _(t):
 
 @query(
     "hour_parts",
-    "SELECT site, mon AS month, hour(valid) AS hour, local_hour, count(*) AS n, min(time_hours) AS first_hour, max(valid) AS last_valid FROM cl3 GROUP BY ALL",
+    "SELECT site, mon::INTEGER AS month, hour(valid)::INTEGER AS hour, local_hour::INTEGER AS local_hour, count(*) AS n, min(time_hours) AS first_hour, max(valid) AS last_valid FROM cl3 GROUP BY ALL",
 )
 def _(t):
     d = t.hourly.select("site", "time_hours").withColumns(cl.hour_parts(F.col("time_hours")))
@@ -123,7 +123,7 @@ def _(t):
 
 @query(
     "midday_season",
-    """SELECT site, mon IN (6, 7, 8) AS jja, mon AS month, count(*) AS n, avg(pblh) AS pblh, avg(wth) AS wth FROM cl3
+    """SELECT site, mon IN (6, 7, 8) AS jja, mon::INTEGER AS month, count(*) AS n, avg(pblh) AS pblh, avg(wth) AS wth FROM cl3
     WHERE qc AND local_hour BETWEEN 10 AND 16 AND wth > 0.05 GROUP BY ALL""",
     {"pblh": 4, "wth": 7},
 )

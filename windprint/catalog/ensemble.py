@@ -54,7 +54,7 @@ SELECT run_id, sub, j, i, sum(f)/any_value(n)/57600.0 AS f FROM (
 
 @query(
     "bootstrap_members",
-    """SELECT run_id, draw, rnk AS rank, sub, n AS n_particles FROM members JOIN sub_n USING (sub)""",
+    """SELECT run_id, draw, rnk::INTEGER AS rank, sub, n AS n_particles FROM members JOIN sub_n USING (sub)""",
 )
 def _(t):
     m = en.draw_members(t.spark, DRAWS, SUBS)
@@ -102,7 +102,7 @@ def scores(t, reference="held-out"):
 
 @query(
     "convergence",
-    """SELECT *, min(CASE WHEN d_peak_p90 <= 480 THEN n END) OVER (PARTITION BY run_id) AS n_peak, min(CASE WHEN d_centroid_p90 <= 400 THEN n END) OVER (PARTITION BY run_id) AS n_centroid
+    """SELECT * REPLACE (n::INTEGER AS n), min(CASE WHEN d_peak_p90 <= 480 THEN n END::INTEGER) OVER (PARTITION BY run_id) AS n_peak, min(CASE WHEN d_centroid_p90 <= 400 THEN n END::INTEGER) OVER (PARTITION BY run_id) AS n_centroid
     FROM e_conv0""",
     _CONV_D,
 )
@@ -132,7 +132,7 @@ SELECT run_id, draw, n, sum(CASE WHEN c = 2 THEN 1 ELSE 0 END)/count(*) AS ov FR
       FROM fm_pc a JOIN fr_pc r ON r.run_id = a.run_id LEFT JOIN f_ov o ON o.run_id = a.run_id AND o.draw = a.draw AND o.n = a.n),
     g AS (SELECT run_id, n, avg(overlap) AS overlap, count(*) FILTER (WHERE d_peak IS NULL) AS undefined, count(*) AS draws, quantile_cont(d_peak, 0.5) AS d_peak_p50,
       quantile_cont(d_peak, 0.9) AS d_peak_p90, quantile_cont(d_centroid, 0.5) AS d_centroid_p50, quantile_cont(d_centroid, 0.9) AS d_centroid_p90 FROM s GROUP BY run_id, n)
-    SELECT *, min(CASE WHEN d_peak_p90 <= 480 THEN n END) OVER (PARTITION BY run_id) AS n_peak, min(CASE WHEN d_centroid_p90 <= 400 THEN n END) OVER (PARTITION BY run_id) AS n_centroid FROM g""",
+    SELECT * REPLACE (n::INTEGER AS n), min(CASE WHEN d_peak_p90 <= 480 THEN n END::INTEGER) OVER (PARTITION BY run_id) AS n_peak, min(CASE WHEN d_centroid_p90 <= 400 THEN n END::INTEGER) OVER (PARTITION BY run_id) AS n_centroid FROM g""",
     _CONV_D,
 )
 def _(t):

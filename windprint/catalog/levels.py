@@ -191,7 +191,7 @@ def _(t):
 
 
 cte("conv", """
-SELECT run_id, step, step*5.0 AS t, z_i, cbrt(9.81/th*greatest(wth_s, 1e-9)*z_i) AS w_star, us AS ustar, wth_s, -wt_min/greatest(wth_s, 1e-9) AS entrainment,
+SELECT run_id, step, step*5.0::DOUBLE AS t, z_i, cbrt(9.81/th*greatest(wth_s, 1e-9)*z_i) AS w_star, us AS ustar, wth_s, -wt_min/greatest(wth_s, 1e-9) AS entrainment,
   tke_int, -(us*us*us)*th/(0.4*9.81*greatest(wth_s, 1e-9)) AS "L" FROM (
   SELECT run_id, step, z_i, wt_min, th, tke_int, us, coalesce(hf, wt0) AS wth_s FROM (
     SELECT run_id, step, arg_min(z, wt) AS z_i, min(wt) AS wt_min, arg_min(wt, k) AS wt0, arg_min(TH, k) AS th, coalesce(sum(area), 0) AS tke_int FROM (
