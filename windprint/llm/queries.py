@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, pii, sharding
+from . import bit_search, line_dedup, mixing, norm_search, pii, sharding
 from .common import table
 
 
+def op1_bit_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bit_search.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = mixing.mix(table(spark, sf_dir, "documents"))
     return m.select("doc_id", "source", "lang", "topic", "tokens", F.round(F.col("weight") * 1e6, 6).alias("weight_ppm"), F.round("prob", 6).alias("prob"), "sampled")
@@ -28,5 +32,9 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.col("new_text").alias("text"), "n_replaced", F.array_join("kinds", ",").alias("kinds"))
 
 
-QUERIES = {f.__name__: f for f in (op4_mixing, op5_line_dedup, op7_sharding, op9_pii)}
+def op10_norm_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return norm_search.highest(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bit_search, op4_mixing, op5_line_dedup, op7_sharding, op9_pii, op10_norm_search)}
 ORACLES: dict[str, str] = {}
