@@ -2,18 +2,29 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from windprint.sources.shared_table import materialize
 
-__all__ = ["fresh", "materialize", "sliced", "table", "text_of", "unit_hash"]
+__all__ = ["fresh", "materialize", "reachable", "sliced", "table", "text_of", "unit_hash"]
+
+
+def reachable(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it, where it isn't installed."""
+    env, root = spark.sparkContext.environment, str(Path(__file__).parents[2])
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH"), root]))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    reachable(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -43,7 +54,7 @@ def sliced(batches: Iterator[pa.RecordBatch], text: str, limit: int = 1 << 21) -
     """Cut Arrow batches so that each holds about ``limit`` bytes of text, or one row."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
-        sizes = [0 if v is None else v for v in pa.compute.binary_length(column).to_pylist()]
+        sizes = [0 if v is None else v for v in pc.binary_length(column).to_pylist()]
         start = held = 0
         for i, n in enumerate(sizes):
             if held and held + n > limit:
