@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bit_search, line_dedup, mixing, norm_search, pii, sharding
+from . import bit_search, line_dedup, mixing, norm_search, pii, quality, sharding
 from .common import table
 
 
@@ -13,6 +13,10 @@ def op1_bit_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bit_search.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = mixing.mix(table(spark, sf_dir, "documents"))
     return m.select("doc_id", "source", "lang", "topic", "tokens", F.round(F.col("weight") * 1e6, 6).alias("weight_ppm"), F.round("prob", 6).alias("prob"), "sampled")
@@ -36,5 +40,5 @@ def op10_norm_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return norm_search.highest(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bit_search, op4_mixing, op5_line_dedup, op7_sharding, op9_pii, op10_norm_search)}
+QUERIES = {f.__name__: f for f in (op1_bit_search, op2_quality, op4_mixing, op5_line_dedup, op7_sharding, op9_pii, op10_norm_search)}
 ORACLES: dict[str, str] = {}
