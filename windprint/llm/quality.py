@@ -15,7 +15,7 @@ from .words import mix, raw, words
 BITS = 18
 #: At most so many labelled rows are learnt from, those of the smallest hashes of their id: the bound of the fit.
 TRAINING_ROWS = 8_192
-EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.3, 1.0, 1e-3, 1e-3
+EPOCHS, ALPHA, BETA, L1, L2 = 6, 3.0, 1.0, 0.3, 0.01
 THRESHOLD, FOLDS = 0.3, 5
 
 
@@ -28,7 +28,9 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sparse unit vectors of whole texts: row ends (n + 1), feature numbers and values (1 + log of the count, scaled)."""
     data, offsets = raw(column)
     word, text = words(data, offsets, split_marks=True)
-    pair = mix(word[:-1] * np.uint64(0xD6E8FEB86659FD93) + word[1:])[text[:-1] == text[1:]] if len(word) else word
+    pair = mix(word[:-1] * np.uint64(0xD6E8FEB86659FD93) + word[1:])
+    # a word said twice is the same feature whichever word it is
+    pair = np.where(word[:-1] == word[1:], np.uint64(1 << 63), pair)[text[:-1] == text[1:]] if len(word) else word
     row = np.concatenate([np.arange(len(column)), text, text[:-1][text[:-1] == text[1:]]]).astype(np.uint64)
     hashed = np.concatenate([word, pair]) >> np.uint64(64 - BITS)
     number = np.concatenate([np.zeros(len(column), np.uint64), np.maximum(hashed, np.uint64(1))])
