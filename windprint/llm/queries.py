@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bit_search, line_dedup, mixing, norm_search, pii, quality, sharding
+from . import bit_search, bpe, line_dedup, mixing, norm_search, pii, quality, sharding
 from .common import table
 
 
@@ -17,6 +17,18 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(bpe.round_trip(table(spark, sf_dir, "documents")))
+
+
+def digests(coded: DataFrame) -> DataFrame:
+    """Token counts and SHA-256 sums of ids and decoded bytes."""
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = mixing.mix(table(spark, sf_dir, "documents"))
     return m.select("doc_id", "source", "lang", "topic", "tokens", F.round(F.col("weight") * 1e6, 6).alias("weight_ppm"), F.round("prob", 6).alias("prob"), "sampled")
@@ -40,5 +52,5 @@ def op10_norm_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return norm_search.highest(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bit_search, op2_quality, op4_mixing, op5_line_dedup, op7_sharding, op9_pii, op10_norm_search)}
+QUERIES = {f.__name__: f for f in (op1_bit_search, op2_quality, op3_bpe, op4_mixing, op5_line_dedup, op7_sharding, op9_pii, op10_norm_search)}
 ORACLES: dict[str, str] = {}
