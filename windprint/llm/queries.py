@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bit_search, bpe, line_dedup, mixing, norm_search, pii, quality, sharding
+from . import bit_search, bpe, dart_minhash, line_dedup, mixing, norm_search, pii, quality, sharding
 from .common import table
 
 
@@ -39,6 +39,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "n_lines", "n_removed", "kept_text")
 
 
+def op6_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dart_minhash.classes(table(spark, sf_dir, "documents"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -52,5 +56,5 @@ def op10_norm_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return norm_search.highest(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bit_search, op2_quality, op3_bpe, op4_mixing, op5_line_dedup, op7_sharding, op9_pii, op10_norm_search)}
+QUERIES = {f.__name__: f for f in (op1_bit_search, op2_quality, op3_bpe, op4_mixing, op5_line_dedup, op6_dart_minhash, op7_sharding, op9_pii, op10_norm_search)}
 ORACLES: dict[str, str] = {}
