@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bit_search, bpe, dart_minhash, line_dedup, mixing, norm_search, pii, quality, sharding
+from . import bit_search, bpe, dart_minhash, line_dedup, mixing, norm_search, pii, quality, sharding, suffix_dedup
 from .common import table
 
 
@@ -47,6 +47,11 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return d.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return d.select("doc_id", F.col("new_text").alias("text"), "n_replaced", F.array_join("kinds", ",").alias("kinds"))
@@ -56,5 +61,5 @@ def op10_norm_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return norm_search.highest(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bit_search, op2_quality, op3_bpe, op4_mixing, op5_line_dedup, op6_dart_minhash, op7_sharding, op9_pii, op10_norm_search)}
+QUERIES = {f.__name__: f for f in (op1_bit_search, op2_quality, op3_bpe, op4_mixing, op5_line_dedup, op6_dart_minhash, op7_sharding, op8_suffix_dedup, op9_pii, op10_norm_search)}
 ORACLES: dict[str, str] = {}
