@@ -139,18 +139,25 @@ def similarity(x: np.ndarray, y: np.ndarray) -> float:
 def components(edges: DataFrame) -> DataFrame:
     """``node, label`` of every node of ``edges`` (u, v): the smallest node of its connected component.
 
-    Labels spread to neighbours and then jump to their label's label, until none changes; each round is written.
+    In each round every node points to its smallest neighbour below it, and edges are drawn anew between what their
+    ends point to, equal ones being one: a star vanishes in one round. Then the pointers are followed, rounds from
+    last to first. Each round is written, so a lost executor costs its tasks only.
     """
-    both = materialize(edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "near-edges")
-    labels = materialize(both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("node"), F.min("v")).alias("label")), "near-labels")
+    ends = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v").distinct(), "near-edges")
+    nodes = ends.select(F.col("u").alias("node")).union(ends.select(F.col("v").alias("node"))).distinct()
+    labels = materialize(nodes.select("node", F.col("node").alias("label")), "near-labels")
+    while not ends.isEmpty():
+        up = materialize(ends.groupBy(F.col("u").alias("low")).agg(F.min("v").alias("high")), "near-up")
+        moved = ends.join(up.select(F.col("low").alias("u"), F.col("high").alias("x")), "u")
+        moved = moved.join(up.select(F.col("low").alias("v"), F.col("high").alias("y")), "v", "left").select("x", F.coalesce("y", "v").alias("y"))
+        ends = materialize(moved.filter("x != y").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct(), "near-edges")
+        labels = materialize(labels.join(up.withColumnRenamed("low", "label"), "label", "left").select("node", F.coalesce("high", "label").alias("label")), "near-labels")
+    # a label may itself have been moved in the round that reached it
     while True:
-        around = both.join(labels.select(F.col("node").alias("v"), "label"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
-        spread = labels.join(around, "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("old"))
-        spread = materialize(spread, "near-labels")
-        jump = spread.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        jumped = materialize(spread.join(jump, "label").select("node", F.col("further").alias("label"), "old"), "near-labels")
+        further = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
+        jumped = materialize(labels.join(further, "label").select("node", F.col("next").alias("label"), (F.col("next") != F.col("label")).alias("moved")), "near-labels")
         labels = jumped.select("node", "label")
-        if jumped.filter("label != old").isEmpty():
+        if jumped.filter("moved").isEmpty():
             return labels
 
 
@@ -180,11 +187,12 @@ def classes(
     of links. A pair of similarity 0.8 shares a band with probability 0.9998.
 
     Documents of equal sets collapse to one node first. In each bucket (band and its hash) every node is compared
-    with one representative, another one in each band, not with all others: the pairs are as many as the members.
-    Buckets that then still hold several classes are gone through exactly: their members outside the bucket's largest
-    class meet all members, in blocks, inside tasks that emit links alone. So no link between bucket members of
-    different classes is lost, and a group of thousands of copies never makes all pairs. Similarities are exact up to
-    equal 32-bit hashes of different shingles.
+    with one head, the first in a hashed order, not with all others: the pairs are at most as many as the members.
+    Members of other classes than the bucket's largest then meet a second member of that one. Buckets that still hold
+    several classes are gone through exactly: their members outside the largest class meet all members, in blocks,
+    inside tasks that emit links alone. So no link between bucket members of different classes is lost, and a group
+    of thousands of copies never makes all pairs. Similarities are exact up to equal 32-bit hashes of different
+    shingles.
 
     Nulls: a row with null id is in no class (both columns null). Null and empty texts, or blank ones, have no
     shingles and are a class of their own each. Texts under five words have one shingle of all their words. Rows
@@ -195,23 +203,27 @@ def classes(
     copies = materialize(some.groupBy("a", "b").agg(F.min("id").alias("node")), "near-copies")
     nodes = some.join(copies.select(F.col("a").alias("ca"), F.col("b").alias("cb"), "node"), (F.col("id") == F.col("node")) & (F.col("a") == F.col("ca")) & (F.col("b") == F.col("cb")))
     in_band = nodes.select("node", F.explode("bands").alias("bucket"))
-    order = F.struct(F.xxhash64("node", "bucket").alias("o"), "node")
-    heads = in_band.groupBy("bucket").agg(F.min(order).alias("head"), F.max("node").alias("most"), F.min("node").alias("least"))
+    # one order for all bands: a node of a dense group meets the same few heads in most of its buckets
+    heads = in_band.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node").alias("o"), "node")).alias("head"), F.max("node").alias("most"), F.min("node").alias("least"))
     heads = materialize(heads.filter("most != least").select("bucket", F.col("head.node").alias("head")), "near-heads")
     members = materialize(in_band.join(heads, "bucket"), "near-members")
     sets = materialize(nodes.join(members.select(F.col("node").alias("m")).distinct(), F.col("node") == F.col("m"), "left_semi").select("node", "shingles"), "near-sets")
-    stars = members.filter("head != node").select(F.least("head", "node").alias("v"), F.greatest("head", "node").alias("u")).distinct()
-    # the head may be either end: the smaller end is looked up second, where one id meets many rows
-    links = materialize(_checked(stars.select("u", "v"), sets, least), "near-links")
+    links = materialize(_checked(_pairs(members, "head"), sets, least), "near-links")
     labels = components(links)
 
-    named = members.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
-    parts = named.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-    mixed = parts.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("all"), F.count("*").alias("labels"))
-    # two members of different classes were compared already
-    mixed = materialize(mixed.filter("labels > 1 and all > 2").select("bucket", F.col("main.label").alias("main"), "all", (F.col("all") - F.col("main.n")).alias("minor")), "near-mixed")
+    # members outside their bucket's largest class meet another member of that class
+    named, mixed = _mixed(members, labels)
+    again = F.min(F.struct(F.xxhash64("node", F.lit(2)).alias("o"), "node"))
+    other = named.join(mixed.select("bucket", "main"), "bucket").filter("label = main").groupBy("bucket").agg(again.alias("other")).select("bucket", F.col("other.node").alias("other"))
+    second = named.join(mixed.select("bucket", "main"), "bucket").filter("label != main").join(other, "bucket")
+    more = materialize(_checked(_pairs(second, "other"), sets, least), "near-more")
+    if not more.isEmpty():
+        links = links.union(more)
+        labels = components(links)
+        named, mixed = _mixed(members, labels)
+    # what is still mixed is gone through exactly
     if not mixed.isEmpty():
-        more = materialize(_exact(named.join(mixed, "bucket"), sets, least), "near-more")
+        more = materialize(_exact(named.join(mixed, "bucket"), sets, least), "near-rest")
         if not more.isEmpty():
             labels = components(links.union(more))
     class_of = labels.select(F.col("node").alias("labelled"), "label")
@@ -224,6 +236,24 @@ def classes(
     ).withColumn("class_id", F.when(F.col(id_col).isNotNull(), F.col("class_id")))
 
 
+def _pairs(members: DataFrame, head: str) -> DataFrame:
+    """Each member with its head, once, the larger id as ``u``."""
+    ends = members.filter(F.col(head) != F.col("node"))
+    return ends.select(F.greatest(head, "node").alias("u"), F.least(head, "node").alias("v")).distinct()
+
+
+def _mixed(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members with their class, and the buckets of several: largest class, members, and members outside it.
+
+    A bucket of two is left out: its pair was compared.
+    """
+    named = members.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
+    parts = named.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    mixed = parts.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("all"), F.count("*").alias("labels"))
+    mixed = mixed.filter("labels > 1 and all > 2").select("bucket", F.col("main.label").alias("main"), "all", (F.col("all") - F.col("main.n")).alias("minor"))
+    return named, materialize(mixed, "near-mixed")
+
+
 def _exact(rows: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """Links between members of different classes in mixed buckets; rows are bucket, node, label, main, all, minor."""
     blocks = {"minor": F.ceil(F.col("minor") / BLOCK).cast("int"), "all": F.ceil(F.col("all") / BLOCK).cast("int")}
