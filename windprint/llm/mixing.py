@@ -84,7 +84,7 @@ def mix(
     topic, tokens, weight, prob, sampled = fresh(docs, "topic", "tokens", "weight", "prob", "sampled")
     parts = {"source": F.col(source_col), "lang": F.col(lang_col), "topic": topic_of(text_of(text_col))}
     sized = docs.withColumns({topic: parts["topic"], tokens: token_count(text_of(text_col))})
-    cells = sized.groupBy(F.col(source_col).alias("source"), F.col(lang_col).alias("lang"), F.col(topic).alias("topic")).agg(F.sum(tokens).alias("tokens"))
+    cells = materialize(sized.groupBy(F.col(source_col).alias("source"), F.col(lang_col).alias("lang"), F.col(topic).alias("topic")).agg(F.sum(tokens).alias("tokens")), "mix-cells")
     probs = materialize(calibrate(rake(cells, temper), rate), "mix-probs").select(
         F.col("source").alias("cell_source"), F.col("lang").alias("cell_lang"), F.col("topic").alias("cell_topic"),
         F.coalesce(F.col("weight") / F.nullif("tokens", F.lit(0)), F.lit(0.0)).alias("cell_weight"), F.col("prob").alias("cell_prob"),
