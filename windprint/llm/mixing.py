@@ -78,7 +78,7 @@ def mix(
     The cells (source, language, topic) are few, whatever the input: only their token sums are raked. A document is
     sampled when a hash of its id, the seed and its text lies below its cell's probability, so a retried task and a
     repeated row decide alike. Null source or language is a category of its own; a null text has no tokens and the
-    topic of an empty one; rows without tokens weigh 0. An empty table gives an empty result. All columns are kept;
+    topic of an empty one; cells without tokens have weight 0. An empty table gives an empty result. All columns are kept;
     a new one gets underscores appended where its name is taken.
     """
     topic, tokens, weight, prob, sampled = fresh(docs, "topic", "tokens", "weight", "prob", "sampled")
