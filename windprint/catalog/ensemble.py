@@ -149,9 +149,13 @@ def td_stream(t):
 
 def windowed(t, name, length):
     keys = ["run_id", "win_start", "j", "i"]
-    s = inc.footprint_windows(td_stream(t), framed(t), DOM, length)
-    s = s.select("run_id", F.unix_seconds("win.start").alias("win_start"), "j", "i", "flux", "conc")
-    return inc.latest(t.spark, inc.run_updates(s, inc.shared_folder(t.spark, name)), keys)
+    frames = materialize(framed(t), "framed")
+
+    def parts(batch):
+        s = inc.footprint_windows(batch, frames, DOM, length)
+        return s.select("run_id", F.unix_seconds("win.start").alias("win_start"), "j", "i", "flux", "conc")
+
+    return inc.summed(t.spark, inc.run_updates(td_stream(t), inc.shared_folder(t.spark, name), parts), keys, ["flux", "conc"])
 
 
 def _win_sql(sec):

@@ -289,7 +289,7 @@ def _(t):
     """WITH r AS (SELECT run_id, wt_f, row_number() OVER (PARTITION BY run_id ORDER BY wt_f DESC) AS r,
         count(*) OVER (PARTITION BY run_id) AS n FROM wt),
     tp AS (SELECT run_id, n, max(abs(wt_f)) AS max_weight, sum(abs(wt_f)) AS top FROM r
-        WHERE r <= least(greatest(CAST(floor(n*0.001) AS BIGINT), 1), 2000) GROUP BY ALL)
+        WHERE r <= greatest(CAST(floor(n*0.001) AS BIGINT), 1) GROUP BY ALL)
     SELECT run_id, max_weight, top/(SELECT sum(abs(flux)) FROM cells_static c WHERE c.run_id = tp.run_id) AS top0p1pct_share, n AS n_touchdown FROM tp""",
     {"max_weight": 6, "top0p1pct_share": 8},
 )

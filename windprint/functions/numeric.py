@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 INF = float("inf")
 
@@ -71,3 +72,10 @@ def interp_levels(x: Column, xs: Column, fs: Column) -> Column:
     f0, f1 = F.get(fs, lo - 1), F.get(fs, lo)
     t = clip(F.coalesce(F.try_divide(x - x0, x1 - x0), F.lit(0.0)), 0.0, 1.0)
     return F.when(n == 1, F.get(fs, F.lit(0))).otherwise(f0 + (f1 - f0) * t)
+
+
+def neighbour(value: Column | str, along: str, w: WindowSpec, step: int) -> Column:
+    """The value at index ``along`` + ``step`` (1 or -1) of a window ordered by
+    ``along``; NULL where that index is absent, whatever row comes next."""
+    at = F.lead if step > 0 else F.lag
+    return F.when(at(along).over(w) == F.col(along) + step, at(value).over(w))

@@ -10,13 +10,12 @@ from pyspark.sql import functions as F
 from .footprint import field_peak_centroid, overlap
 from .ordered import exact_quantiles
 
-MEMBER_ROWS_TO_BROADCAST = 1_000_000
-
-
 def lag_autocorr(metrics: DataFrame, keys: Sequence[str], order: str, values: Sequence[str], lags: int = 4) -> DataFrame:
     """Autocorrelation of per-window metrics; NULLs drop out of both sums.
 
-    A key has one row per sub-window, so its window is small by construction.
+    ``order`` numbers the sub-windows: a missing one is a gap, not a neighbour,
+    and counts in ``windows``. A key has one row per sub-window, so its window
+    is small by construction.
     """
     w, wk = Window.partitionBy(*keys).orderBy(order), Window.partitionBy(*keys)
     d = metrics
@@ -24,13 +23,14 @@ def lag_autocorr(metrics: DataFrame, keys: Sequence[str], order: str, values: Se
         d = d.withColumn(f"d_{v}", F.col(v) - F.avg(v).over(wk))
     for v in values:
         for n in range(1, lags + 1):
-            d = d.withColumn(f"_{v}_{n}", F.col(f"d_{v}") * F.lag(f"d_{v}", n).over(w))
+            d = d.withColumn(f"_{v}_{n}", F.col(f"d_{v}") * F.max(f"d_{v}").over(w.rangeBetween(-n, -n)))
     aggs = [
         F.try_divide(F.coalesce(F.sum(f"_{v}_{n}"), F.lit(0.0)), F.sum(F.col(f"d_{v}") * F.col(f"d_{v}"))).alias(f"{v}_lag{n}")
         for v in values
         for n in range(1, lags + 1)
     ]
-    return d.groupBy(*keys).agg(F.count(F.lit(1)).alias("windows"), (2.0 / F.sqrt(F.count(F.lit(1)))).alias("bound"), *aggs)
+    slots = F.max(order) - F.min(order) + 1
+    return d.groupBy(*keys).agg(slots.cast("bigint").alias("windows"), (2.0 / F.sqrt(slots)).alias("bound"), *aggs)
 
 
 def draw_members(spark: SparkSession, draws: int, nsub: int, seed: int = 0) -> DataFrame:
@@ -58,8 +58,6 @@ def draw_means(maps: DataFrame, members: DataFrame, keys: Sequence[str], nsub: i
         members = first.withColumn("rank", F.row_number().over(Window.partitionBy("draw").orderBy("rank")))
         rest = maps.where(F.col("sub") >= half).groupBy(*keys, "j", "i").agg((F.sum("f") / (nsub - half)).alias("f"))
         ref = rest.withColumn("draw", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(draws - 1).cast("bigint"))))
-    if draws * nsub <= MEMBER_ROWS_TO_BROADCAST:
-        members = F.broadcast(members)
     hit = maps.join(members, "sub")
     # n = half+1 stands for the held-out half of the draw
     sizes = F.when(F.col("rank") <= half, F.sequence(F.col("rank"), F.lit(half))).otherwise(F.array(F.lit(half + 1)))

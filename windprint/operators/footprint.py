@@ -359,7 +359,7 @@ def accumulate(w: DataFrame, dom: Domain, marks: Sequence[float] = MARKS, t_back
     top = (nfy + 0.5) * dom.dx
     b = F.when(F.col("x_up") == top, F.lit(2 * nfy - 1)).otherwise(F.floor(F.col("x_up") / dom.dx - 0.5) + nfy)
     bins = [key("fy", b, zero, one)]
-    ages = [F.when(F.col("td_age") <= m, key("age", F.lit(round(m)), zero, one)) for m in (*marks, t_back)]
+    ages = [F.when(F.col("td_age") <= m, key("age", F.lit(n), zero, one)) for n, m in enumerate((*marks, t_back))]
     disps = [F.when(F.col("disp") <= f * dom.length, key("disp", F.lit(n), zero, one)) for n, f in enumerate(DISP_FRACTIONS)]
     rest = [key("all", zero, zero, one), F.when(F.col("wrapped"), key("wrap", zero, zero, one))]
     keys = F.array(*cells, *bins, *ages, *disps, *rest)
@@ -530,9 +530,9 @@ def shape_l1(a: DataFrame, b: DataFrame, keys: Sequence[str], unit: bool = False
     )
 
 
-def tail_share(w: DataFrame, cells: DataFrame, keys: Sequence[str] = ("run_id",), keep: int = 2000) -> DataFrame:
+def tail_share(w: DataFrame, cells: DataFrame, keys: Sequence[str] = ("run_id",)) -> DataFrame:
     """Largest single weight and the share of the largest 0.1% of touchdowns."""
-    k = F.least(F.greatest(F.floor(F.col("total") * 0.001), F.lit(1)), F.lit(keep)).cast("double")
+    k = F.greatest(F.floor(F.col("total") * 0.001), F.lit(1)).cast("double")
     top = top_sum(w, keys, "wt_f", k)
     tot = cells.groupBy(*keys).agg(F.sum(F.abs("flux")).alias("tot"))
     return top.join(tot, list(keys)).select(

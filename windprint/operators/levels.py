@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import boundary_layer as bl
 from ..functions import geometry as geo
-from ..functions.numeric import isfinite, ratio
+from ..functions.numeric import isfinite, neighbour, ratio
 
 KAPPA, G = 0.4, 9.81
 
@@ -253,8 +253,8 @@ def lag1_autocorr(cells: DataFrame, value: str = "w") -> DataFrame:
     """
     plane = ["run_id", "step", "k"]
     c = cells.select(*plane, "j", "i", F.col(value).alias("f")).repartition(*plane)
-    c = c.withColumn("fx", F.lag("f").over(Window.partitionBy(*plane, "j").orderBy("i")))
-    c = c.withColumn("fy", F.lag("f").over(Window.partitionBy(*plane, "i").orderBy("j")))
+    c = c.withColumn("fx", neighbour("f", "i", Window.partitionBy(*plane, "j").orderBy("i"), -1))
+    c = c.withColumn("fy", neighbour("f", "j", Window.partitionBy(*plane, "i").orderBy("j"), -1))
 
     def pair(p: str) -> list[Column]:
         both = F.when(F.col(p).isNotNull(), F.col("f"))
@@ -409,9 +409,9 @@ def vertical_gradient(cells: DataFrame, levels: DataFrame, values: Sequence[str]
     """Second-order d/dz on uneven levels, one column at a time."""
     w = Window.partitionBy("run_id", "step", "j", "i").orderBy("k")
     c = cells.join(levels.select("run_id", "k", "z", "dz"), ["run_id", "k"])
-    zm, zp = F.lag("z").over(w), F.lead("z").over(w)
+    zm, zp = neighbour("z", "k", w, -1), neighbour("z", "k", w, 1)
     return c.withColumns(
-        {f"d{v}_dz": geo.level_gradient(F.col(v), F.lag(v).over(w), F.lead(v).over(w), F.col("z"), zm, zp) for v in values}
+        {f"d{v}_dz": geo.level_gradient(F.col(v), neighbour(v, "k", w, -1), neighbour(v, "k", w, 1), F.col("z"), zm, zp) for v in values}
     )
 
 

@@ -118,22 +118,6 @@ def wide_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequen
     return long.groupBy(*keys).agg(F.max("n").alias("n"), *cols)
 
 
-def mass_threshold(df: DataFrame, keys: Sequence[str], value: str, frac: float) -> DataFrame:
-    """(keys, thr, total): value of the first row, in descending order, whose
-    running sum reaches ``frac`` of the total. Keys with total <= 0 are absent.
-    """
-    mass = materialize(distinct_mass(df.withColumn("_w", F.col(value)), keys, value, "_w"), "values")
-    rows = bucketed(mass, keys, descending=True)
-    off = bucket_offsets(rows, keys).where(F.col("total") > 0)
-    first = F.min(F.when(F.col("through") >= frac * F.col("total"), F.col("_b"))).over(Window.partitionBy(*keys))
-    wanted = off.withColumn("b_hit", first).where(F.col("_b") == F.coalesce("b_hit", "_b"))
-    cand = _inside(rows, wanted, keys, True)
-    return cand.groupBy(*keys).agg(
-        F.coalesce(F.max(F.when(F.col("c1") >= frac * F.col("total"), F.col("_v"))), F.min("_v")).alias("thr"),
-        F.max("total").alias("total"),
-    )
-
-
 def with_threshold(field: DataFrame, keys: Sequence[str], fracs: dict[str, float], value: str = "f") -> DataFrame:
     """Add, per name in ``fracs``, the value of the first cell in descending
     order whose running sum reaches that share of the key's total (NULL where
@@ -158,7 +142,7 @@ def mass_threshold(df: DataFrame, keys: Sequence[str], value: str, frac: float)
     running sum reaches ``frac`` of the total. Keys with total <= 0 are absent.
     """
     f = df.withColumn("_w", F.col(value))
-    rows = bucketed(distinct_mass(f, keys, value, "_w"), keys, descending=True)
+    rows = bucketed(materialize(distinct_mass(f, keys, value, "_w"), "values"), keys, descending=True)
     off = bucket_offsets(rows, keys).where(F.col("total") > 0)
     first = F.min(F.when(F.col("through") >= frac * F.col("total"), F.col("_b"))).over(Window.partitionBy(*keys))
     wanted = off.withColumn("b_hit", first).where(F.col("_b") == F.coalesce("b_hit", "_b"))

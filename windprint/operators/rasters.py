@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
 from ..functions.geometry import Domain
+from ..functions.numeric import neighbour
 from .ordered import exact_quantiles, wide_quantiles
 
 # Land-cover class -> roughness length [m].
@@ -132,7 +133,7 @@ def taper_terrain(cells: DataFrame, keys: Sequence[str], value: str, dom: Domain
 
 def _pass121(cells: DataFrame, keys: Sequence[str], value: str, across: str, along: str) -> DataFrame:
     w = Window.partitionBy(*keys, across).orderBy(along)
-    lo, hi = F.lag(value).over(w), F.lead(value).over(w)
+    lo, hi = neighbour(value, along, w, -1), neighbour(value, along, w, 1)
     inner = 0.25 * lo + 0.5 * F.col(value) + 0.25 * hi
     return cells.withColumn(value, F.when(lo.isNull() | hi.isNull(), F.col(value)).otherwise(inner))
 
@@ -191,7 +192,7 @@ def edge_slope(cells: DataFrame, keys: Sequence[str], value: str, dx: float) ->
 
     def grad(across: str, along: str) -> Column:
         w = Window.partitionBy(*keys, across).orderBy(along)
-        lo, hi, here = F.lag(value).over(w), F.lead(value).over(w), F.col(value)
+        lo, hi, here = neighbour(value, along, w, -1), neighbour(value, along, w, 1), F.col(value)
         return F.when(lo.isNull(), (hi - here) / dx).when(hi.isNull(), (here - lo) / dx).otherwise((hi - lo) / (2 * dx))
 
     return cells.withColumn("gy", grad("i", "j")).withColumn("gx", grad("j", "i")).withColumn("slope", F.hypot("gx", "gy"))

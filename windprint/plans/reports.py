@@ -170,7 +170,8 @@ def compute_footprint(touchdowns: DataFrame, releases: DataFrame, surface: DataF
     acc = materialize(fp.accumulate(w, dom), "account")
     sums = acc.where(F.col("kind").isin("age", "disp")).groupBy("run_id", "kind", "a").agg(F.sum("flux").alias("s"))
     sums = sums.join(frames.select("run_id", "n_particles"), "run_id").withColumn("integral", F.col("s") / F.greatest("n_particles", F.lit(1)))
-    edges = F.element_at(F.array(*[F.lit(f) for f in fp.DISP_FRACTIONS]), (F.col("a") + 1).cast("int"))
+    at = lambda values: F.element_at(F.array(*[F.lit(float(v)) for v in values]), (F.col("a") + 1).cast("int"))
+    edges, marks = at(fp.DISP_FRACTIONS), at((*fp.MARKS, 900.0))
     out = {
         "frames": frames,
         "map": fp.density(fp.account_cells(acc), frames, run, dom.area),
@@ -178,7 +179,7 @@ def compute_footprint(touchdowns: DataFrame, releases: DataFrame, surface: DataF
         "halves": fp.density(fp.account_cells(acc, True), fp.half_totals(framed), ["run_id", "half"], dom.area),
         "fy": fp.account_fy(acc, frames, run, dom),
         "fy_halves": fp.account_fy(acc, fp.half_totals(framed), ["run_id", "half"], dom),
-        "capture": sums.where(F.col("kind") == "age").select("run_id", F.col("a").cast("double").alias("mark"), "integral"),
+        "capture": sums.where(F.col("kind") == "age").select("run_id", marks.alias("mark"), "integral"),
         "by_disp": sums.where(F.col("kind") == "disp").select("run_id", edges.alias("frac_of_lx"), "integral"),
         "scalars": fp.account_scalars(acc, frames),
     }
