@@ -31,7 +31,7 @@ def digests(coded: DataFrame) -> DataFrame:
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = mixing.mix(table(spark, sf_dir, "documents"))
-    return m.select("doc_id", "source", "lang", "topic", "tokens", F.round(F.col("weight") * 1e6, 6).alias("weight_ppm"), F.round("prob", 6).alias("prob"), "sampled")
+    return m.select("doc_id", "source", "lang", "topic", "tokens", F.round(F.col("weight") * 1e6, 4).alias("weight_ppm"), F.round("prob", 5).alias("prob"), "sampled")
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,4 +62,47 @@ def op10_norm_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_bit_search, op2_quality, op3_bpe, op4_mixing, op5_line_dedup, op6_dart_minhash, op7_sharding, op8_suffix_dedup, op9_pii, op10_norm_search)}
-ORACLES: dict[str, str] = {}
+
+
+def _mixing_sql() -> str:
+    """Raking as a chain of windows: all sweeps, each over source, language and topic."""
+    targets, joins = [], []
+    for name, power in mixing.TEMPER.items():
+        targets.append(f"t_{name} AS (SELECT {name}, pow(sum(tokens)::DOUBLE, {power}) / sum(pow(sum(tokens)::DOUBLE, {power})) OVER () AS {name}_target FROM cells GROUP BY {name})")
+        joins.append(f"JOIN t_{name} USING ({name})")
+    steps, last = [], "w0"
+    for i in range(mixing.SWEEPS):
+        for name in mixing.TEMPER:
+            new = f"w{i}_{name}"
+            steps.append(f"{new} AS (SELECT * REPLACE (w * {name}_target / sum(w) OVER (PARTITION BY {name}) AS w) FROM {last})")
+            last = new
+    return f"""WITH d AS (SELECT doc_id, source, lang, text, len(regexp_extract_all(text, '[^ \\t\\r\\n]+')) AS tokens,
+        CASE WHEN regexp_matches(text, '[#$%&*!]{{2,}}') THEN 'noise' WHEN regexp_matches(text, '[0-9]') THEN 'figures' WHEN length(text) < 400 THEN 'brief' ELSE 'prose' END AS topic FROM documents),
+      cells AS (SELECT source, lang, topic, sum(tokens) AS tokens FROM d GROUP BY ALL),
+      {", ".join(targets)},
+      w0 AS (SELECT cells.*, {", ".join(f"{n}_target" for n in mixing.TEMPER)}, tokens::DOUBLE AS w FROM cells {" ".join(joins)}),
+      {", ".join(steps)},
+      c AS (SELECT *, w / tokens AS r, sum(tokens) OVER o AS upto, sum(w) OVER o AS mass, sum(tokens) OVER () AS total, sum(w) OVER () AS whole
+        FROM {last} WINDOW o AS (ORDER BY w / tokens DESC, lang, source, topic ROWS UNBOUNDED PRECEDING)),
+      k AS (SELECT arg_max(f, r) AS f FROM (SELECT r, ({mixing.RATE} * total - (upto - tokens)) / (whole - mass + tokens * r) AS f FROM c) WHERE f * r <= 1 + 1e-12),
+      p AS (SELECT source, lang, topic, r, least(1.0, f * r) AS prob FROM c, k)
+      SELECT doc_id, source, lang, topic, tokens, round(r * 1e6, 4) AS weight_ppm, round(prob, 5) AS prob,
+        ('0x' || substr(md5(concat_ws(':', {mixing.SEED}, doc_id, md5(text))), 1, 7))::BIGINT / {1 << 28}::DOUBLE < prob AS sampled
+      FROM d JOIN p USING (source, lang, topic)"""
+
+
+ORACLES: dict[str, str] = {
+    "op4_mixing": _mixing_sql(),
+    "op5_line_dedup": """WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+      w AS (SELECT doc_id, p, ls[p] AS a, ls[p + 1] AS b, ls[p + 2] AS c FROM (SELECT *, unnest(range(1, len(ls) - 1)) AS p FROM l) WHERE trim(ls[p] || ls[p + 1] || ls[p + 2]) <> ''),
+      r AS (SELECT doc_id, p, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, p) AS n FROM w),
+      gone AS (SELECT DISTINCT doc_id, p + d AS p FROM r, (VALUES (0), (1), (2)) AS v(d) WHERE n > 1),
+      one AS (SELECT doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS p FROM l)
+      SELECT doc_id, count(*)::INTEGER AS n_lines, count(gone.p)::INTEGER AS n_removed,
+        coalesce(string_agg(line, chr(10) ORDER BY one.p) FILTER (gone.p IS NULL), '') AS kept_text
+      FROM one LEFT JOIN gone USING (doc_id, p) GROUP BY doc_id""",
+    "op10_norm_search": """WITH v AS (SELECT vec_id, [floor(256 * x::DOUBLE) FOR x IN embedding] AS e FROM embeddings),
+      s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score FROM v q, v c WHERE q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+      r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+      SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+}
