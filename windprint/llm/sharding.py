@@ -106,5 +106,10 @@ def _cuts(cells: DataFrame, shards: int) -> list[int]:
              named_struct('starts', t.starts, 'fill', t.fill + c.size, 'at', t.at + c.size),
              named_struct('starts', concat(t.starts, array(c.cell)), 'fill', c.size, 'at', t.at + c.size)), t -> t.starts)
     """.format(k=shards)
-    found = listed.withColumn("capacity", F.expr(search)).withColumn("earliest", F.expr(earliest)).select(F.expr(greedy).alias("starts")).first()
-    return list(found["starts"])
+    # each step's few numbers become literals: as columns they would be worked out again inside the next step's lambda
+    listed = materialize(listed, "shard-cells")
+    capacity = listed.select(F.expr(search).alias("capacity")).first()["capacity"]
+    sized = listed.withColumn("capacity", F.lit(capacity).cast("long"))
+    cuts = sized.select(F.expr(earliest).alias("cuts")).first()["cuts"]
+    sized = sized.withColumn("earliest", F.array(*[F.lit(c) for c in cuts]).cast("array<bigint>"))
+    return list(sized.select(F.expr(greedy).alias("starts")).first()["starts"])
