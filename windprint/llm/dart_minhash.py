@@ -140,18 +140,23 @@ def components(edges: DataFrame) -> DataFrame:
     """``node, label`` of every node of ``edges`` (u, v): the smallest node of its connected component.
 
     In each round every node points to its smallest neighbour below it, and edges are drawn anew between what their
-    ends point to, equal ones being one: a star vanishes in one round. Then the pointers are followed, rounds from
-    last to first. Each round is written, so a lost executor costs its tasks only.
+    ends point to, equal ones being one: a star vanishes in one round. Then the pointers are followed, from the first
+    round to the last. The edges of each round are written, so a lost executor costs its tasks only; the pointers
+    follow from them by one aggregation.
     """
     ends = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v").distinct(), "near-edges")
     nodes = ends.select(F.col("u").alias("node")).union(ends.select(F.col("v").alias("node"))).distinct()
-    labels = materialize(nodes.select("node", F.col("node").alias("label")), "near-labels")
+    rounds = []
     while not ends.isEmpty():
-        up = materialize(ends.groupBy(F.col("u").alias("low")).agg(F.min("v").alias("high")), "near-up")
+        up = ends.groupBy(F.col("u").alias("low")).agg(F.min("v").alias("high"))
         moved = ends.join(up.select(F.col("low").alias("u"), F.col("high").alias("x")), "u")
         moved = moved.join(up.select(F.col("low").alias("v"), F.col("high").alias("y")), "v", "left").select("x", F.coalesce("y", "v").alias("y"))
         ends = materialize(moved.filter("x != y").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct(), "near-edges")
-        labels = materialize(labels.join(up.withColumnRenamed("low", "label"), "label", "left").select("node", F.coalesce("high", "label").alias("label")), "near-labels")
+        rounds.append(up)
+    labels = nodes.select("node", F.col("node").alias("label"))
+    for up in rounds:
+        labels = labels.join(up.withColumnRenamed("low", "label"), "label", "left").select("node", F.coalesce("high", "label").alias("label"))
+    labels = materialize(labels, "near-labels")
     # a label may itself have been moved in the round that reached it
     while True:
         further = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
