@@ -235,6 +235,16 @@ def test_exact_pass_over_mixed_buckets(spark):
     table = spark.createDataFrame([(k, np.array(v, "<u4").tobytes()) for k, v in sets.items()], "node long, shingles binary")
     got = dart_minhash._exact(spark.createDataFrame([(1, *r[1:]) for r in rows], "bucket long, node long, label long, main long, all long, minor long"), table, 0.8)
     assert {frozenset((r.u, r.v)) for r in got.collect()} == {frozenset(x) for x in ((4, 1), (4, 2), (4, 3), (5, 6))}
+    joined = dart_minhash._exact(spark.createDataFrame([(1, *r[1:]) for r in rows], "bucket long, node long, label long, main long, all long, minor long"), table, 0.8, of_classes=True)
+    assert {frozenset((r.u, r.v)) for r in joined.collect()} == {frozenset(x) for x in ((4, 1), (5, 6))}
+
+
+def test_components_of_a_long_chain(spark):
+    ids = [int(x) for x in np.random.default_rng(3).permutation(10**6)[:300]]
+    chain = [*zip(ids, ids[1:]), *zip(range(2_000_000, 2_000_200), range(2_000_001, 2_000_201))]
+    got = {r.node: r.label for r in dart_minhash.components(spark.createDataFrame(chain, "u long, v long")).collect()}
+    assert got.keys() == {*ids, *range(2_000_000, 2_000_201)}
+    assert len({got[i] for i in ids}) == 1 and len(set(got.values())) == 2 and {*got.values()} <= got.keys()
 
 
 def repeats_by_hand(rows):

@@ -137,14 +137,16 @@ def similarity(x: np.ndarray, y: np.ndarray) -> float:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``node, label`` of every node of ``edges`` (u, v): the smallest node of its connected component.
+    """``node, label`` of every node of ``edges`` (u, v): one node of its connected component, the same for all of it.
 
-    In each round every node points to its smallest neighbour below it, and edges are drawn anew between what their
-    ends point to, equal ones being one: a star vanishes in one round. Then the pointers are followed, from the first
-    round to the last. The edges of each round are written, so a lost executor costs its tasks only; the pointers
-    follow from them by one aggregation.
+    Nodes are taken in a hashed order. In each round every node points to its first neighbour before it, and edges are
+    drawn anew between what their ends point to, equal ones being one: a star vanishes in one round, and a chain has
+    no long run in that order, whatever its ids. Then the pointers are followed, from the first round to the last. The
+    edges of each round are written, so a lost executor costs its tasks only; the pointers follow from them by one
+    aggregation.
     """
-    ends = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v").distinct(), "near-edges")
+    x, y = (F.struct(F.xxhash64(c).alias("o"), F.col(c).alias("id")) for c in ("u", "v"))
+    ends = materialize(edges.filter("u != v").select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).distinct(), "near-edges")
     nodes = ends.select(F.col("u").alias("node")).union(ends.select(F.col("v").alias("node"))).distinct()
     rounds = []
     while not ends.isEmpty():
@@ -156,7 +158,7 @@ def components(edges: DataFrame) -> DataFrame:
     labels = nodes.select("node", F.col("node").alias("label"))
     for up in rounds:
         labels = labels.join(up.withColumnRenamed("low", "label"), "label", "left").select("node", F.coalesce("high", "label").alias("label"))
-    labels = materialize(labels, "near-labels")
+    labels = materialize(labels.select("node.id", "label.id").toDF("node", "label"), "near-labels")
     # a label may itself have been moved in the round that reached it
     while True:
         further = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
@@ -192,12 +194,11 @@ def classes(
     of links. A pair of similarity 0.8 shares a band with probability 0.9998.
 
     Documents of equal sets collapse to one node first. In each bucket (band and its hash) every node is compared
-    with one head, the first in a hashed order, not with all others: the pairs are at most as many as the members.
-    Members of other classes than the bucket's largest then meet a second member of that one. Buckets that still hold
-    several classes are gone through exactly: their members outside the largest class meet all members, in blocks,
-    inside tasks that emit links alone. So no link between bucket members of different classes is lost, and a group
-    of thousands of copies never makes all pairs. Similarities are exact up to equal 32-bit hashes of different
-    shingles.
+    with two heads, the first in two hashed orders, not with all others: the pairs are at most twice the members.
+    Buckets that then hold several classes are gone through exactly: their members outside the largest class meet all
+    members, in blocks, inside tasks that emit links between classes alone, and none twice. So no link between bucket
+    members of different classes is lost, and a group of thousands of copies never makes all pairs. Similarities are
+    exact up to equal 32-bit hashes of different shingles.
 
     Nulls: a row with null id is in no class (both columns null). Null and empty texts, or blank ones, have no
     shingles and are a class of their own each. Texts under five words have one shingle of all their words. Rows
@@ -208,30 +209,21 @@ def classes(
     copies = materialize(some.groupBy("a", "b").agg(F.min("id").alias("node")), "near-copies")
     nodes = some.join(copies.select(F.col("a").alias("ca"), F.col("b").alias("cb"), "node"), (F.col("id") == F.col("node")) & (F.col("a") == F.col("ca")) & (F.col("b") == F.col("cb")))
     in_band = nodes.select("node", F.explode("bands").alias("bucket"))
-    # one order for all bands: a node of a dense group meets the same few heads in most of its buckets
-    heads = in_band.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node").alias("o"), "node")).alias("head"), F.max("node").alias("most"), F.min("node").alias("least"))
-    heads = materialize(heads.filter("most != least").select("bucket", F.col("head.node").alias("head")), "near-heads")
+    # the same orders for all bands: a node of a dense group meets the same few heads in most of its buckets
+    first, second = (F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("o"), "node")).alias(f"h{k}") for k in (1, 2))
+    heads = in_band.groupBy("bucket").agg(first, second, F.max("node").alias("most"), F.min("node").alias("least"))
+    heads = materialize(heads.filter("most != least").select("bucket", F.array("h1.node", "h2.node").alias("heads")), "near-heads")
     members = materialize(in_band.join(heads, "bucket"), "near-members")
     sets = materialize(nodes.join(members.select(F.col("node").alias("m")).distinct(), F.col("node") == F.col("m"), "left_semi").select("node", "shingles"), "near-sets")
-    links = materialize(_checked(_pairs(members, "head"), sets, least), "near-links")
-    labels = components(links)
-
-    # members outside their bucket's largest class meet another member of that class
+    labels = components(materialize(_checked(_pairs(members), sets, least), "near-links"))
+    # buckets that are still mixed are gone through exactly
     named, mixed = _mixed(members, labels)
-    again = F.min(F.struct(F.xxhash64("node", F.lit(2)).alias("o"), "node"))
-    other = named.join(mixed.select("bucket", "main"), "bucket").filter("label = main").groupBy("bucket").agg(again.alias("other")).select("bucket", F.col("other.node").alias("other"))
-    second = named.join(mixed.select("bucket", "main"), "bucket").filter("label != main").join(other, "bucket")
-    more = materialize(_checked(_pairs(second, "other"), sets, least), "near-more")
-    if not more.isEmpty():
-        links = links.union(more)
-        labels = components(links)
-        named, mixed = _mixed(members, labels)
-    # what is still mixed is gone through exactly
     if not mixed.isEmpty():
-        more = materialize(_exact(named.join(mixed, "bucket"), sets, least), "near-rest")
-        if not more.isEmpty():
-            labels = components(links.union(more))
-    class_of = labels.select(F.col("node").alias("labelled"), "label")
+        more = components(materialize(_exact(named.join(mixed, "bucket"), sets, least, of_classes=True).distinct(), "near-rest"))
+        joined = named.select("node", "label").distinct().join(more.select(F.col("node").alias("label"), F.col("label").alias("into")), "label", "left")
+        labels = materialize(joined.select("node", F.coalesce("into", "label").alias("label")), "near-labels")
+    smallest = labels.groupBy("label").agg(F.min("node").alias("class"))
+    class_of = labels.join(smallest, "label").select(F.col("node").alias("labelled"), F.col("class").alias("label"))
     whole = sk.select("id", "a", "b").join(copies, ["a", "b"], "left")
     named_rows = whole.join(class_of, F.col("node") == F.col("labelled"), "left")
     return named_rows.select(
@@ -241,10 +233,10 @@ def classes(
     ).withColumn("class_id", F.when(F.col(id_col).isNotNull(), F.col("class_id")))
 
 
-def _pairs(members: DataFrame, head: str) -> DataFrame:
-    """Each member with its head, once, the larger id as ``u``."""
-    ends = members.filter(F.col(head) != F.col("node"))
-    return ends.select(F.greatest(head, "node").alias("u"), F.least(head, "node").alias("v")).distinct()
+def _pairs(members: DataFrame) -> DataFrame:
+    """Each member with the heads of its bucket, once, the larger id as ``u``."""
+    ends = members.select("node", F.explode("heads").alias("head")).filter("head != node")
+    return ends.select(F.greatest("head", "node").alias("u"), F.least("head", "node").alias("v")).distinct()
 
 
 def _mixed(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -259,8 +251,12 @@ def _mixed(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]
     return named, materialize(mixed, "near-mixed")
 
 
-def _exact(rows: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Links between members of different classes in mixed buckets; rows are bucket, node, label, main, all, minor."""
+def _exact(rows: DataFrame, sets: DataFrame, least: float, of_classes: bool = False) -> DataFrame:
+    """Links between members of different classes in mixed buckets; rows are bucket, node, label, main, all, minor.
+
+    With ``of_classes`` pairs of classes are returned instead, and classes that a task has joined are one to it: as few
+    pairs as show what belongs together.
+    """
     blocks = {"minor": F.ceil(F.col("minor") / BLOCK).cast("int"), "all": F.ceil(F.col("all") / BLOCK).cast("int")}
     own = {k: F.pmod(F.xxhash64("node", F.lit(k)), n.cast("long")).cast("int") for k, n in blocks.items()}
     outside = F.col("label") != F.col("main")
@@ -273,13 +269,15 @@ def _exact(rows: DataFrame, sets: DataFrame, least: float) -> DataFrame:
         side, node, label = (table.column(c).to_numpy() for c in ("side", "node", "label"))
         held = [np.frombuffer(s, "<u4") for s in table.column("shingles").to_pylist()]
         size = np.array([len(h) for h in held])
-        u, v = [], []
+        own, u, v = label.copy(), [], []
         for x in np.nonzero(side == 0)[0]:
-            fits = np.nonzero((side == 1) & (label != label[x]) & (np.minimum(size, size[x]) >= least * np.maximum(size, size[x])))[0]
+            fits = np.nonzero((side == 1) & (own != own[x]) & (np.minimum(size, size[x]) >= least * np.maximum(size, size[x])))[0]
             for y in fits:
-                if similarity(held[x], held[y]) >= least:
-                    u.append(node[x])
-                    v.append(node[y])
+                if own[y] != own[x] and similarity(held[x], held[y]) >= least:
+                    u.append(label[x] if of_classes else node[x])
+                    v.append(label[y] if of_classes else node[y])
+                    if of_classes:
+                        own[own == own[y]] = own[x]
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     return full.groupBy("bucket", "i", "j").applyInArrow(compare, "u long, v long")
