@@ -111,6 +111,24 @@ def test_mixing(spark, odd, nothing):
     assert mixing.mix(nothing).count() == 0
 
 
+def test_mixing_sample_meets_targets(spark, odd, nothing):
+    sizes = [(900_000, 2000), (4000, 80), (300_000, 700), (3000, 70), (150_000, 400), (2000, 30), (50_000, 100), (1000, 15)]
+    rows = [(s, lang, t, *sizes.pop(0)) for s in "ab" for lang in ("en", "de") for t in ("prose", "brief")]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long, docs long")
+    c = mixing.calibrate(mixing.rake(cells)).toPandas()
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    m = mixing.mix(docs).toPandas()
+    for part, mean, near in ((c, c["expected"], 1e-5), (m, m["copies"], 0.02)):
+        kept, total = mean * part["tokens"], part["tokens"].sum()
+        assert (mean > 1).any() and abs(kept.sum() / total - mixing.RATE) < near
+        for name, power in mixing.TEMPER.items():
+            target = part.groupby(name)["tokens"].sum() ** power
+            assert np.allclose(kept.groupby(part[name]).sum() / kept.sum(), target / target.sum(), atol=near), name
+    few = mixing.mix(documents(spark))
+    assert few.agg(F.sum("copies")).first()[0] == mixing.sample(documents(spark)).count() <= few.count()
+    assert mixing.mix(odd).filter("copies is null or copies < 0").count() == 0 and mixing.sample(nothing).count() == 0
+
+
 PII = [
     (1, "card 4111 1111 1111 1111, again 4111111111111111; not 4111111111111112"), (2, "4111111111111111"), (3, "born 1999-02-28, not 1999-02-30 nor 2023-13-01"),
     (4, "host 10.0.0.255 not 10.0.0.256"), (5, "Call +1 (017) 555-7713!"), (6, "a.b9@mail7.example.com, a.b9@mail7.example.com"), (7, "078-05-1120 but 000-12-3456"),
