@@ -161,6 +161,28 @@ def test_pii(spark, nothing):
     assert pii.pseudonymise(nothing).count() == 0
 
 
+RUNS = [
+    ("10045 2023-05-17", "date", "10045 ", ""), ("1 4111 1111 1111 1111", "card", "1 ", ""), ("4111 1111 1111 1111 12", "card", "", " 12"),
+    ("4111111111111111 123", "card", "", " 123"), ("1234 123-45-6789", "ssn", "1234 ", ""), ("1234 4111 1111 1111 1111", "card", "1234 ", ""),
+    ("7 3782-822463-10005 99", "card", "7 ", " 99"), ("4111 1111 1111 1111 10.0.0.255", "card,ip", "", ""), ("4111 1111 1111 1111 5500 0000 0000 0004", "card", "", ""),
+    ("4111111111111111 2023-05-17", "card,date", "", ""), ("000-12-3456 2023-05-17", "date", "000-12-3456 ", ""), ("1899-01-01 2023-05-17", "date", "1899-01-01 ", ""),
+    ("41111 11111 11111 1", "card", "", ""), ("1 " * 30_000, "", "1 " * 30_000, ""), ("1111 2222 3333 4445", "", "1111 2222 3333 4445", ""),
+]
+
+
+def test_pii_next_to_other_numbers(spark):
+    docs = spark.createDataFrame([(i, r[0]) for i, r in enumerate(RUNS)], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.pseudonymise(docs).collect()}
+    single = pii.pseudonymise(spark.createDataFrame([("4111 1111 1111 1111",)], "text string")).first().new_text
+    for i, (text, kinds, before, after) in enumerate(RUNS):
+        new = got[i].new_text
+        assert ",".join(got[i].kinds) == kinds and new.startswith(before) and new.endswith(after) and (new != text) == bool(kinds), text
+        if kinds.startswith("card"):
+            assert "4111 1111 1111 1111" not in new and "4111111111111111" not in new and ("4111 1111 1111 1111" not in text or single in new), text
+        assert not kinds.endswith(("date", "ssn", "ip")) or new.split(" ")[-1] != text.split(" ")[-1], text
+    assert got[8].n_replaced == 2 and [got[i].n_replaced for i in (0, 1, 7, 13)] == [1, 1, 2, 0]
+
+
 def test_feistel_is_a_permutation(spark):
     n = spark.range(229 * 319).select(F.expr(pii.feistel_number("id", 229, 319, "'k'")).alias("y"))
     assert n.agg(F.countDistinct("y"), F.min("y"), F.max("y")).first()[:] == (73051, 0, 73050)
