@@ -63,6 +63,37 @@ def test_releases_without_touchdown_count(tables):
     assert f == {"hot": 300, "cold": 60, "quiet": 20}
 
 
+def test_runs_without_touchdown_stay_in_every_result(spark, tables):
+    touch, releases = tables
+    w, frames = weighted(tables), fp.release_frames(releases)
+    runs = {"hot", "cold", "quiet"}
+    srf = spark.createDataFrame([(0, j, i, False, i > 7, 40) for j in range(16) for i in range(16)], "site long, j long, i long, water boolean, array boolean, lcclass int")
+    disp = fp.by_displacement(w, frames, DOM).toPandas()
+    assert set(disp["run_id"]) == runs and (disp[disp["run_id"] == "quiet"]["integral"] == 0).sum() == len(fp.DISP_FRACTIONS)
+    cover = fp.cover_share(w, srf, frames).collect()
+    assert {r.run_id for r in cover} == runs and [r[1:] for r in cover if r.run_id == "quiet"] == [(None, None, None)]
+    assert {r.run_id: r.n_touchdown > 0 for r in fp.wrapped_fraction(w, frames).collect()} == {"hot": True, "cold": True, "quiet": False}
+    sweep = {(r.run_id, r.t_back): r for r in fp.frame_sweep(touch, releases, DOM, (900.0, 1200.0)).collect()}
+    quiet = sweep["quiet", 900.0]
+    assert {k[0] for k in sweep} == runs and quiet[2:] == (20, 0.0, 0.0, 0.0, 0.0, 0.0, None)
+    tail = {r.run_id: r[1:] for r in fp.tail_share(w, fp.deposit_static(w, DOM), totals=frames).collect()}
+    assert set(tail) == runs and tail["quiet"] == (None, 0.0, 0)
+    parts = reports.compute_footprint(touch, releases, srf, DOM)
+    assert {r.run_id: r.n_particles for r in parts["scalars"].collect()} == {"hot": 300, "cold": 60, "quiet": 20}
+    assert {r.run_id for r in parts["by_disp"].collect()} == {r.run_id for r in parts["cover"].collect()} == runs
+
+
+def test_report_keeps_runs_without_touchdown_or_parameters(spark, tables):
+    rows = [(run, 5.0, 800.0, 0.4, 5.0, -100.0, 0.8, 0.0) for run in ("hot", "quiet")]
+    params = spark.createDataFrame(rows, "run_id string, zm double, h double, ustar double, u_mean double, L double, sigma_v double, yaw double")
+    got = {r.run_id: r for r in reports.footprint_report(*tables, params, DOM).collect()}
+    assert set(got) == {"hot", "cold", "quiet"}
+    assert got["hot"].integral_les != 0 and got["hot"].integral_kljun > 0 and got["hot"].overlap_kljun is not None
+    assert got["cold"].integral_les != 0 and got["cold"].integral_kljun is None and got["cold"].peak_kljun is None and got["cold"].overlap_kljun is None
+    q = got["quiet"]
+    assert (q.n_particles, q.integral_les, q.wrapped_fraction) == (20, 0.0, 0.0) and q.area80_ha is None and q.peak_x is None and q.integral_kljun > 0
+
+
 def test_halves_sum_to_the_whole(tables):
     w = weighted(tables)
     whole = fp.deposit_static(w, DOM).agg(F.sum("flux")).first()[0]

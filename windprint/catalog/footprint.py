@@ -235,7 +235,7 @@ GROUP BY ALL""")
 
 @query("cover_share", "SELECT * FROM cover_shares", {"share": 8, "share_nowrap": 8})
 def _(t):
-    return fp.cover_share(weighted(t), surface(t))
+    return fp.cover_share(weighted(t), surface(t), frames(t))
 
 
 @query(
@@ -245,7 +245,7 @@ def _(t):
     {"wrapped_fraction": 8},
 )
 def _(t):
-    return fp.wrapped_fraction(weighted(t))
+    return fp.wrapped_fraction(weighted(t), frames(t))
 
 
 @query("split_halves", "SELECT run_id, half, j, i, f FROM fmap_half", {"f": 12})
@@ -295,7 +295,7 @@ def _(t):
 )
 def _(t):
     w = weighted(t)
-    return fp.tail_share(w, fp.deposit_static(w, DOM))
+    return fp.tail_share(w, fp.deposit_static(w, DOM), totals=frames(t))
 
 
 # ---- sub-windows --------------------------------------------------------------

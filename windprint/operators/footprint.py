@@ -236,9 +236,9 @@ def capture_curve(w: DataFrame, totals: DataFrame, dom: Domain, marks: Sequence[
 
 
 def by_displacement(w: DataFrame, totals: DataFrame, dom: Domain) -> DataFrame:
-    """Integral within each multiple of the domain length of true displacement."""
+    """Integral within each multiple of the domain length of true displacement, 0 for a run without touchdowns."""
     sums = [F.sum(F.when(F.col("disp") <= f * dom.length, F.col("wt_f")).otherwise(0.0)).alias(f"s{n}") for n, f in enumerate(DISP_FRACTIONS)]
-    g = w.groupBy("run_id").agg(*sums).join(totals.select("run_id", "n_particles"), "run_id")
+    g = totals.select("run_id", "n_particles").join(w.groupBy("run_id").agg(*sums), "run_id", "left").na.fill(0.0)
     rows = F.array(
         *[
             F.struct(F.lit(f * dom.length).alias("max_disp"), F.lit(f).alias("frac_of_lx"), F.col(f"s{n}").alias("s"))
@@ -260,10 +260,11 @@ def cover_classes() -> Column:
     return F.filter(names, lambda n: n.isNotNull())
 
 
-def cover_share(w: DataFrame, surface: DataFrame) -> DataFrame:
+def cover_share(w: DataFrame, surface: DataFrame, totals: DataFrame | None = None) -> DataFrame:
     """Footprint-weighted class shares, folded and for unwrapped touchdowns only.
 
-    Touchdowns collapse to one row per (run, site, cell) before the raster join.
+    Touchdowns collapse to one row per (run, site, cell) before the raster join. With ``totals``, a run of it that
+    touches no class has one row, whose cover and shares are NULL.
     """
     live = F.when(~F.col("wrapped"), F.col("wt_f")).otherwise(0.0)
     cells = w.groupBy("run_id", "site", F.col("jj").alias("j"), F.col("ii").alias("i")).agg(
@@ -274,7 +275,10 @@ def cover_share(w: DataFrame, surface: DataFrame) -> DataFrame:
     by = hit.select("run_id", "s", "s_nw", F.explode("classes").alias("cover")).groupBy("run_id", "cover").agg(
         F.sum("s").alias("s"), F.sum("s_nw").alias("s_nw")
     )
-    return by.join(tot, "run_id").select(
+    by = by.join(tot, "run_id")
+    if totals is not None:
+        by = totals.select("run_id").join(by, "run_id", "left")
+    return by.select(
         "run_id",
         "cover",
         F.try_divide("s", "t").alias("share"),
@@ -282,11 +286,13 @@ def cover_share(w: DataFrame, surface: DataFrame) -> DataFrame:
     )
 
 
-def wrapped_fraction(w: DataFrame) -> DataFrame:
-    return w.groupBy("run_id").agg(
+def wrapped_fraction(w: DataFrame, totals: DataFrame | None = None) -> DataFrame:
+    """Share of the flux beyond the domain and touchdown count; with ``totals``, zeros for its runs without touchdowns."""
+    g = w.groupBy("run_id").agg(
         (F.sum(F.when(F.col("wrapped"), F.col("wt_f")).otherwise(0.0)) / F.greatest(F.sum("wt_f"), F.lit(1e-30))).alias("wrapped_fraction"),
         F.count(F.lit(1)).alias("n_touchdown"),
     )
+    return g if totals is None else totals.select("run_id").join(g, "run_id", "left").na.fill({"wrapped_fraction": 0.0, "n_touchdown": 0})
 
 
 def half_totals(framed: DataFrame) -> DataFrame:
@@ -297,7 +303,8 @@ def frame_sweep(touchdowns: DataFrame, releases: DataFrame, dom: Domain, tbacks:
     """Raw, mean-removed and streamline-frame integrals for several backward times.
 
     The frame-dependent sums are linear in (u, v, w), so one pass over the
-    joined touchdowns serves every frame.
+    joined touchdowns serves every frame. Without touchdowns the integrals are 0
+    and the wrapped share is NULL.
     """
     marks = F.array(*[F.lit(float(t)) for t in tbacks])
     keys = ["run_id", "t_back"]
@@ -320,7 +327,7 @@ def frame_sweep(touchdowns: DataFrame, releases: DataFrame, dom: Domain, tbacks:
         )
     )
     n = F.col("n_particles")
-    return sums.join(frames, keys).select(
+    return frames.join(sums, keys, "left").na.fill(0.0, ["s", "su", "sv", "sw"]).select(
         *keys,
         n.alias("n_particles"),
         (F.col("sw") / n).alias("raw"),
@@ -386,13 +393,13 @@ def account_fy(acc: DataFrame, spine: DataFrame, keys: Sequence[str], dom: Domai
 
 
 def account_scalars(acc: DataFrame, totals: DataFrame) -> DataFrame:
-    """Integral, wrapped fraction and touchdown count per run from an account."""
+    """Integral, wrapped fraction and touchdown count per run from an account, zeros for a run without touchdowns."""
     pick = lambda kind, c: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col(c))), F.lit(0))
     g = acc.where(F.col("kind").isin("all", "wrap")).groupBy("run_id").agg(
         pick("all", "flux").alias("s"), pick("wrap", "flux").alias("sw"), pick("all", "conc").alias("sc"), pick("all", "n").alias("n_touchdown")
     )
     n = F.greatest("n_particles", F.lit(1))
-    return g.join(totals.select("run_id", "n_particles"), "run_id").select(
+    return totals.select("run_id", "n_particles").join(g, "run_id", "left").na.fill(0, ["s", "sw", "sc", "n_touchdown"]).select(
         "run_id",
         "n_particles",
         "n_touchdown",
@@ -530,17 +537,21 @@ def shape_l1(a: DataFrame, b: DataFrame, keys: Sequence[str], unit: bool = False
     )
 
 
-def tail_share(w: DataFrame, cells: DataFrame, keys: Sequence[str] = ("run_id",)) -> DataFrame:
-    """Largest single weight and the share of the largest 0.1% of touchdowns."""
+def tail_share(w: DataFrame, cells: DataFrame, keys: Sequence[str] = ("run_id",), totals: DataFrame | None = None) -> DataFrame:
+    """Largest single weight and the share of the largest 0.1% of touchdowns.
+
+    With ``totals``, its keys without touchdowns have count and share 0 and no largest weight.
+    """
     k = F.greatest(F.floor(F.col("total") * 0.001), F.lit(1)).cast("double")
     top = top_sum(w, keys, "wt_f", k)
     tot = cells.groupBy(*keys).agg(F.sum(F.abs("flux")).alias("tot"))
-    return top.join(tot, list(keys)).select(
+    out = top.join(tot, list(keys)).select(
         *keys,
         F.col("biggest").alias("max_weight"),
         (F.col("top") / F.when(F.col("tot") == 0, 1.0).otherwise(F.col("tot"))).alias("top0p1pct_share"),
         F.col("n").cast("bigint").alias("n_touchdown"),
     )
+    return out if totals is None else totals.select(*keys).join(out, list(keys), "left").na.fill({"top0p1pct_share": 0.0, "n_touchdown": 0})
 
 
 # ------------------------------------------------------------------ planning

@@ -63,7 +63,10 @@ def near_surface(cells: DataFrame, surface: DataFrame) -> DataFrame:
 
 
 def footprint_report(touchdowns: DataFrame, releases: DataFrame, params: DataFrame, dom: Domain) -> DataFrame:
-    """Measured map and curve metrics next to the closed-form model, per run."""
+    """Measured map and curve metrics next to the closed-form model, per run.
+
+    A run without touchdowns has integral 0 and no map or curve metrics; one without ``params`` has no model metrics.
+    """
     run = ["run_id"]
     frames = materialize(fp.release_frames(releases), "frames")
     framed = fp.framed_releases(releases, frames)
@@ -78,10 +81,10 @@ def footprint_report(touchdowns: DataFrame, releases: DataFrame, params: DataFra
     kl = model.groupBy("run_id").agg((F.sum("f") * dom.area).alias("integral_kljun"))
     out = (
         fp.account_scalars(acc, frames)
-        .join(mm, "run_id")
-        .join(kl, "run_id")
-        .join(fm, "run_id")
-        .join(rm.peaks(params).select("run_id", F.col("x_max").alias("peak_kljun")), "run_id")
+        .join(mm, "run_id", "left")
+        .join(kl, "run_id", "left")
+        .join(fm, "run_id", "left")
+        .join(rm.peaks(params).select("run_id", F.col("x_max").alias("peak_kljun")), "run_id", "left")
         .join(fp.overlap(full, model, run).withColumnRenamed("overlap", "overlap_kljun"), "run_id", "left")
         .join(fp.overlap(first, second, run).withColumnRenamed("overlap", "overlap_halves"), "run_id", "left")
     )
@@ -91,12 +94,12 @@ def footprint_report(touchdowns: DataFrame, releases: DataFrame, params: DataFra
         "area80_ha",
         "centroid_dist",
         "centroid_bearing",
-        "integral_les",
+        F.coalesce("integral_les", F.lit(0.0)).alias("integral_les"),
         "integral_kljun",
         "peak_x",
         "peak_kljun",
         "x80",
-        "overlap_kljun",
+        F.when(F.col("integral_kljun").isNotNull(), F.col("overlap_kljun")).alias("overlap_kljun"),
         "overlap_halves",
         "wrapped_fraction",
     )
@@ -169,9 +172,11 @@ def compute_footprint(touchdowns: DataFrame, releases: DataFrame, surface: DataF
     w = fp.weigh(touchdowns, framed, dom, w_floor)
     acc = materialize(fp.accumulate(w, dom), "account")
     sums = acc.where(F.col("kind").isin("age", "disp")).groupBy("run_id", "kind", "a").agg(F.sum("flux").alias("s"))
-    sums = sums.join(frames.select("run_id", "n_particles"), "run_id").withColumn("integral", F.col("s") / F.greatest("n_particles", F.lit(1)))
-    at = lambda values: F.element_at(F.array(*[F.lit(float(v)) for v in values]), (F.col("a") + 1).cast("int"))
-    edges, marks = at(fp.DISP_FRACTIONS), at((*fp.MARKS, 900.0))
+    marks = F.element_at(F.array(*[F.lit(float(v)) for v in (*fp.MARKS, 900.0)]), (F.col("a") + 1).cast("int"))
+    per = F.greatest("n_particles", F.lit(1))
+    edges = frames.select("run_id", "n_particles", F.posexplode(F.array(*[F.lit(v) for v in fp.DISP_FRACTIONS])).alias("a", "frac_of_lx"))
+    by_disp = edges.join(sums.where(F.col("kind") == "disp"), ["run_id", "a"], "left")
+    capture = sums.where(F.col("kind") == "age").join(frames.select("run_id", "n_particles"), "run_id")
     out = {
         "frames": frames,
         "map": fp.density(fp.account_cells(acc), frames, run, dom.area),
@@ -179,12 +184,12 @@ def compute_footprint(touchdowns: DataFrame, releases: DataFrame, surface: DataF
         "halves": fp.density(fp.account_cells(acc, True), fp.half_totals(framed), ["run_id", "half"], dom.area),
         "fy": fp.account_fy(acc, frames, run, dom),
         "fy_halves": fp.account_fy(acc, fp.half_totals(framed), ["run_id", "half"], dom),
-        "capture": sums.where(F.col("kind") == "age").select("run_id", marks.alias("mark"), "integral"),
-        "by_disp": sums.where(F.col("kind") == "disp").select("run_id", edges.alias("frac_of_lx"), "integral"),
+        "capture": capture.select("run_id", marks.alias("mark"), (F.col("s") / per).alias("integral")),
+        "by_disp": by_disp.select("run_id", "frac_of_lx", (F.coalesce("s", F.lit(0.0)) / per).alias("integral")),
         "scalars": fp.account_scalars(acc, frames),
     }
     if surface is not None:
-        out["cover"] = fp.cover_share(w, surface)
+        out["cover"] = fp.cover_share(w, surface, frames)
     return out
 
 
