@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bit_search, bpe, dart_minhash, line_dedup, mixing, norm_search, pii, quality, sharding, suffix_dedup
+from . import bit_search, bpe, dart_minhash, line_dedup, merkle, mixing, norm_search, pii, quality, sharding, suffix_dedup
 from .common import table
 
 
@@ -61,7 +61,15 @@ def op10_norm_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return norm_search.highest(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bit_search, op2_quality, op3_bpe, op4_mixing, op5_line_dedup, op6_dart_minhash, op7_sharding, op8_suffix_dedup, op9_pii, op10_norm_search)}
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    raised = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    m = merkle.document_manifest(docs, {"n_chars": raised})
+    proof = F.sha2(F.array_join("proof", "").cast("binary"), 256).alias("proof_sha256")
+    return m.select("doc_id", "leaf", "subroot", "root", proof, "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bit_search, op2_quality, op3_bpe, op4_mixing, op5_line_dedup, op6_dart_minhash, op7_sharding, op8_suffix_dedup, op9_pii, op10_norm_search, op12_merkle)}
 
 
 def _mixing_sql() -> str:
@@ -91,7 +99,48 @@ def _mixing_sql() -> str:
       FROM d JOIN p USING (source, lang, topic)"""
 
 
+#: Unsigned CRC-32 of a list of byte values b, with the table ``bits`` of one byte's remainders (crc_table).
+_CRC = "xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, {b}), lambda a, x: xor(a >> 8, bits[(xor(a, x) & 255) + 1])))"
+_CRC_TABLE = """crc_table AS (SELECT list_transform(range(256), lambda i: list_reduce([i::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS bits)"""
+
+
+def _merkle_sql(low: int = 20, high: int = 8) -> str:
+    """Each tree's levels as lists, then the leaves' paths, then folding; for up to 2**low rows of a language and 2**high languages."""
+
+    def field(name: str) -> str:
+        return f"coalesce(strlen({name}::VARCHAR) || ':' || {name}::VARCHAR, '-')"
+
+    def levels(n: int, first: str, lists: str) -> list[str]:
+        up = "CASE WHEN len({v}) > 1 THEN list_transform(range(0, (len({v}) + 1) // 2), lambda i: sha256({v}[2 * i + 1] || coalesce({v}[2 * i + 2], ''))) ELSE {v} END"
+        return [f"{lists}{k + 1} AS (SELECT *, {up.format(v=f'v{k}')} AS v{k + 1} FROM {first if k == 0 else f'{lists}{k}'})" for k in range(n)]
+
+    def leaf(chars: str) -> str:
+        return "sha256(" + " || ".join([field("doc_id"), field("source"), field("lang"), field(chars), field("text")]) + ")"
+
+    other = "CASE WHEN len({v}) > 1 THEN coalesce({v}[xor({p} >> {k}, 1) + 1], '') ELSE NULL END"
+    turn = "CASE WHEN len({v}) = 1 THEN {f} WHEN ({p} >> {k}) & 1 = 1 THEN sha256({v}[xor({p} >> {k}, 1) + 1] || {f}) ELSE sha256({f} || coalesce({v}[xor({p} >> {k}, 1) + 1], '')) END"
+    folds = [f"p{k + 1} AS (SELECT *, {turn.format(v=f'v{k}', p='pos', k=k, f=f'f{k}')} AS f{k + 1} FROM p{k})" for k in range(low)]
+    tops = [f"q{k + 1} AS (SELECT *, {turn.format(v=f'u{k}', p='place', k=k, f=f'g{k}')} AS g{k + 1} FROM q{k})" for k in range(high)]
+    proof = " || ".join([f"coalesce({other.format(v=f'v{k}', p='pos', k=k)}, '')" for k in range(low)] + [f"coalesce({other.format(v=f'u{k}', p='place', k=k)}, '')" for k in range(high)])
+    crc = _CRC.format(b="list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::BIGINT)")
+    return f"""WITH {_CRC_TABLE},
+      d AS (SELECT doc_id, lang, {leaf("n_chars")} AS leaf, {leaf("n_chars1")} AS claimed FROM (SELECT *, n_chars + CASE WHEN {crc} % 7 = 0 THEN 1 ELSE 0 END AS n_chars1 FROM documents, crc_table)),
+      o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM d),
+      t AS (SELECT lang, list(leaf ORDER BY pos) AS v0 FROM o GROUP BY lang),
+      {", ".join(levels(low, "t", "t"))},
+      r AS (SELECT *, v{low}[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place FROM t{low}),
+      w AS (SELECT list(subroot ORDER BY place) AS v0 FROM r),
+      {", ".join(levels(high, "w", "w"))},
+      p0 AS (SELECT o.*, r.* EXCLUDE (lang), {", ".join(f"w{high}.v{k} AS u{k}" for k in range(high + 1))}, claimed AS f0
+        FROM o JOIN r ON o.lang IS NOT DISTINCT FROM r.lang, w{high}),
+      {", ".join(folds)},
+      q0 AS (SELECT *, f{low} AS g0 FROM p{low}),
+      {", ".join(tops)}
+      SELECT doc_id, leaf, subroot, u{high}[1] AS root, sha256({proof}) AS proof_sha256, g{high} AS folded_root, g{high} = u{high}[1] AS verified FROM q{high}"""
+
+
 ORACLES: dict[str, str] = {
+    "op12_merkle": _merkle_sql(),
     "op4_mixing": _mixing_sql(),
     "op5_line_dedup": """WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
       w AS (SELECT doc_id, p, ls[p] AS a, ls[p + 1] AS b, ls[p + 2] AS c FROM (SELECT *, unnest(range(1, len(ls) - 1)) AS p FROM l) WHERE trim(ls[p] || ls[p + 1] || ls[p + 2]) <> ''),
