@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bit_search, bpe, dart_minhash, line_dedup, merkle, mixing, norm_search, pii, quality, sharding, suffix_dedup
+from . import bit_search, bpe, dart_minhash, lexical, line_dedup, merkle, mixing, norm_search, pii, quality, sharding, suffix_dedup
 from .common import table
 
 
@@ -69,7 +69,11 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("doc_id", "leaf", "subroot", "root", proof, "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bit_search, op2_quality, op3_bpe, op4_mixing, op5_line_dedup, op6_dart_minhash, op7_sharding, op8_suffix_dedup, op9_pii, op10_norm_search, op12_merkle)}
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bit_search, op2_quality, op3_bpe, op4_mixing, op5_line_dedup, op6_dart_minhash, op7_sharding, op8_suffix_dedup, op9_pii, op10_norm_search, op12_merkle, op13_lexical)}
 
 
 def _mixing_sql() -> str:
@@ -141,6 +145,16 @@ def _merkle_sql(low: int = 20, high: int = 8) -> str:
 
 ORACLES: dict[str, str] = {
     "op12_merkle": _merkle_sql(),
+    "op13_lexical": r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM documents),
+      i AS (SELECT item_id, t, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark) GROUP BY ALL),
+      l AS (SELECT r, count(*) AS n FROM d GROUP BY r),
+      k AS (SELECT count(*) AS nn, sum(n)::BIGINT AS ll FROM l),
+      p AS (SELECT r, doc_id, t, count(*) AS tf FROM d WHERE t IN (SELECT t FROM i) GROUP BY ALL),
+      w AS (SELECT t, floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, k GROUP BY t, nn),
+      s AS (SELECT item_id, r, any_value(doc_id) AS doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * nn) // ll))))::BIGINT AS score
+        FROM i JOIN p USING (t) JOIN w USING (t) JOIN l USING (r), k GROUP BY item_id, r),
+      o AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, r)::INTEGER AS rank FROM s WHERE score > 0)
+      SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 10""",
     "op4_mixing": _mixing_sql(),
     "op5_line_dedup": """WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
       w AS (SELECT doc_id, p, ls[p] AS a, ls[p + 1] AS b, ls[p + 2] AS c FROM (SELECT *, unnest(range(1, len(ls) - 1)) AS p FROM l) WHERE trim(ls[p] || ls[p + 1] || ls[p + 2]) <> ''),

@@ -90,3 +90,18 @@ def shingles(word: np.ndarray, text: np.ndarray, n_texts: int, width: int) -> tu
         h = np.where(left > i, mix(h * np.uint64(0xD6E8FEB86659FD93) + shifted), h)
     keep = (left >= width) | ((place == 0) & (left < width))
     return h[keep], text[keep]
+
+
+def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and text number of each run of ASCII letters, digits and bytes beyond ASCII, in order; case as it is."""
+    if not len(data):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    kind = _LETTER[data]
+    edge = np.ones(len(data) + 1, bool)
+    edge[1:-1] = kind[1:] != kind[:-1]
+    edge[offsets] = True
+    at = np.nonzero(edge)[0]
+    start, end = at[:-1], at[1:]
+    some = kind[start]
+    start, end = start[some], end[some]
+    return span_hash(prefix_hash(data), start, end), np.searchsorted(offsets, start, side="right") - 1
