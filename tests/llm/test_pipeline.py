@@ -21,4 +21,4 @@ def test_registered():
     import __spark_entry__ as entry
 
     names = entry.queries()
-    assert {f"op{i}_" for i in range(1, 11)} <= {q.split("_")[0] + "_" for q in queries.QUERIES} and "pipeline" in names
+    assert {f"op{i}_" for i in range(1, 14)} == {q.split("_")[0] + "_" for q in queries.QUERIES} and "pipeline" in names

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bit_search, bpe, dart_minhash, lexical, line_dedup, merkle, mixing, norm_search, pii, quality, sharding, suffix_dedup
+from . import bit_search, bpe, dart_minhash, jaccard_join, lexical, line_dedup, merkle, mixing, norm_search, pii, quality, sharding, suffix_dedup
 from .common import table
 
 
@@ -61,6 +61,10 @@ def op10_norm_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return norm_search.highest(table(spark, sf_dir, "embeddings"))
 
 
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     raised = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
@@ -73,7 +77,7 @@ def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bit_search, op2_quality, op3_bpe, op4_mixing, op5_line_dedup, op6_dart_minhash, op7_sharding, op8_suffix_dedup, op9_pii, op10_norm_search, op12_merkle, op13_lexical)}
+QUERIES = {f.__name__: f for f in (op1_bit_search, op2_quality, op3_bpe, op4_mixing, op5_line_dedup, op6_dart_minhash, op7_sharding, op8_suffix_dedup, op9_pii, op10_norm_search, op11_jaccard_join, op12_merkle, op13_lexical)}
 
 
 def _mixing_sql() -> str:
@@ -144,6 +148,14 @@ def _merkle_sql(low: int = 20, high: int = 8) -> str:
 
 
 ORACLES: dict[str, str] = {
+    "op11_jaccard_join": r"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+      g AS (SELECT DISTINCT r, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM d),
+      n AS (SELECT r, count(*) AS n FROM g GROUP BY r),
+      p AS (SELECT x.r AS u, y.r AS v, count(*) AS c FROM g x JOIN g y ON x.s = y.s AND x.r <> y.r GROUP BY ALL),
+      l AS MATERIALIZED (SELECT u, v FROM p JOIN n a ON a.r = u JOIN n b ON b.r = v WHERE 100 * c >= 90 * (a.n + b.n - c)),
+      t AS (SELECT r AS u, r AS v FROM d UNION SELECT t.u, l.v FROM t JOIN l ON t.v = l.u)
+      SELECT a.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(b.doc_id) AS component_id
+      FROM t JOIN d a ON a.r = t.u JOIN d b ON b.r = t.v LEFT JOIN n ON n.r = t.u GROUP BY t.u, a.doc_id""",
     "op12_merkle": _merkle_sql(),
     "op13_lexical": r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM documents),
       i AS (SELECT item_id, t, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark) GROUP BY ALL),
