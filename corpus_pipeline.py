@@ -13,7 +13,10 @@ ORACLE_SQL = None
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, learnt from the labels of the corpus, doesn't reject."""
+    """Documents that the quality classifier, learnt from the labels of the corpus, doesn't reject.
+
+    A null or empty text has the score of the constant; repeated rows and ties are judged alike; an empty table gives none.
+    """
     reachable(spark)
     (score,) = fresh(docs, "score")
     weights = quality.train(docs, table(spark, sf_dir, "labels"))
@@ -22,12 +25,18 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without repeated three-line passages; documents of which nothing is left go."""
+    """Texts without repeated three-line passages; documents of which nothing is left go.
+
+    Null and empty texts stay as they are told by ``line_dedup.without_repeats``; the first of repeated rows keeps its lines.
+    """
     return line_dedup.without_repeats(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies."""
+    """One document of each class of near copies, that of the smallest id; of repeated rows one.
+
+    Rows that share an id are judged each by its text; null, empty and blank texts are no copies of each other and stay.
+    """
     reachable(spark)
     return dart_minhash.one_of_each(docs)
 
@@ -38,13 +47,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text: ``doc_id, lang, source, n_tokens, ids, ids_sha256, decoded_sha256``."""
+    """Token ids of each text: ``doc_id, lang, source, n_tokens, ids, ids_sha256, decoded_sha256``.
+
+    A null text is encoded as an empty one; every row gives a row, also where rows repeat.
+    """
     reachable(spark)
-    coded = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text")).drop("text"))
-    return coded.select(
-        "doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids",
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    coded = bpe.digests(bpe.encode(docs.select("doc_id", "lang", "source", "text")).drop("text"))
+    return coded.select("doc_id", "lang", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
 
 
 STAGES = [

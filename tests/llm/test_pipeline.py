@@ -11,7 +11,7 @@ def test_stages(spark):
     columns, n = docs.columns, docs.count()
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = corpus_pipeline.materialize(stage(spark, docs, SF), "test-stage")
-        assert docs.columns == columns and 0 < docs.count() <= n, name
+        assert docs.columns == columns and 0 < docs.count() and (name == "mixing" or docs.count() <= n), name
         n = docs.count()
     last = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert last.count() == n and last.filter("n_tokens = 0").count() == 0

@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 import base64
+import hashlib
 from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, sliced
+from .common import fresh, materialize, sliced
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Characters of a chunk, and how many it shares with the next.
@@ -30,6 +32,14 @@ def encoding(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+@lru_cache(maxsize=4)
+def token_bytes(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all tokens one after another, and where each one's begin (one end more than tokens)."""
+    enc = encoding(path)
+    tokens = [enc.decode_single_token_bytes(i) for i in range(enc.max_token_value + 1)]
+    return np.frombuffer(b"".join(tokens), np.uint8), np.r_[0, np.cumsum([len(t) for t in tokens])]
+
+
 @lru_cache(maxsize=1)
 def pattern() -> regex.Pattern:
     return regex.compile(public_tokenizers.PATTERN)
@@ -104,7 +114,7 @@ def encode(docs: DataFrame, text_col: str = "text", path: str = RANKS, chunk: in
     whole = docs.filter(length <= chunk).mapInArrow(direct, T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
 
     long = docs.filter(length > chunk).withColumn(key, F.md5(F.col(text_col).cast("binary")))
-    texts = long.groupBy(F.col(key).alias("key")).agg(F.first(text_col).alias("text"))
+    texts = materialize(long.groupBy(F.col(key).alias("key")).agg(F.first(text_col).alias("text")), "bpe-long")
 
     def cut(batches):
         for batch in sliced(batches, "text"):
@@ -146,20 +156,51 @@ def encode(docs: DataFrame, text_col: str = "text", path: str = RANKS, chunk: in
     return whole.unionByName(stitched)
 
 
+def _decoded(ids: np.ndarray, path: str) -> bytes:
+    data, start = token_bytes(path)
+    size = start[ids + 1] - start[ids]
+    return data[np.repeat(start[ids] - np.cumsum(size) + size, size) + np.arange(size.sum())].tobytes()
+
+
+def _id_lists(batches, ids_col: str, limit: int = 1 << 16):
+    """Parts of about ``limit`` ids, or one row, with the rows' ids; a null list has none."""
+    for batch in batches:
+        column = batch.column(batch.schema.get_field_index(ids_col))
+        ends = np.r_[0, np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy())].astype(np.int64)
+        ids, start = column.flatten().to_numpy(), 0
+        while start < batch.num_rows:
+            end = max(start + 1, int(np.searchsorted(ends, ends[start] + limit, side="right")) - 1)
+            yield batch.slice(start, end - start), [ids[a:b] for a, b in zip(ends[start:end], ends[start + 1 : end + 1])]
+            start = end
+
+
 def decode(encoded: DataFrame, ids_col: str = "ids", path: str = RANKS) -> DataFrame:
     """``encoded`` with ``decoded``, the bytes of the ids one after another; a null list gives none."""
     (name,) = fresh(encoded, "decoded")
 
     def joined(batches):
-        for batch in batches:
-            enc = encoding(path)
-            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
-                lists = part.column(part.schema.get_field_index(ids_col)).to_pylist()
-                yield part.append_column(name, pa.array([enc.decode_bytes(x or []) for x in lists], pa.binary()))
+        for part, lists in _id_lists(batches, ids_col):
+            yield part.append_column(name, pa.array([_decoded(x, path) for x in lists], pa.binary()))
 
     return encoded.mapInArrow(joined, T.StructType([*encoded.schema.fields, T.StructField(name, T.BinaryType())]))
 
 
+def digests(encoded: DataFrame, ids_col: str = "ids", path: str = RANKS) -> DataFrame:
+    """``encoded`` with ``n_tokens``, ``ids_sha256`` and ``decoded_sha256``: SHA-256 of the decimal ids joined by a space, and of the bytes that the ids decode to.
+
+    Ids are decoded and hashed where they are read, so the bytes aren't handed on. A null list counts as an empty one.
+    """
+    names = fresh(encoded, "n_tokens", "ids_sha256", "decoded_sha256")
+
+    def hashed(batches):
+        for part, lists in _id_lists(batches, ids_col):
+            part = part.append_column(names[0], pa.array([len(x) for x in lists], pa.int64()))
+            part = part.append_column(names[1], pa.array([hashlib.sha256(" ".join(map(str, x.tolist())).encode()).hexdigest() for x in lists], pa.string()))
+            yield part.append_column(names[2], pa.array([hashlib.sha256(_decoded(x, path)).hexdigest() for x in lists], pa.string()))
+
+    return encoded.mapInArrow(hashed, T.StructType([*encoded.schema.fields, *[T.StructField(n, t) for n, t in zip(names, (T.LongType(), T.StringType(), T.StringType()))]]))
+
+
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = RANKS) -> DataFrame:
     """``id, ids, decoded`` of every row: encoded, then decoded again."""
     return decode(encode(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", path).select("id", "ids"), "ids", path).withColumnRenamed("id", id_col)

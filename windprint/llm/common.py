@@ -50,7 +50,7 @@ def unit_hash(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(joined), 1, 7), 16, 10).cast("double") / float(1 << 28)
 
 
-def sliced(batches: Iterator[pa.RecordBatch], text: str, limit: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def sliced(batches: Iterator[pa.RecordBatch], text: str, limit: int = 1 << 18) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each holds about ``limit`` bytes of text, or one row."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))

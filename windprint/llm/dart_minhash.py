@@ -100,7 +100,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, bands: int = BANDS, rows
     """For each row: ``id``, a 128-bit digest of its weighted shingle set (nulls without shingles), a hash for each band, and the set as sorted 32-bit hashes."""
 
     def sketched(batches):
-        for batch in sliced(batches, "text", 1 << 20):
+        for batch in sliced(batches, "text"):
             n = batch.num_rows
             element, text = elements(batch.column("text"))
             count = np.bincount(text, minlength=n)
@@ -284,8 +284,15 @@ def _exact(rows: DataFrame, sets: DataFrame, least: float, of_classes: bool = Fa
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document, that of the smallest id, of each class of near copies; rows without id stay."""
-    (other,) = fresh(docs, "other_id")
-    found = classes(docs, id_col, text_col)
-    rest = materialize(found.filter(F.col(id_col) != F.col("class_id")).select(F.col(id_col).alias(other)).distinct(), "near-dropped")
-    return docs.join(rest, F.col(id_col) == F.col(other), "left_anti")
+    """``docs`` with one row, that of the smallest id, of each class of near copies.
+
+    Every row is a member of its own, whatever its id: of two rows that share an id and hold different texts each stays
+    or goes with its own class, and of repeated rows one stays. A row with null id stays only where no row of its class
+    has an id. Rows without shingles (null, empty and blank texts) all stay. An empty table gives none.
+    """
+    (key,) = fresh(docs, "row_key")
+    keyed = materialize(docs.withColumn(key, F.monotonically_increasing_id()), "near-rows")
+    found = classes(keyed, key, text_col).select(F.col(key).alias("k"), "class_id")
+    named = found.join(keyed.select(F.col(key).alias("k"), F.col(id_col).alias("i")), "k")
+    first = named.groupBy("class_id").agg(F.min(F.struct(F.col("i").isNull().alias("none"), "i", "k")).alias("m")).select(F.col("m.k").alias("kept"))
+    return keyed.join(first, F.col(key) == F.col("kept"), "left_semi").drop(key)

@@ -54,62 +54,51 @@ def rake(cells: DataFrame, temper: dict[str, float] = TEMPER, sweeps: int = SWEE
 
 
 def calibrate(weighed: DataFrame, rate: float = RATE) -> DataFrame:
-    """Adds ``expected`` and ``prob`` to raked cells.
+    """Adds ``expected`` to raked cells: the mean number of copies of a document, rate * total * weight / tokens.
 
-    ``expected`` is the mean number of copies of a document, rate * total * weight / tokens: copies drawn so hold
-    ``rate`` of all tokens and meet every target. Where they would be more rows than the ``docs`` of the cells (less three
-    standard deviations of the draw), as in small tables with rare cells, all are fewer by one factor. ``prob`` is for a sample without repeats: min(1, c * weight / tokens), c
-    such that the kept tokens are ``rate`` of all on average. Where cells are capped such a sample misses the targets.
-
-    The cells whose probability is capped at 1 are those of the largest ratios; their number follows from running
-    sums over the cell table. A cell without tokens is kept at ``rate``.
+    Copies drawn so hold ``rate`` of all tokens and meet every target in expectation, at any input size; a document of a
+    rare cell is taken several times. A cell without tokens is kept at ``rate``. Only two sums over the cells are needed.
     """
-    order = Window.orderBy(F.desc("ratio"), *sorted(TEMPER))
-    some = weighed.filter("tokens > 0").withColumn("ratio", F.col("weight") / F.col("tokens"))
-    total, mass, docs, spread = some.agg(F.sum("tokens"), F.sum("weight"), F.sum("docs"), F.sum(F.col("docs") * F.col("ratio"))).first()
-    capped = some.select("tokens", "ratio", F.sum("tokens").over(order).alias("upto"), F.sum("weight").over(order).alias("mass"))
-    # c if exactly the cells before this one are capped: valid from the first cell that then stays at 1 or below
-    c = (F.lit(rate * (total or 0)) - (F.col("upto") - F.col("tokens"))) / (F.lit(mass or 0.0) - F.col("mass") + F.col("tokens") * F.col("ratio"))
-    found = capped.withColumn("c", c).filter(F.col("c") * F.col("ratio") <= 1 + 1e-12).agg(F.max_by("c", "ratio")).first()[0]
-    room = max((docs or 0) / 2, (docs or 0) - 1.5 * (docs or 0) ** 0.5)
-    even = F.lit(min(rate * (total or 0) / (mass or 1.0), room / (spread or 1.0)))
-    weighed = weighed.withColumn("expected", F.when(F.col("tokens") > 0, even * F.col("weight") / F.col("tokens")).otherwise(rate))
-    return weighed.withColumn("prob", F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.lit(float(found or 0.0)) * F.col("weight") / F.col("tokens"))).otherwise(rate))
+    total, mass = weighed.filter("tokens > 0").agg(F.sum("tokens"), F.sum("weight")).first()
+    even = rate * (total or 0) / (mass or 1.0)
+    return weighed.withColumn("expected", F.when(F.col("tokens") > 0, F.lit(float(even)) * F.col("weight") / F.col("tokens")).otherwise(rate))
 
 
 def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang",
     temper: dict[str, float] = TEMPER, rate: float = RATE, seed: int = SEED,
 ) -> DataFrame:
-    """``docs`` with ``topic``, ``tokens``, ``weight`` (raked weight of a token), ``prob``, ``sampled`` and ``copies``.
+    """``docs`` with ``topic``, ``tokens``, ``weight`` (raked weight of a token), ``expected`` and ``copies``.
 
-    The cells (source, language, topic) are few, whatever the input: only their token sums are raked. A document is
-    sampled when a hash of its id, the seed and its text lies below its cell's probability, so a retried task and a
-    repeated row decide alike. ``copies`` is how often a sample that meets the targets takes the document: the whole part
-    of its cell's expected number, and one more when the same hash lies below the rest. Null source or language is a category of its own; a null text has no tokens and the
+    Only the token sums of the cells (source, language, topic) are raked. ``copies`` is how often the sample takes the
+    document: the whole part of its cell's ``expected`` number, and one more when a hash of its id, the seed and its text
+    lies below the rest, so a retried task and a repeated row decide alike. Null source or language is a category of its own; a null text has no tokens and the
     topic of an empty one; cells without tokens have weight 0. An empty table gives an empty result. All columns are kept;
     a new one gets underscores appended where its name is taken.
     """
-    topic, tokens, weight, prob, sampled, copies = fresh(docs, "topic", "tokens", "weight", "prob", "sampled", "copies")
+    topic, tokens, weight, expected, copies = fresh(docs, "topic", "tokens", "weight", "expected", "copies")
     parts = {"source": F.col(source_col), "lang": F.col(lang_col), "topic": topic_of(text_of(text_col))}
     sized = docs.withColumns({topic: parts["topic"], tokens: token_count(text_of(text_col))})
-    cells = materialize(sized.groupBy(F.col(source_col).alias("source"), F.col(lang_col).alias("lang"), F.col(topic).alias("topic")).agg(F.sum(tokens).alias("tokens"), F.count(F.lit(1)).alias("docs")), "mix-cells")
+    cells = materialize(sized.groupBy(F.col(source_col).alias("source"), F.col(lang_col).alias("lang"), F.col(topic).alias("topic")).agg(F.sum(tokens).alias("tokens")), "mix-cells")
     probs = materialize(calibrate(rake(cells, temper), rate), "mix-probs").select(
         F.col("source").alias("cell_source"), F.col("lang").alias("cell_lang"), F.col("topic").alias("cell_topic"),
-        F.coalesce(F.col("weight") / F.nullif("tokens", F.lit(0)), F.lit(0.0)).alias("cell_weight"), F.col("prob").alias("cell_prob"), F.col("expected").alias("cell_expected"),
+        F.coalesce(F.col("weight") / F.nullif("tokens", F.lit(0)), F.lit(0.0)).alias("cell_weight"), F.col("expected").alias("cell_expected"),
     )
     same = F.col(source_col).eqNullSafe(F.col("cell_source")) & F.col(lang_col).eqNullSafe(F.col("cell_lang")) & (F.col(topic) == F.col("cell_topic"))
     drawn = unit_hash(F.lit(seed), F.col(id_col), F.md5(text_of(text_col)))
     whole = F.floor("cell_expected")
     return sized.join(probs, same).select(
-        *docs.columns, topic, tokens, F.col("cell_weight").alias(weight), F.col("cell_prob").alias(prob),
-        (drawn < F.col("cell_prob")).alias(sampled), (whole + (drawn < F.col("cell_expected") - whole).cast("long")).alias(copies),
+        *docs.columns, topic, tokens, F.col("cell_weight").alias(weight), F.col("cell_expected").alias(expected), (whole + (drawn < F.col("cell_expected") - whole).cast("long")).alias(copies),
     )
 
 
-def sample(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, each as often as its ``copies`` say, columns as they were."""
+def sample(docs: DataFrame, copy_col: str | None = None, **options) -> DataFrame:
+    """The rows of ``docs``, each as often as its ``copies`` say, columns as they were.
+
+    ``copy_col`` names a further column that numbers the copies of a row from 1.
+    """
     mixed = mix(docs, **options)
     copies = F.col(mixed.columns[-1])
-    (copy,) = fresh(mixed, "copy")
-    return mixed.filter(copies > 0).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), copies))).select(*docs.columns)
+    (copy,) = [copy_col] if copy_col else fresh(mixed, "copy")
+    drawn = mixed.filter(copies > 0).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), copies)))
+    return drawn.select(*docs.columns, *([copy] if copy_col else []))

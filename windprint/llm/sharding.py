@@ -67,7 +67,7 @@ def shard_documents(
         F.col("crc").alias("text_crc32"),
         F.lit("bytes").alias("law"),
         "shard",
-        (F.col("offset") + F.row_number().over(within) - 1).cast("int").alias("slot"),
+        (F.col("offset") + F.row_number().over(within) - 1).alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )
 
