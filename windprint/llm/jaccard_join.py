@@ -21,9 +21,11 @@ from .words import LOWER, mix, raw, shingles, words
 #: Words of a shingle, and least similarity of a link in hundredths.
 WIDTH, PERCENT = 3, 90
 #: Members of a block in a tile task; pairs of two classes that one task lists at first, and by how much more when that was too few.
-BLOCK, LISTED, MORE = 2_048, 32, 16
+BLOCK, LISTED, MORE = 1_024, 32, 16
+#: Rows of a tile task, about, and pairs that it looks at together.
+BATCH, PAIRS = 20_000, 1 << 20
 #: Rounds in which members meet one further head of their bucket before all classes in it meet.
-ROUNDS = 4
+ROUNDS = 1
 MOST_BITS = 1 << 15
 
 
@@ -198,6 +200,10 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     keep.append(100 * both >= percent * (len(x) + len(y) - both))
                 yield pa.RecordBatch.from_arrays([part.column("u"), part.column("v")], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
+    # only sets that some pair needs are dealt out
+    pairs = materialize(pairs, "join-pairs")
+    needed = pairs.select(F.explode(F.array("u", "v")).alias("needed")).distinct()
+    sets = sets.join(needed, F.col("node") == F.col("needed"), "left_semi")
     u, v = (sets.select(F.col("node").alias(c), F.col("elements").alias(e)) for c, e in (("u", "x"), ("v", "y")))
     return pairs.join(u, "u").join(v, "v").select("u", "v", "x", "y").mapInArrow(check, "u long, v long")
 
@@ -223,43 +229,87 @@ def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
     return materialize(named.join(mixed, "slot"), "join-mixed")
 
 
+def _pairs(segment: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (side 0, side 1) of all rows that meet; rows are sorted by segment and side."""
+    n = int(segment[-1]) + 1
+    zeros, ones = np.bincount(segment[side == 0], minlength=n), np.bincount(segment[side == 1], minlength=n)
+    first = np.r_[0, np.cumsum(zeros + ones)[:-1]] + zeros
+    left = np.nonzero(side == 0)[0]
+    count = ones[segment[left]]
+    x = np.repeat(left, count)
+    return x, first[segment[x]] + np.arange(len(x)) - np.repeat(np.cumsum(count) - count, count)
+
+
+def _apart(bits: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many bits the bitmaps differ; of two widths the wider is folded."""
+    width = np.array([len(b) for b in bits])
+    out, least = np.zeros(len(x), np.int64), np.minimum(width[x], width[y])
+    for w in np.unique(least):
+        some = np.nonzero(least == w)[0]
+        rows = np.unique(np.r_[x[some], y[some]])
+        at = np.zeros(len(bits), np.int64)
+        at[rows] = np.arange(len(rows))
+        packed = folded([bits[i] for i in rows], int(w))
+        for part in np.array_split(some, max(1, len(some) * int(w) >> 22)):
+            out[part] = np.bitwise_count(packed[at[x[part]]] ^ packed[at[y[part]]]).sum(1)
+    return out
+
+
 def _met(rows: DataFrame, sets: DataFrame, percent: int, listed: int) -> DataFrame:
-    """Pairs (u, v) of different classes in a bucket whose bitmaps allow a link; ``cut`` where more than ``listed`` of the two classes were.
+    """Pairs (u, v) of different classes in a bucket whose bitmaps allow a link.
 
-    Members outside the largest class meet all members, in blocks; of two classes the nearest pairs are listed.
+    Members outside the largest class meet all members, in blocks; many small buckets share a task. Of two classes a
+    task lists the ``listed`` nearest pairs; for those that it leaves a row with their ``slot`` alone says so.
     """
     blocks = {k: F.ceil(F.col(k) / BLOCK).cast("int") for k in ("minor", "all")}
     own = {k: F.pmod(F.xxhash64("node", F.lit(k)), n.cast("long")).cast("int") for k, n in blocks.items()}
     zero = rows.filter("label != main").select("slot", own["minor"].alias("i"), F.explode(F.sequence(F.lit(0), blocks["all"] - 1)).alias("j"), F.lit(0).alias("side"), "node", "label")
     one = rows.select("slot", F.explode(F.sequence(F.lit(0), blocks["minor"] - 1)).alias("i"), own["all"].alias("j"), F.lit(1).alias("side"), "node", "label")
-    full = zero.union(one).join(sets.select(F.col("node").alias("m"), "n", "bits"), F.col("node") == F.col("m")).select("slot", "i", "j", "side", "node", "label", "n", "bits")
+    batches = rows.count() // BATCH + 1
+    batch = F.pmod(F.xxhash64("slot", "i", "j"), F.lit(batches)).alias("batch")
+    full = zero.union(one).join(sets.select(F.col("node").alias("m"), "n", "bits"), F.col("node") == F.col("m")).select(batch, "slot", "i", "j", "side", "node", "label", "n", "bits")
 
     def meet(table: pa.Table) -> pa.Table:
-        side, node, label, n = (table.column(c).to_numpy() for c in ("side", "node", "label", "n"))
+        table = table.sort_by([(c, "ascending") for c in ("slot", "i", "j", "side")])
+        slot, i, j, side, node, label, n = (table.column(c).to_numpy() for c in ("slot", "i", "j", "side", "node", "label", "n"))
         bits = table.column("bits").to_pylist()
-        words_ = folded(bits, min(map(len, bits)))
-        left, right = np.nonzero(side == 0)[0], np.nonzero(side == 1)[0]
+        segment = np.cumsum(np.r_[False, (slot[1:] != slot[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
         found = []
-        for x in left:
-            apart = np.bitwise_count(words_[right] ^ words_[x]).sum(1).astype(np.int64)
-            near = (label[right] != label[x]) & may_link(n[right], n[x], apart, percent)
-            if near.any():
-                y = right[near]
-                found.append(np.stack([np.full(len(y), x), y, apart[near]]))
-        u, v, apart = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
-        a, b = np.minimum(label[u], label[v]), np.maximum(label[u], label[v])
+        # a few whole segments at a time: about as many pairs as one full block makes
+        sizes = np.bincount(segment)
+        ends = np.cumsum(sizes)
+        cost = np.cumsum(sizes.astype(np.int64) ** 2) // PAIRS
+        for group in np.split(np.arange(len(sizes)), np.nonzero(np.diff(cost))[0] + 1):
+            low, high = int(ends[group[0]] - sizes[group[0]]), int(ends[group[-1]])
+            x, y = _pairs(segment[low:high] - segment[low], side[low:high])
+            x, y = x + low, y + low
+            fits = (label[x] != label[y]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+            x, y = x[fits], y[fits]
+            swap = node[x] < node[y]
+            x, y = np.where(swap, y, x), np.where(swap, x, y)
+            # a pair that met in several buckets is looked at once
+            order = np.lexsort((node[y], node[x]))
+            x, y = x[order], y[order]
+            once = np.r_[True, (node[x[1:]] != node[x[:-1]]) | (node[y[1:]] != node[y[:-1]])] if len(x) else np.zeros(0, bool)
+            x, y = x[once], y[once]
+            apart = _apart(bits, x, y)
+            near = may_link(n[x], n[y], apart, percent)
+            found.append(np.stack([x[near], y[near], apart[near]]))
+        x, y, apart = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
+        a, b = np.minimum(label[x], label[y]), np.maximum(label[x], label[y])
         order = np.lexsort((apart, b, a))
-        u, v, a, b = u[order], v[order], a[order], b[order]
+        x, y, a, b = x[order], y[order], a[order], b[order]
         new = np.ones(len(a), bool)
         new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
         nth = np.arange(len(a)) - np.maximum.accumulate(np.where(new, np.arange(len(a)), 0)) if len(a) else np.zeros(0, np.int64)
         keep = nth < listed
-        over = np.zeros(int(new.sum()), bool)
-        over[(np.cumsum(new) - 1)[~keep]] = True
-        x, y = node[u], node[v]
-        return pa.table({"u": np.maximum(x, y)[keep], "v": np.minimum(x, y)[keep], "cut": over[np.cumsum(new) - 1][keep]})
+        left = np.unique(slot[x[~keep]])
+        none = pa.nulls(len(left), pa.int64())
+        return pa.concat_tables([
+            pa.table({"u": node[x[keep]], "v": node[y[keep]], "slot": pa.nulls(int(keep.sum()), pa.int64())}), pa.table({"u": none, "v": none, "slot": left}),
+        ])
 
-    return full.groupBy("slot", "i", "j").applyInArrow(meet, "u long, v long, cut boolean").groupBy("u", "v").agg(F.max("cut").alias("cut"))
+    return full.groupBy("batch").applyInArrow(meet, "u long, v long, slot long").distinct()
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -309,10 +359,11 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     listed = LISTED
     while not mixed.isEmpty():
         met = materialize(_met(mixed, marks, percent, listed), "join-met")
-        labels = _merged(labels, _linked(met.select("u", "v"), sets, percent))
-        if met.filter("cut").isEmpty():
+        labels = _merged(labels, _linked(met.filter("slot is null").select("u", "v"), sets, percent))
+        again = met.filter("slot is not null").select("slot").distinct()
+        if again.isEmpty():
             break
-        mixed, listed = _mixed(mixed.select("slot", "node"), labels), listed * MORE
+        mixed, listed = _mixed(mixed.select("slot", "node").join(again, "slot", "left_semi"), labels), listed * MORE
     rows = sk.select("id", "n", "a", "b").join(equal, ["a", "b"], "left")
     named = rows.join(labels.toDF("labelled", "label"), F.col("node") == F.col("labelled"), "left").select("id", "n", F.when(F.col("n") > 0, F.coalesce("label", "node")).alias("class"))
     least = named.filter("class is not null").groupBy(F.col("class").alias("of")).agg(F.min("id").alias("least"))
