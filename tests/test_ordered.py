@@ -71,3 +71,17 @@ def test_lag_across_blocks_equals_plain_lag(spark):
     w = Window.partitionBy("k").orderBy("t")
     want = df.select("k", "t", F.lag("t").over(w).alias("prev_t"), F.lag("z").over(w).alias("prev_z"))
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_an_outlier_leaves_small_intervals(spark):
+    rng = np.random.default_rng(9)
+    n = 20_000
+    df = spark.createDataFrame([("a", float(x)) for x in np.r_[rng.normal(size=n - 2), 1e200, -1e9]] + [("b", 2.0)] * 300 + [(None, 1.0), (None, 4.0)], "k string, v double")
+    rows = ordered.finite_rows(df, ["k"], "v")
+    targets = F.array(*[F.struct(F.lit(i).alias("_id"), F.ceil(F.lit(p) * F.col("_rows")).cast("double").alias("at")) for i, p in enumerate((0.05, 0.5, 0.95))])
+    parts = ordered.narrowed(rows, ["k"], ordered.spans(rows, ["k"]).withColumn("_targets", targets), few=100).collect()
+    assert all(r._rows <= 0.02 * n or r._lo == r._hi for r in parts) and sum(r.k == "a" for r in parts) == 3
+    got = {(r.k, r.p): (r.q, r.n) for r in ordered.quantiles_of(rows, ["k"], [0.05, 0.5, 1.0], few=100).collect()}
+    a = [r.v for r in df.where("k = 'a'").collect()]
+    assert np.allclose([got["a", p][0] for p in (0.05, 0.5, 1.0)], np.quantile(a, [0.05, 0.5, 1.0]))
+    assert got["b", 0.5] == (2.0, 300) and got[None, 0.5] == (2.5, 2)

@@ -95,9 +95,9 @@ _CONV_D = {"overlap": 7, "d_peak_p50": 4, "d_peak_p90": 4, "d_centroid_p50": 3,
 
 
 def scores(t, reference="held-out"):
-    means, ref = en.draw_means(materialize(coarse_maps(t), "submaps"), en.draw_members(t.spark, DRAWS, SUBS), RUN, SUBS, DRAWS, reference)
-    means, ref = materialize(means, "means"), materialize(ref, "reference")
-    return en.draw_scores(means, ref, RUN, SUBS, EX, ERES)
+    packed = materialize(en.pack_maps(coarse_maps(t), RUN, SUBS, ENX, ENY), "submaps")
+    drawn = en.draw_maps(packed, en.draw_orders(DRAWS, SUBS), RUN, SUBS, reference)
+    return en.draw_scores(drawn, RUN, ENX, ENY, EX, ERES)
 
 
 @query(

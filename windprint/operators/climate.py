@@ -11,7 +11,7 @@ from ..functions import boundary_layer as bl
 from ..functions import geometry as geo
 from ..functions.numeric import isfinite
 from ..sources.shared_table import materialize
-from .ordered import distinct_mass, mass_quantiles
+from .ordered import finite_rows, quantiles_of
 
 PROBS = (0.05, 0.25, 0.50, 0.75, 0.95, 0.99)
 
@@ -77,20 +77,17 @@ def _long(df: DataFrame, keys: Sequence[str], variables: Sequence[str]) -> DataF
 
 
 def _value_table(df: DataFrame, keys: Sequence[str], variables: Sequence[str]) -> DataFrame:
-    """Distinct values with their counts, kept as a table.
-
-    The derivation runs once; counts, means and quantiles all read this.
-    """
-    return materialize(distinct_mass(_long(df, keys, variables), [*keys, "var"], "x"), "values")
+    """The values of all variables in one narrow table: the derivation runs once, and counts, means and quantiles read this."""
+    return finite_rows(_long(df, keys, variables), [*keys, "var"], "x")
 
 
 def percentiles(df: DataFrame, keys: Sequence[str], variables: Sequence[str], probs: Sequence[float] = PROBS) -> DataFrame:
     """Exact percentile line per (keys, var): count, mean and one column per prob."""
     on = [*keys, "var"]
-    mass = _value_table(df, keys, variables)
-    q = mass_quantiles(mass, on, probs)
+    rows = _value_table(df, keys, variables)
+    q = quantiles_of(rows, on, probs)
     wide = q.groupBy(*on).agg(*[F.max(F.when(F.col("p") == float(p), F.col("q"))).alias(f"p{round(100 * p):d}") for p in probs])
-    mean = mass.groupBy(*on).agg(F.sum("_m").cast("bigint").alias("n"), (F.sum(F.col("_v") * F.col("_m")) / F.sum("_m")).alias("mean"))
+    mean = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("n"), F.avg("_v").alias("mean"))
     return mean.join(wide, on)
 
 
@@ -102,11 +99,11 @@ def with_groups(derived: DataFrame) -> DataFrame:
 def stability_table(derived: DataFrame, keys: Sequence[str] = ("site",)) -> DataFrame:
     """Share of every stability class and its exact medians."""
     on = [*keys, "cls"]
-    mass = _value_table(derived.where("qc"), on, ["pblh", "us", "wth"])
-    # every accepted hour has a finite pblh, so its mass is the class count
-    n = mass.where(F.col("var") == "pblh").groupBy(*on).agg(F.sum("_m").cast("bigint").alias("n"))
+    rows = _value_table(derived.where("qc"), on, ["pblh", "us", "wth"])
+    # every accepted hour has a finite pblh, so their number is the class count
+    n = rows.where(F.col("var") == "pblh").groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
     tot = n.groupBy(*keys).agg(F.sum("n").alias("total"))
-    med = mass_quantiles(mass, [*on, "var"], [0.5])
+    med = quantiles_of(rows, [*on, "var"], [0.5])
     wide = med.groupBy(*on).agg(*[F.max(F.when(F.col("var") == v, F.col("q"))).alias(f"{v}_p50") for v in ("pblh", "us", "wth")])
     return n.join(tot, list(keys)).join(wide, on).select(*on, "n", (100.0 * F.col("n") / F.col("total")).alias("pct"), "pblh_p50", "us_p50", "wth_p50")
 
