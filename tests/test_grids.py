@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from windprint.functions.geometry import Domain
 from windprint.operators import interp, levels as lv, rasters
 from windprint.operators.interp import Axis
+from windprint.sources import planes
 
 N = 12
 DOM = Domain(nx=N, ny=N, dx=10.0, i_r=6, j_r=6)
@@ -98,8 +99,8 @@ def test_interpolation_forms_agree_and_keep_every_point(spark):
     points = spark.createDataFrame([("r", m, *map(float, p)) for m, p in enumerate(pts)] + [("gone", 99, 0.0, 0.0, 0.0, 0.0)], "run_id string, pid long, ft double, fk double, fj double, fi double")
     axes = [Axis("ft", "step", nt), Axis("fk", "k", nk), Axis("fj", "j", n, "wrap"), Axis("fi", "i", n, "wrap")]
     one = {r.pid: r.q for r in interp.interpolate(points, cells, ["run_id"], "pid", axes, ["q"]).collect()}
-    planes = interp.pack_planes(cells, ["run_id", "step", "k"], n, ["q"])
-    two = {r.pid: r.q for r in interp.interpolate_planes(points, planes, ["run_id"], "pid", axes[:2], axes[2], axes[3], n, n, ["q"]).collect()}
+    packed = interp.pack_planes(cells, ["run_id", "step", "k"], n, ["q"])
+    two = {r.pid: r.q for r in interp.interpolate_planes(points, packed, ["run_id"], "pid", axes[:2], axes[2], axes[3], n, n, ["q"]).collect()}
     assert one[99] is None and two[99] is None and len(one) == len(two) == 81
     for m, (t, k, j, i) in enumerate(pts):
         t, k = np.clip(t, 0, nt - 1), np.clip(k, 0, nk - 1)
@@ -119,3 +120,51 @@ def test_non_finite_field_fails_the_gate(spark):
     assert lv.k0k1_gate(cells).first().status == "FAIL"
     calm = cells.withColumn("w", F.lit(0.0))
     assert lv.k0k1_gate(calm).first().status == "SKIP"
+
+
+def scanned(df):
+    """Rows that the plan's file scans have put out, and the plan's text."""
+    plan = df._jdf.queryExecution().executedPlan()
+    df.sparkSession.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+
+    def rows(node):
+        name = node.getClass().getSimpleName()
+        if name in ("AdaptiveSparkPlanExec",):
+            return rows(node.executedPlan())
+        if name.endswith("QueryStageExec"):
+            return rows(node.plan())
+        own = node.metrics().apply("numOutputRows").value() if name == "FileSourceScanExec" else 0
+        return own + sum(rows(node.children().apply(i)) for i in range(node.children().size()))
+
+    return rows(plan), plan.toString()
+
+
+def test_stored_planes_move_points_only(spark):
+    rng = np.random.default_rng(2)
+    nt, nk, n = 40, 3, 4
+    a = rng.normal(size=(nt, nk, n, n))
+    rows = [("r", t, k, j, i, float(a[t, k, j, i])) for t in range(nt) for k in range(nk) for j in range(n) for i in range(n) if (t, k, j, i) != (12, 1, 2, 3)]
+    cells = spark.createDataFrame(rows, "run_id string, step long, k long, j long, i long, q double")
+    keys = ["run_id", "step", "k"]
+    made = []
+    store = lambda: planes.stored_planes(spark, "test-series", lambda: made.append(1) or cells, keys, n, ["q"], steps=2)
+    table = store()
+    assert len(made) == 1 and store().count() == nt * nk and len(made) == 1
+    pts = [(m, float(t), float(k), float(j), float(i)) for m, (t, k, j, i) in enumerate(zip(rng.uniform(12, 15, 60), rng.uniform(0, nk - 1, 60), rng.uniform(-3, 6, 60), rng.uniform(-3, 6, 60)))]
+    pts += [(90, 12.0, 1.0, 2.0, 3.0), (91, 12.0, 1.0, 1.0, 3.0)]
+    points = spark.createDataFrame([("r", *p) for p in pts] + [("gone", 99, 13.0, 0.0, 0.0, 0.0)], "run_id string, pid long, ft double, fk double, fj double, fi double")
+    axes = [Axis("ft", "step", nt), Axis("fk", "k", nk), Axis("fj", "j", n, "wrap"), Axis("fi", "i", n, "wrap")]
+    want = {r.pid: r.q for r in interp.interpolate(points, cells, ["run_id"], "pid", axes, ["q"]).collect()}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = interp.interpolate_planes(points, table, ["run_id"], "pid", axes[:2], axes[2], axes[3], n, n, ["q"], lambda p, c: planes.touched(p, c, 2))
+        got = {r.pid: r.q for r in df.collect()}
+        read, plan = scanned(df)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got.keys() == want.keys() and got[90] is None and got[99] is None and got[91] is not None
+    assert all((got[m] is None) == (want[m] is None) and (got[m] is None or np.isclose(got[m], want[m])) for m in want)
+    # steps 12 to 15 lie in two partitions; the planes' side of the join isn't shuffled
+    assert read == 4 * nk, plan
+    join = plan[plan.index("SortMergeJoin") : plan.find("Initial Plan")]
+    assert "Bucketed: true" in join and join.count("Exchange hashpartitioning") == 1, join

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import half_precision, pack16, unpack16
 from ..operators import footprint as fp, interp, levels as lv, tracks as tr
 from ..operators.interp import Axis
-from ..sources import text
+from ..sources import planes, text
 from ..sources.fixtures import LEVELS, PLANE
 from .registry import cte, query
 from .shared import DOM, RUN, framed, frames, static_map
@@ -35,7 +35,7 @@ AX_K, AX_J, AX_I = Axis("fk", "k", LEVELS), Axis("fj", "j", PLANE, "wrap"), Axis
 AX_T = Axis("ft", "step", "nt")
 
 
-def points4(t):
+def points4(t, dumps=None):
     k = F.col("o_orderkey")
     n = F.floor(k / (PLANE * PLANE * LEVELS))
     num = lambda m, mod, off: ((k * m % mod - off).cast("double") / 100.0)
@@ -47,13 +47,18 @@ def points4(t):
         num(71, 1600, 400).alias("fj"),
         num(89, 1600, 400).alias("fi"),
     )
-    nt = t.cells.select("run_id", "step").distinct().groupBy("run_id").agg(F.count(F.lit(1)).alias("nt"))
+    nt = (t.cells if dumps is None else dumps).select("run_id", "step").distinct().groupBy("run_id").agg(F.count(F.lit(1)).alias("nt"))
     return p.join(nt, "run_id")
 
 
+def dump_planes(t):
+    return planes.stored_planes(t.spark, f"{t.sf_dir}/cells", lambda: t.cells, ["run_id", "step", "k"], PLANE, VALS)
+
+
 @query("interp4", _I4, {c: 7 for c in VALS})
 def _(t):
-    return interp.interpolate(points4(t), t.cells, RUN, "pid", [AX_T, AX_K, AX_J, AX_I], VALS)
+    stored = dump_planes(t)
+    return interp.interpolate_planes(points4(t, stored), stored, RUN, "pid", [AX_T, AX_K], AX_J, AX_I, PLANE, PLANE, VALS, planes.touched)
 
 
 @query(
@@ -65,8 +70,9 @@ def _(t):
     {"u": 7, "tke": 7},
 )
 def _(t):
-    planes = interp.pack_planes(t.cells, ["run_id", "step", "k"], PLANE, ["u", "tke"])
-    return interp.interpolate_planes(points4(t), planes, RUN, "pid", [AX_T, AX_K], AX_J, AX_I, PLANE, PLANE, ["u", "tke"])
+    stored = dump_planes(t)
+    whole = stored.where(F.size("at") == PLANE * PLANE)
+    return interp.interpolate_planes(points4(t, stored), whole, RUN, "pid", [AX_T, AX_K], AX_J, AX_I, PLANE, PLANE, ["u", "tke"], planes.touched)
 
 
 @query(
@@ -79,7 +85,8 @@ def _(t):
     {"ustar": 7, "z0m": 7},
 )
 def _(t):
-    return interp.interpolate(points4(t), t.surface_dumps, RUN, "pid", [AX_T, AX_J, AX_I], ["ustar", "z0m"])
+    stored = planes.stored_planes(t.spark, f"{t.sf_dir}/surface", lambda: t.surface_dumps, ["run_id", "step"], PLANE, ["ustar", "z0m"])
+    return interp.interpolate_planes(points4(t, stored), stored, RUN, "pid", [AX_T], AX_J, AX_I, PLANE, PLANE, ["ustar", "z0m"], planes.touched)
 
 
 cte("lv_arr", """

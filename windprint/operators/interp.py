@@ -8,7 +8,7 @@ modulo in the key, so no padded copies of the grid exist.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -79,8 +79,8 @@ def interpolate(
 def pack_planes(cells: DataFrame, keys: Sequence[str], nx: int, values: Sequence[str]) -> DataFrame:
     """One row per (keys, k) plane with row-major value arrays.
 
-    A plane is bounded by the grid (ny * nx floats), so collecting it is safe;
-    stored this way a dump is read back in a few thousand rows.
+    ``at`` has the places of the cells that exist, in order. A plane is bounded by the grid (ny * nx floats), so
+    collecting it is safe; stored this way a dump is read back in a few thousand rows.
     """
     row = F.struct((F.col("j") * nx + F.col("i")).alias("at"), *values)
     packed = cells.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("_p"))
@@ -100,9 +100,15 @@ def interpolate_planes(
     nx: int,
     ny: int,
     values: Sequence[str],
+    prune: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Same answer as :func:`interpolate` on packed planes: only the outer axes
-    are exploded and joined, the four horizontal corners are array look-ups."""
+    are exploded and joined, the four horizontal corners are array look-ups.
+
+    ``prune(planes, wanted)`` may leave out planes that no row of ``wanted``
+    (keys and outer indices) needs. In a plane with holes a corner is searched
+    for among the places that exist.
+    """
     (j0, wj0), (j1, wj1) = j.corners()
     (i0, wi0), (i1, wi1) = i.corners()
     flat = points.select(
@@ -120,13 +126,18 @@ def interpolate_planes(
     )
     c = corner_rows(flat, [*keys, "_h"], pid, outer)
     on = [*keys, *[a.index for a in outer]]
-    hit = c.join(planes.where(F.size("at") == nx * ny).withColumn("_hit", F.lit(1)), on, "left")
+    if prune is not None:
+        planes = prune(planes, corner_rows(flat, keys, pid, outer))
+    hit = c.join(planes.select(*on, "at", *values), on, "left")
+    whole = F.size("at") == nx * ny
+    place = lambda h: F.when(whole, h["at"]).otherwise((F.array_position("at", h["at"].cast("bigint")) - 1).cast("int"))
+    # a corner without weight may be missing
+    some = F.transform(F.filter("_h", lambda h: h["w"] != 0.0), lambda h: F.struct(place(h).alias("at"), h["w"].alias("w")))
+    hit = hit.withColumn("_h", F.filter(some, lambda h: h["at"] >= 0))
     zero = F.lit(0.0)
-    vals = [
-        F.sum(F.col("_w") * F.aggregate(F.col("_h"), zero, lambda s, h: s + h["w"] * F.get(F.col(v), h["at"]))).alias(v)  # noqa: B023
-        for v in values
-    ]
-    out = hit.groupBy(*keys, pid).agg(*vals, F.coalesce(F.sum(F.col("_w") * F.col("_hit")), F.lit(0.0)).alias("_w"))
+    vals = [F.sum(F.col("_w") * F.aggregate("_h", zero, lambda s, h: s + h["w"] * F.get(F.col(v), h["at"]))).alias(v) for v in values]  # noqa: B023
+    weight = F.col("_w") * F.aggregate("_h", zero, lambda s, h: s + h["w"])
+    out = hit.groupBy(*keys, pid).agg(*vals, F.coalesce(F.sum(F.when(F.col("at").isNotNull(), weight)), zero).alias("_w"))
     return out.select(*keys, pid, *[F.when(F.col("_w") > 1.0 - 1e-9, F.col(v)).alias(v) for v in values])
 
 
@@ -141,7 +152,3 @@ def at_height(points: DataFrame, arrays: DataFrame, keys: Sequence[str], z: str,
     j = points.join(arrays, list(keys))
     out = j.withColumns({f"{f}_at": interp_levels(F.col(z), F.col(xs), F.col(f)) for f in fs})
     return out.drop(*[c for c in arrays.columns if c not in keys])
-
-
-def finite_or_null(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    return df.withColumns({c: F.when(isfinite(F.col(c)), F.col(c)) for c in cols})
