@@ -11,6 +11,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -151,19 +152,23 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """``node, elements`` of the wanted nodes (``node, id, a, b``): their sets as sorted arrays, made again from the texts."""
+    """``node, n, bits, elements`` of the wanted nodes (``node, id, a, b, n, bits``): their sets as sorted arrays, made again from the texts.
+
+    A row that shares the id of a node but not its set is left out by the digest.
+    """
 
     def made(batches):
         for batch in sliced(batches, "text", 1 << 18):
             element, text = elements(batch.column("text"), width)
             ends = np.r_[0, np.cumsum(np.bincount(text, minlength=batch.num_rows))]
             a, b = _digest(element, text, batch.num_rows)
-            yield pa.record_batch({"a": a, "b": b, "elements": pa.array([element[i:j].tobytes() for i, j in zip(ends, ends[1:])], pa.binary())})
+            same = pc.and_(pc.equal(a, batch.column("a")), pc.equal(b, batch.column("b")))
+            sets = pa.array([element[i:j].tobytes() for i, j in zip(ends, ends[1:])], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("n"), batch.column("bits"), sets], ["node", "n", "bits", "elements"]).filter(same)
 
-    ids = wanted.select(F.col("id").alias("wanted_id")).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(ids, F.col("id").eqNullSafe(F.col("wanted_id")), "left_semi")
-    found = texts.select("text").mapInArrow(made, "a long, b long, elements binary").join(wanted.select("node", "a", "b"), ["a", "b"])
-    return found.groupBy("node").agg(F.first("elements").alias("elements"))
+    texts = docs.select(F.col(id_col).cast("long").alias("text_id"), F.col(text_col).alias("text"))
+    found = texts.join(wanted, F.col("text_id").eqNullSafe(F.col("id"))).select("text", "node", "a", "b", "n", "bits")
+    return found.mapInArrow(made, "node long, n long, bits binary, elements binary").dropDuplicates(["node"])
 
 
 def _near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -203,7 +208,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     # only sets that some pair needs are dealt out
     pairs = materialize(pairs, "join-pairs")
     needed = pairs.select(F.explode(F.array("u", "v")).alias("needed")).distinct()
-    sets = sets.join(needed, F.col("node") == F.col("needed"), "left_semi")
+    sets = sets.join(needed, F.col("node") == F.col("needed"), "left_semi").select("node", "elements")
     u, v = (sets.select(F.col("node").alias(c), F.col("elements").alias(e)) for c, e in (("u", "x"), ("v", "y")))
     return pairs.join(u, "u").join(v, "v").select("u", "v", "x", "y").mapInArrow(check, "u long, v long")
 
@@ -338,12 +343,12 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     buckets = in_slot.groupBy("slot").agg(*heads, F.min("node").alias("first"), F.max("node").alias("last")).filter("first != last")
     members = materialize(in_slot.join(buckets.select("slot", F.array("h0", "h1").alias("heads")), "slot"), "join-members")
     kept = members.select(F.col("node").alias("m")).distinct()
-    marks = materialize(nodes.join(kept, F.col("node") == F.col("m"), "left_semi").select("node", "id", "a", "b", "n", "bits"), "join-marks")
+    marks = nodes.join(kept, F.col("node") == F.col("m"), "left_semi").select("node", "id", "a", "b", "n", "bits")
     sets = materialize(_sets(docs, marks, id_col, text_col, width), "join-sets")
 
     def linked(ends: DataFrame) -> DataFrame:
         pairs = ends.filter("head != node").select(F.greatest("head", "node").alias("u"), F.least("head", "node").alias("v")).distinct()
-        return _linked(_near(pairs, marks, percent), sets, percent)
+        return _linked(_near(pairs, sets, percent), sets, percent)
 
     labels = components(materialize(linked(members.select("node", F.explode("heads").alias("head"))), "join-links"))
     members = members.select("slot", "node")
@@ -358,7 +363,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
         mixed = _mixed(mixed.select("slot", "node"), labels)
     listed = LISTED
     while not mixed.isEmpty():
-        met = materialize(_met(mixed, marks, percent, listed), "join-met")
+        met = materialize(_met(mixed, sets, percent, listed), "join-met")
         labels = _merged(labels, _linked(met.filter("slot is null").select("u", "v"), sets, percent))
         again = met.filter("slot is not null").select("slot").distinct()
         if again.isEmpty():
