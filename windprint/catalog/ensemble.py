@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from ..operators import ensemble as en, footprint as fp
 from ..sources.shared_table import materialize
+from ..sources.fixtures import PLANE
+from ..streaming import closing
 from ..streaming import incremental as inc
 from .footprint import SUB_SECONDS, SUBS, T_FIRST, sub_maps, sub_releases
 from .registry import cte, query
@@ -186,11 +188,17 @@ def cell_stream(t):
     return Live(t.spark, t.sf_dir).cells
 
 
+def closed_planes(t, name):
+    """Sums of all planes of the stream: those that left the state, compacted, and those still open."""
+    folder = inc.shared_folder(t.spark, name)
+    closing.run_parts(closing.plane_parts(cell_stream(t), PLANE * PLANE), folder)
+    closing.compact(t.spark, folder)
+    return closing.planes_so_far(t.spark, folder)
+
+
 @query("stream_k0k1", "SELECT * FROM k0k1", {"ww0": 8, "ww1": 8, "ratio": 6})
 def _(t):
-    folder = inc.shared_folder(t.spark, "k0k1")
-    table = inc.run_updates(inc.dump_gate(cell_stream(t)), folder, inc.gate_alerts)
-    return inc.latest(t.spark, table, ["run_id", "step"])
+    return inc.gate_status(closing.gates(closed_planes(t, "k0k1")))
 
 
 @query(
@@ -199,6 +207,4 @@ def _(t):
     {"U": 7, "V": 7, "ww": 8, "E": 8},
 )
 def _(t):
-    folder = inc.shared_folder(t.spark, "planes")
-    table = inc.run_updates(inc.plane_means(cell_stream(t)), folder)
-    return inc.window_means(inc.latest(t.spark, table, ["run_id", "step", "k"]))
+    return inc.window_means(closing.profiles(closed_planes(t, "profiles")))
