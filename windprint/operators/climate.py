@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import boundary_layer as bl
@@ -40,9 +40,29 @@ def earth_wind(u: Column, v: Column, cos_a: Column, sin_a: Column) -> tuple[Colu
     return u * cos_a - v * sin_a, v * cos_a + u * sin_a
 
 
-def nearest_cell(grid: DataFrame, coord: str, index: str, target: float) -> DataFrame:
-    """First index whose coordinate is closest to the target."""
-    return grid.agg(F.min(F.struct(F.abs(F.col(coord) - target).alias("d"), index))[index].alias(index))
+def nearest_cells(sites: DataFrame, axis: DataFrame, site: str, at: str, coord: str, index: str, block: float) -> DataFrame:
+    """(site, index, offset): for each site the index of the axis point nearest to it, the first one where two are as near.
+
+    Sites and axis points are sorted together in blocks of ``block`` along the coordinate; each site takes the last
+    point before it and the first after it, from its own block or, carried through the small table of blocks, from the
+    nearest block that has one. Nothing is paired beyond that, and no block of sites waits for another.
+    """
+    point = axis.select(F.col(coord).cast("double").alias("x"), F.lit(None).cast(sites.schema[site].dataType).alias(site), F.struct(F.col(coord).cast("double").alias("x"), F.col(index).alias("n")).alias("p"))
+    asked = sites.select(F.col(at).cast("double").alias("x"), site, F.lit(None).cast(point.schema["p"].dataType).alias("p"))
+    both = point.unionByName(asked).withColumn("b", F.floor(F.col("x") / block))
+    ends = both.groupBy("b").agg(F.max_by("p", F.when(F.col("p").isNotNull(), F.col("x"))).alias("last"), F.min_by("p", F.when(F.col("p").isNotNull(), F.col("x"))).alias("first"))
+    # one row for each block of the axis
+    before = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.orderBy("b").rowsBetween(1, Window.unboundedFollowing)
+    ends = ends.select("b", F.last("last", True).over(before).alias("carried"), F.first("first", True).over(after).alias("ahead"))
+    up = Window.partitionBy("b").orderBy("x").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    down = Window.partitionBy("b").orderBy("x").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    held = F.when(F.col("p").isNotNull(), F.col("x"))
+    near = both.withColumns({"low": F.max_by("p", held).over(up), "high": F.min_by("p", held).over(down)}).where(F.col("p").isNull())
+    j = near.join(ends, "b").withColumns({"low": F.coalesce("low", "carried"), "high": F.coalesce("high", "ahead")})
+    sides = F.filter(F.array("low", "high"), lambda c: c.isNotNull())
+    best = F.array_min(F.transform(sides, lambda c: F.struct(F.abs(c["x"] - F.col("x")).alias("d"), c["n"].alias("n"), c["x"].alias("at"))))
+    return j.select(site, best["n"].alias(index), (best["at"] - F.col("x")).alias("offset"))
 
 
 def derive(hourly: DataFrame, cos_a: Column, sin_a: Column, zm: float = 30.0, z0: float = 0.05) -> DataFrame:

@@ -324,6 +324,36 @@ def rotate_cells(cells: DataFrame, n: int, m: Column, vector: tuple[str, str] =
     return cells.withColumns({"_j": tj, "_i": ti, vector[0]: ru, vector[1]: rv}).drop("j", "i").withColumnsRenamed({"_j": "j", "_i": "i"})
 
 
+def tiles_in_view(runs: DataFrame, dom: Domain, view: tuple[float, float, float, float], ntile: int = 1) -> DataFrame:
+    """(run columns, tj, ti): the periods of the domain whose rotated tile may show in the view (x0, x1, y0, y1) of a run's footprint frame.
+
+    ``runs`` has ``ang``, the wind's angle. A tile is kept where the bounding box of its four corners meets the view, so
+    only its cells are joined; the tiles of the whole neighbourhood, (2 ntile + 1)**2 a run, are literals.
+    """
+    n = F.sequence(F.lit(-ntile), F.lit(ntile))
+    t = runs.withColumn("tj", F.explode(n)).withColumn("ti", F.explode(n))
+    ca, sa = F.cos("ang"), F.sin("ang")
+    xs = [(F.col("ti") * dom.nx + c - dom.i_r) * dom.dx for c in (0, dom.nx - 1)]
+    ys = [(F.col("tj") * dom.ny + c - dom.j_r) * dom.dx for c in (0, dom.ny - 1)]
+    corners = [(-(x * ca + y * sa), y * ca - x * sa) for x in xs for y in ys]
+    x0, x1, y0, y1 = view
+    lo, hi = (lambda k: F.least(*[c[k] for c in corners])), (lambda k: F.greatest(*[c[k] for c in corners]))
+    return t.where((hi(0) >= x0) & (lo(0) <= x1) & (hi(1) >= y0) & (lo(1) <= y1))
+
+
+def tiled_masks(runs: DataFrame, cells: DataFrame, keys: Sequence[str], dom: Domain, view: tuple[float, float, float, float], ntile: int = 1) -> DataFrame:
+    """Cells of the periodic surface in each run's footprint frame: (run columns, tj, ti, x, y) and the cell's columns.
+
+    ``x`` points upwind and ``y`` across; only cells inside the view are returned, also those beyond the seam.
+    """
+    j = tiles_in_view(runs, dom, view, ntile).join(cells, list(keys))
+    dx, dy = (F.col("ti") * dom.nx + F.col("i") - dom.i_r) * dom.dx, (F.col("tj") * dom.ny + F.col("j") - dom.j_r) * dom.dx
+    ca, sa = F.cos("ang"), F.sin("ang")
+    x0, x1, y0, y1 = view
+    out = j.withColumns({"x": -(dx * ca + dy * sa), "y": dy * ca - dx * sa})
+    return out.where(F.col("x").between(x0, x1) & F.col("y").between(y0, y1))
+
+
 def require_square(nx: int, ny: int) -> None:
     if nx != ny:
         raise ValueError(f"a quarter turn needs a square plane, got {ny} x {nx}")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
@@ -12,6 +12,7 @@ from ..operators import footprint as fp
 from ..operators import levels as lv
 from ..operators import rasters
 from ..operators import reference_model as rm
+from ..sources import sinks
 from ..sources.shared_table import materialize
 
 
@@ -172,11 +173,9 @@ def compute_footprint(touchdowns: DataFrame, releases: DataFrame, surface: DataF
     w = fp.weigh(touchdowns, framed, dom, w_floor)
     acc = materialize(fp.accumulate(w, dom), "account")
     sums = acc.where(F.col("kind").isin("age", "disp")).groupBy("run_id", "kind", "a").agg(F.sum("flux").alias("s"))
-    marks = F.element_at(F.array(*[F.lit(float(v)) for v in (*fp.MARKS, 900.0)]), (F.col("a") + 1).cast("int"))
     per = F.greatest("n_particles", F.lit(1))
     edges = frames.select("run_id", "n_particles", F.posexplode(F.array(*[F.lit(v) for v in fp.DISP_FRACTIONS])).alias("a", "frac_of_lx"))
     by_disp = edges.join(sums.where(F.col("kind") == "disp"), ["run_id", "a"], "left")
-    capture = sums.where(F.col("kind") == "age").join(frames.select("run_id", "n_particles"), "run_id")
     out = {
         "frames": frames,
         "map": fp.density(fp.account_cells(acc), frames, run, dom.area),
@@ -184,7 +183,7 @@ def compute_footprint(touchdowns: DataFrame, releases: DataFrame, surface: DataF
         "halves": fp.density(fp.account_cells(acc, True), fp.half_totals(framed), ["run_id", "half"], dom.area),
         "fy": fp.account_fy(acc, frames, run, dom),
         "fy_halves": fp.account_fy(acc, fp.half_totals(framed), ["run_id", "half"], dom),
-        "capture": capture.select("run_id", marks.alias("mark"), (F.col("s") / per).alias("integral")),
+        "capture": fp.capture_curve(w, frames, dom),
         "by_disp": by_disp.select("run_id", "frac_of_lx", (F.coalesce("s", F.lit(0.0)) / per).alias("integral")),
         "scalars": fp.account_scalars(acc, frames),
     }
@@ -193,8 +192,8 @@ def compute_footprint(touchdowns: DataFrame, releases: DataFrame, surface: DataF
     return out
 
 
-def regression(touchdowns: DataFrame, releases: DataFrame, params: DataFrame, dom: Domain) -> DataFrame:
-    """First half as baseline, whole window as candidate, half difference as tolerance."""
+def regression_metrics(touchdowns: DataFrame, releases: DataFrame, params: DataFrame, dom: Domain) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(first half's metrics, whole window's metrics, half difference): long tables (run_id, metric, value) and (run_id, dpeak)."""
     run, keys = ["run_id"], ["run_id", "half"]
     parts = compute_footprint(touchdowns, releases, None, dom)
     maps = parts["halves"]
@@ -209,5 +208,16 @@ def regression(touchdowns: DataFrame, releases: DataFrame, params: DataFrame, do
     now = now.join(fp.overlap(parts["map"], rm.static_raster(params, dom), run), run).join(area(parts["map"]), run)
     names = ["peak_x", "area80_ha", "integral", "overlap"]
     was = materialize(compare.melt(base, run, names), "baseline")
-    tol = compare.tolerances(was, h.select("run_id", (F.col("p1") - F.col("p2")).alias("dpeak")))
-    return compare.verdict(was, compare.melt(now, run, names), tol)
+    return was, compare.melt(now, run, names), h.select("run_id", (F.col("p1") - F.col("p2")).alias("dpeak"))
+
+
+def regression(touchdowns: DataFrame, releases: DataFrame, params: DataFrame, dom: Domain) -> DataFrame:
+    """First half as baseline, whole window as candidate, half difference as tolerance."""
+    was, now, floor = regression_metrics(touchdowns, releases, params, dom)
+    return compare.verdict(was, now, compare.tolerances(was, floor))
+
+
+def against_baseline(spark: SparkSession, path: str, now: DataFrame, floor: DataFrame) -> DataFrame:
+    """The verdict on ``now`` against the newest accepted version of the baseline stored at ``path``."""
+    was = sinks.baseline(spark, path).select("run_id", "metric", "value")
+    return compare.verdict(was, now, compare.tolerances(was, floor))

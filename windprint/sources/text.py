@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CASE_LINE = r"^\s*([A-Za-z]\w*)\s*=\s*([^#]*?)\s*(?:#\s*(.*))?$"
@@ -73,17 +73,54 @@ def score_log(lines: DataFrame, keys: list[str], exit_code: Column | None = None
     return g.withColumn("verdict", F.when(ok, "OK").otherwise("REJECTED"))
 
 
+def split_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, block, seq, line) of text files of any length: ``block`` is where the split of a line begins in its file,
+    ``seq`` rises with the lines of a split."""
+    df = spark.read.option("recursiveFileLookup", True).text(path)
+    return df.select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("seq"), F.col("value").alias("line")
+    )
+
+
+def after_header(lines: DataFrame, keys: list[str], header: Column, row: Column) -> DataFrame:
+    """The rows that follow a key's first header line, up to its first line that is neither header nor row.
+
+    ``lines`` has the keys, block, seq and line; blocks of a key are in order, and lines within a block. It is a scan by
+    segments: each block says with a few minima what it does to a reader that comes in before, within or after the
+    table; what that reader is when it comes to a block follows from the small table of blocks; then every line decides
+    for itself. No file, and no block, is gathered in a task.
+    """
+    kinds = lines.select(*keys, "block", "seq", "line", F.when(header, "head").when(row, "row").otherwise("other").alias("kind"))
+    first = lambda c: F.min(F.when(c, F.col("seq")))
+    ends = kinds.where("kind != 'row'")
+    per = ends.groupBy(*keys, "block").agg(first(F.col("kind") == "head").alias("head"), first(F.col("kind") == "other").alias("other"))
+    on = [*keys, "block"]
+    after = ends.where("kind = 'other'").join(per.where("head is not null").select(*on, "head"), on).where(F.col("seq") > F.col("head"))
+    blocks = per.join(after.groupBy(*on).agg(F.min("seq").alias("shut")), on, "left")
+    # one row for each split of a file
+    earlier = Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("begun", F.coalesce(F.max(F.col("head").isNotNull()).over(earlier), F.lit(False)))
+    blocks = blocks.withColumn("ends", F.when(F.col("begun"), F.col("other").isNotNull()).otherwise(F.col("shut").isNotNull()))
+    blocks = blocks.withColumn("over", F.coalesce(F.max("ends").over(earlier), F.lit(False)))
+    # a block of rows alone has no entry of its own: the last one before it tells how it is entered
+    entry = kinds.select(*on).distinct().join(blocks, on, "left")
+    left = F.struct((F.col("begun") | F.col("head").isNotNull()).alias("begun"), (F.col("over") | F.col("ends")).alias("over"))
+    entry = entry.withColumn("was", F.last(F.when(F.col("begun").isNotNull(), left), True).over(earlier))
+    state = entry.select(*on, F.coalesce("begun", "was.begun", F.lit(False)).alias("begun"), F.coalesce("over", "was.over", F.lit(False)).alias("over"), "head", "other", "shut").where("not over")
+    hit = kinds.where("kind = 'row'").join(state, on)
+    inside = F.col("begun") & (F.col("other").isNull() | (F.col("seq") < F.col("other")))
+    starts = ~F.col("begun") & (F.col("seq") > F.col("head")) & (F.col("shut").isNull() | (F.col("seq") < F.col("shut")))
+    return hit.where(inside | F.coalesce(starts, F.lit(False))).select(*on, "seq", "line")
+
+
 def cover_report(lines: DataFrame, key: str = "path") -> DataFrame:
     """Land-cover share lines that directly follow the share header of a report.
 
-    The block's ends are found with two grouped minima, so a long file needs no
-    single-task window.
+    ``lines`` are those of :func:`split_lines`, or numbered by ``line_no`` where a file is known to be small.
     """
-    header, row = F.col("line").contains("land-cover share"), F.col("line").contains("(domain area share")
-    start = lines.groupBy(key).agg(F.min(F.when(header, F.col("line_no"))).alias("start")).where(F.col("start").isNotNull())
-    j = lines.join(start, key).where(F.col("line_no") > F.col("start"))
-    stop = j.groupBy(key).agg(F.min(F.when(~row, F.col("line_no"))).alias("stop"))
-    block = j.join(stop, key).where(F.col("stop").isNull() | (F.col("line_no") < F.col("stop")))
+    if "block" not in lines.columns:
+        lines = lines.select(key, F.lit(0).alias("block"), F.col("line_no").alias("seq"), "line")
+    block = after_header(lines, [key], F.col("line").contains("land-cover share"), F.col("line").contains("(domain area share"))
     name = F.when(F.trim("line").startswith("solar"), "array").otherwise(F.regexp_extract(F.trim("line"), r"^(\S+)", 1))
     return block.select(
         key,
