@@ -14,10 +14,12 @@ from .common import materialize
 from .vectors import best, matrix, usable
 
 #: Standard deviations of the code's error that the bounds allow for.
-EPSILON = 2.4
+EPSILON = 1.5
 SEED = 11
-#: Candidates and queries that meet in one task, at most; and the least number of candidate blocks.
-BLOCK, QUERY_BLOCK, MIN_BLOCKS = 65_536, 8_192, 24
+#: So many times k candidates of the best estimates give the floor that a block's upper bounds must reach.
+FIRST = 4
+#: Candidates and queries that meet in one task, at most; candidates of a block where there are few; and tasks to aim at.
+BLOCK, QUERY_BLOCK, SMALL_BLOCK, TASKS = 65_536, 65_536, 12_288, 24
 
 
 @lru_cache(maxsize=8)
@@ -36,6 +38,11 @@ def encode(vec: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return np.packbits(turned > 0, axis=1), length, fit
 
 
+def signs(codes: np.ndarray, dim: int) -> np.ndarray:
+    """Packed bits as rows of 1 and -1."""
+    return np.unpackbits(codes, axis=1, count=dim).astype(np.float32) * 2 - 1
+
+
 def estimate(codes: np.ndarray, length: np.ndarray, fit: np.ndarray, query: np.ndarray, seed: int, epsilon: float) -> tuple[np.ndarray, np.ndarray]:
     """Estimated inner products of each query (row) with each coded vector (column), and the half width of their bounds.
 
@@ -43,15 +50,11 @@ def estimate(codes: np.ndarray, length: np.ndarray, fit: np.ndarray, query: np.n
     <q, b> / <b, o>; its error is below epsilon |q| sqrt((1 - f^2) / f^2 / (dim - 1)) but for rare cases, f = <b, o>.
     """
     dim = query.shape[1]
-    turned = (query @ rotation(dim, seed).T).astype(np.float32)
-    bits = np.unpackbits(codes, axis=1, count=dim)
-    # signs are 2 bit - 1, so <q, signs> = 2 <q, bits> - sum of q
-    product = 2 * (turned @ bits.astype(np.float32).T) - turned.sum(1, dtype=np.float32)[:, None]
-    scale = (length / (np.sqrt(dim) * fit)).astype(np.float32)
-    spread = length * np.sqrt(np.maximum(1 - fit**2, 0) / fit**2 / max(dim - 1, 1))
-    lengths = np.sqrt((query * query).sum(1))
+    product = (query @ rotation(dim, seed).T).astype(np.float32) @ signs(codes, dim).T
+    product *= (length / (np.sqrt(dim) * fit)).astype(np.float32)
     # the last term covers single-precision rounding
-    return product * scale, epsilon * lengths[:, None] * spread + 1e-5 * lengths[:, None] * length
+    spread = epsilon * length * np.sqrt(np.maximum(1 - fit**2, 0) / fit**2 / max(dim - 1, 1)) + 1e-5 * length
+    return product, np.sqrt((query * query).sum(1))[:, None].astype(np.float32) * spread.astype(np.float32)
 
 
 def build_index(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", seed: int = SEED) -> DataFrame:
@@ -74,8 +77,9 @@ def search(index: DataFrame, queries: DataFrame, k: int = 20, seed: int = SEED,
     """The ``k`` nearest by inner product of each query (``vid, dim, vec``): ``query_id, rank, vec_id, score``.
 
     Candidates are dealt to blocks by a hash of their id, queries likewise; every block of queries meets every block
-    of candidates of the same dimension in a task of bounded size. There the codes give bounds on all inner products;
-    a candidate goes to the exact product where its upper bound reaches the k-th highest lower bound of its block.
+    of candidates of the same dimension in a task of bounded size. There the codes give estimates of all inner products
+    and upper bounds; the exact products of the best estimates give a floor that k candidates reach, and whatever has
+    an upper bound at the floor or above goes to the exact product.
     Scores are double-precision products of the original vectors; ties go to the smaller id. A query's own id is
     never returned. Fewer candidates than ``k`` give as many rows.
 
@@ -83,7 +87,8 @@ def search(index: DataFrame, queries: DataFrame, k: int = 20, seed: int = SEED,
     Rows sharing an id count once. Only vectors of equal dimension are compared.
     """
     n, n_queries = index.count(), queries.count()
-    blocks, query_blocks = max(MIN_BLOCKS, -(-n // BLOCK)), max(1, -(-n_queries // QUERY_BLOCK))
+    blocks = max(-(-n // BLOCK), min(4, -(-n // SMALL_BLOCK)), 1)
+    query_blocks = max(-(-n_queries // QUERY_BLOCK), min(-(-TASKS // blocks), -(-n_queries // 64)), 1)
 
     def each(count: int, name: str):
         return F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias(name)
@@ -114,18 +119,34 @@ def search(index: DataFrame, queries: DataFrame, k: int = 20, seed: int = SEED,
     return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _products(qvec: np.ndarray, vec: np.ndarray, q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Exact inner products of pairs."""
+    score = np.empty(len(q))
+    for s in range(0, len(q), 50_000):
+        score[s : s + 50_000] = (qvec[q[s : s + 50_000]] * vec[c[s : s + 50_000]]).sum(1)
+    return score
+
+
 def _block(qid, qvec, vid, vec, codes, length, fit, k, seed, epsilon):
     mid, half = estimate(codes, length, fit, qvec, seed, epsilon)
-    low, high = mid - half, mid + half
     at = np.minimum(np.searchsorted(vid, qid), len(vid) - 1)
     own = np.nonzero(vid[at] == qid)[0]
-    low[own, at[own]] = high[own, at[own]] = -np.inf
-    cut = max(len(vid) - k, 0)
-    bound = np.partition(low, cut, axis=1)[:, cut]
-    q, c = np.nonzero((high >= bound[:, None]) & (high > -np.inf))
-    score = np.empty(len(q))
-    for s in range(0, len(q), 100_000):
-        score[s : s + 100_000] = (qvec[q[s : s + 100_000]] * vec[c[s : s + 100_000]]).sum(1)
+    mid[own, at[own]] = -np.inf
+    first = min(FIRST * k, len(vid))
+    lead = np.argpartition(-mid, first - 1, axis=1)[:, :first]
+    known = _products(qvec, vec, np.repeat(np.arange(len(qid)), first), lead.ravel()).reshape(len(qid), first)
+    known[np.take_along_axis(mid, lead, 1) == -np.inf] = -np.inf
+    floor = np.sort(known, axis=1)[:, -k] if first >= k else np.full(len(qid), -np.inf)
+    mid += half
+    q, c = np.nonzero((mid >= floor[:, None].astype(np.float32)) & (mid > -np.inf))
+    score = _products(qvec, vec, q, c)
+    keep = best(q, vid[c], score, k)
+    # the lead itself, where a bound failed
+    lead_q, lead_c, lead_s = np.repeat(np.arange(len(qid)), first), lead.ravel(), known.ravel()
+    some = lead_s > -np.inf
+    q, c, score = np.r_[q[keep], lead_q[some]], np.r_[c[keep], lead_c[some]], np.r_[score[keep], lead_s[some]]
+    _, once = np.unique(q * len(vid) + c, return_index=True)
+    q, c, score = q[once], c[once], score[once]
     keep = best(q, vid[c], score, k)
     return qid[q[keep]], vid[c[keep]], score[keep]
 
