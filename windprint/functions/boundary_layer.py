@@ -112,21 +112,43 @@ def dissipation(e: Column, theta: Column, dthdz: Column, delta: Column) -> Colum
     return 0.93 * F.pow(root_e, 3) / F.greatest(length, F.lit(1e-2))
 
 
-def variance_floor(z, ww, e, ustar, h, L, wth, theta, mode: Column) -> dict[str, Column]:
-    """Similarity-anchored multiplier on the sub-grid variance, per level."""
-    one_h = F.greatest(h, F.lit(1.0))
-    zeta = F.when(isfinite(L) & (F.abs(L) > 1e-6), F.try_divide(z, L)).otherwise(0.0)
-    phi = F.when(zeta < 0, F.cbrt(F.greatest(1.0 - 3.0 * zeta, F.lit(1.0)))).otherwise(
-        1.0 + 0.2 * F.least(zeta, F.lit(2.0))
-    )
-    surface = 1.25 * phi * ustar * F.pow(F.greatest(1.0 - z / one_h, F.lit(0.0)), F.lit(0.75))
-    wstar = F.cbrt(GRAVITY / theta * F.greatest(wth, F.lit(0.0)) * one_h)
-    zz = clip(z / one_h, 1e-4, 1.5)
-    mixed = 1.34 * wstar * F.cbrt(zz) * F.greatest(1.0 - 0.8 * zz, F.lit(0.0))
-    target = F.when((mode == "surface") | (wstar <= 0), surface).when(mode == "mixed", mixed).otherwise(
-        F.least(surface, mixed)
-    )
-    need = F.greatest(target * target - ww, F.lit(0.0))
-    have = F.greatest(2.0 / 3.0 * e, F.lit(1e-9))
-    fade = clip((0.2 * h - z) / (0.1 * h), 0.0, 1.0)
-    return {"phi_w": phi, "target": target, "factor": 1.0 + fade * F.greatest(need / have - 1.0, F.lit(0.0))}
+def height_over_length(z: Column, L: Column) -> Column:
+    """z/L; 0 where the length is undefined, that is in neutral air."""
+    return F.coalesce(F.when(isfinite(L) & (F.abs(L) > 1e-6), F.try_divide(z, L)), F.lit(0.0))
+
+
+def phi_w(zeta: Column) -> Column:
+    """sigma_w / u* over its neutral value: a cube root in unstable air, a slow linear rise up to zeta = 2 in stable air."""
+    unstable = F.cbrt(1.0 - 3.0 * F.least(zeta, F.lit(0.0)))
+    stable = 1.0 + 0.2 * clip(zeta, 0.0, 2.0)
+    return F.when(zeta < 0, unstable).otherwise(stable)
+
+
+def sigma_w_surface(z: Column, h: Column, L: Column, ustar: Column) -> Column:
+    """Vertical fluctuation of the surface layer, falling to nothing at the top h."""
+    depth = F.greatest(1.0 - z / F.greatest(h, F.lit(1.0)), F.lit(0.0))
+    return 1.25 * ustar * phi_w(height_over_length(z, L)) * F.sqrt(depth) * F.sqrt(F.sqrt(depth))
+
+
+def sigma_w_mixed(z: Column, h: Column, wth: Column, theta: Column) -> Column:
+    """Vertical fluctuation of a convective mixed layer of depth h; 0 without a heat flux from below."""
+    depth = F.greatest(h, F.lit(1.0))
+    return convective_velocity(theta, wth, depth, floor=0.0) * lenschow(clip(z / depth, 1e-4, 1.5))
+
+
+def sigma_w_target(z: Column, h: Column, L: Column, ustar: Column, wth: Column, theta: Column, mode: Column) -> Column:
+    """What ``mode`` asks for: "surface", "mixed" or the lesser of both. Without convection only the surface layer counts."""
+    surface, mixed = sigma_w_surface(z, h, L, ustar), sigma_w_mixed(z, h, wth, theta)
+    asked = F.coalesce(F.element_at(F.create_map(F.lit("surface"), surface, F.lit("mixed"), mixed), mode), F.least(surface, mixed))
+    return F.when(wth > 0, asked).otherwise(surface)
+
+
+def near_ground(z: Column, h: Column) -> Column:
+    """1 up to a tenth of the layer's depth, 0 from a fifth on, linear between."""
+    return 1.0 - clip(z / (0.1 * h) - 1.0, 0.0, 1.0)
+
+
+def subgrid_multiplier(target: Column, resolved: Column, e: Column, weight: Column) -> Column:
+    """By how much the sub-grid variance 2/3 e is to be raised to fill the target's variance beside the resolved one; never lowered."""
+    share = F.greatest(target * target - resolved, F.lit(0.0)) / F.greatest(e * 2.0 / 3.0, F.lit(1e-9))
+    return F.lit(1.0) + weight * (F.greatest(share, F.lit(1.0)) - 1.0)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
 from ..functions.geometry import Domain
+from .interp import Axis, cell_corners
 from .ordered import mass_threshold, top_sum, with_threshold
 
 MARKS = (300.0, 450.0, 600.0, 750.0)
@@ -93,21 +94,12 @@ def deposit_cic(
     periodic: bool = True,
 ) -> DataFrame:
     """Share each touchdown bilinearly between its four nearest cells."""
-    u, v = (x - x_edge) / res - 0.5, (y - y_edge) / res - 0.5
-    base = w.select(*keys, "wt_f", "wt_c", F.floor(u).alias("i0"), F.floor(v).alias("j0"), u.alias("u"), v.alias("v"))
-    base = base.withColumn("fx", F.col("u") - F.col("i0")).withColumn("fy", F.col("v") - F.col("j0"))
-    corners = F.array(
-        *[
-            F.struct((F.col("j0") + dj).alias("j"), (F.col("i0") + di).alias("i"), (wi * wj).alias("part"))
-            for di, wi in ((0, 1.0 - F.col("fx")), (1, F.col("fx")))
-            for dj, wj in ((0, 1.0 - F.col("fy")), (1, F.col("fy")))
-        ]
-    )
-    cells = base.select(*keys, "wt_f", "wt_c", F.explode(corners).alias("c"))
-    if periodic:
-        j, i = F.pmod(F.col("c.j"), F.lit(ny)), F.pmod(F.col("c.i"), F.lit(nx))
-    else:
-        j, i = F.col("c.j"), F.col("c.i")
+    edge = "wrap" if periodic else "open"
+    base = w.select(*keys, "wt_f", "wt_c", ((x - x_edge) / res - 0.5).alias("u"), ((y - y_edge) / res - 0.5).alias("v"))
+    around = [F.struct(j.alias("j"), i.alias("i"), part.alias("part")) for j, i, part in cell_corners(Axis("v", "j", ny, edge), Axis("u", "i", nx, edge))]
+    cells = base.select(*keys, "wt_f", "wt_c", F.explode(F.array(*around)).alias("c"))
+    j, i = F.col("c.j"), F.col("c.i")
+    if not periodic:
         cells = cells.where(j.between(0, ny - 1) & i.between(0, nx - 1))
     return cells.groupBy(*keys, j.alias("j"), i.alias("i")).agg(
         F.sum(F.col("wt_f") * F.col("c.part")).alias("flux"), F.sum(F.col("wt_c") * F.col("c.part")).alias("conc")
@@ -350,19 +342,14 @@ def accumulate(w: DataFrame, dom: Domain, marks: Sequence[float] = MARKS, t_back
     """
     nfy = dom.nx
     u, v = F.col("xm") / dom.dx + dom.i_r, F.col("ym") / dom.dx + dom.j_r
-    p = w.select("run_id", "half", "wt_f", "wt_c", "x_up", "disp", "td_age", "wrapped", F.floor(u).alias("i0"), F.floor(v).alias("j0"), u.alias("u"), v.alias("v"))
-    p = p.withColumn("fx", F.col("u") - F.col("i0")).withColumn("fy", F.col("v") - F.col("j0"))
+    p = w.select("run_id", "half", "wt_f", "wt_c", "x_up", "disp", "td_age", "wrapped", u.alias("u"), v.alias("v"))
     big = lambda c: c.cast("bigint")
 
     def key(kind: str, a: Column, b: Column, part: Column) -> Column:
         return F.struct(F.lit(kind).alias("kind"), big(a).alias("a"), big(b).alias("b"), part.cast("double").alias("part"))
 
     zero, one = F.lit(0), F.lit(1.0)
-    cells = [
-        key("cell", F.pmod(F.col("j0") + dj, F.lit(dom.ny)), F.pmod(F.col("i0") + di, F.lit(dom.nx)), wi * wj)
-        for di, wi in ((0, 1.0 - F.col("fx")), (1, F.col("fx")))
-        for dj, wj in ((0, 1.0 - F.col("fy")), (1, F.col("fy")))
-    ]
+    cells = [key("cell", j, i, part) for j, i, part in cell_corners(Axis("v", "j", dom.ny, "wrap"), Axis("u", "i", dom.nx, "wrap"))]
     top = (nfy + 0.5) * dom.dx
     b = F.when(F.col("x_up") == top, F.lit(2 * nfy - 1)).otherwise(F.floor(F.col("x_up") / dom.dx - 0.5) + nfy)
     bins = [key("fy", b, zero, one)]

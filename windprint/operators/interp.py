@@ -21,8 +21,9 @@ from ..functions.numeric import interp_levels, isfinite
 class Axis:
     """One grid axis: fractional coordinate column, index column, size, edge rule.
 
-    ``edge`` is "clamp" (hold the end value), "wrap" (periodic) or
-    "extrapolate" (keep the end cell's slope). ``size`` may name a column.
+    ``edge`` is "clamp" (hold the end value), "wrap" (periodic), "extrapolate"
+    (keep the end cell's slope) or "open" (indices as they come, also outside).
+    ``size`` may name a column.
     """
 
     coord: str
@@ -33,15 +34,21 @@ class Axis:
     def corners(self) -> list[tuple[Column, Column]]:
         n = F.col(self.size) if isinstance(self.size, str) else F.lit(self.size)
         c = F.col(self.coord)
-        if self.edge == "wrap":
+        if self.edge in ("wrap", "open"):
             base = F.floor(c)
-            return [(F.pmod(base, n), 1.0 - (c - base)), (F.pmod(base + 1, n), c - base)]
+            at = (lambda k: F.pmod(k, n)) if self.edge == "wrap" else (lambda k: k)
+            return [(at(base), 1.0 - (c - base)), (at(base + 1), c - base)]
         if self.edge == "clamp":
             c = F.least(F.greatest(c, F.lit(0.0)), (n - 1).cast("double"))
         base = F.least(F.greatest(F.floor(c), F.lit(0)), F.greatest(n - 2, F.lit(0)))
         return [(base, 1.0 - (c - base)), (F.least(base + 1, n - 1), c - base)]
 
 
+def cell_corners(j: Axis, i: Axis) -> list[tuple[Column, Column, Column]]:
+    """(j, i, weight) of the four cells around a point of the plane."""
+    return [(jj, ii, wj * wi) for jj, wj in j.corners() for ii, wi in i.corners()]
+
+
 def corner_rows(points: DataFrame, keys: Sequence[str], pid: str, axes: Sequence[Axis]) -> DataFrame:
     """One row per (point, corner) with a non-zero weight.
 
@@ -109,20 +116,12 @@ def interpolate_planes(
     (keys and outer indices) needs. In a plane with holes a corner is searched
     for among the places that exist.
     """
-    (j0, wj0), (j1, wj1) = j.corners()
-    (i0, wi0), (i1, wi1) = i.corners()
     flat = points.select(
         *keys,
         pid,
         *[a.coord for a in outer],
         *[a.size for a in outer if isinstance(a.size, str)],
-        F.array(
-            *[
-                F.struct((jj * nx + ii).cast("int").alias("at"), (wj * wi).alias("w"))
-                for jj, wj in ((j0, wj0), (j1, wj1))
-                for ii, wi in ((i0, wi0), (i1, wi1))
-            ]
-        ).alias("_h"),
+        F.array(*[F.struct((jj * nx + ii).cast("int").alias("at"), w.alias("w")) for jj, ii, w in cell_corners(j, i)]).alias("_h"),
     )
     c = corner_rows(flat, [*keys, "_h"], pid, outer)
     on = [*keys, *[a.index for a in outer]]

@@ -452,8 +452,10 @@ def variance_floor_table(mean_prof: DataFrame, levels: DataFrame, stats: DataFra
     modes = F.explode(F.array(F.lit("surface"), F.lit("mixed"), F.lit("blend")))
     s = stats.select("run_id", "ustar", "h", "L", "ht_flux", "theta0")
     p = mean_prof.select("run_id", "k", "ww", "E").join(levels.select("run_id", "k", "z"), ["run_id", "k"]).join(s, "run_id").withColumn("mode", modes)
-    c = bl.variance_floor(*[F.col(x) for x in ("z", "ww", "E", "ustar", "h", "L", "ht_flux", "theta0", "mode")])
-    return p.select("run_id", "k", "z", "mode", *[v.alias(n) for n, v in c.items()])
+    z, h, L = F.col("z"), F.col("h"), F.col("L")
+    p = p.withColumn("target", bl.sigma_w_target(z, h, L, F.col("ustar"), F.col("ht_flux"), F.col("theta0"), F.col("mode")))
+    factor = bl.subgrid_multiplier(F.col("target"), F.col("ww"), F.col("E"), bl.near_ground(z, h))
+    return p.select("run_id", "k", "z", "mode", bl.phi_w(bl.height_over_length(z, L)).alias("phi_w"), "target", factor.alias("factor"))
 
 
 def vertical_gradient(cells: DataFrame, levels: DataFrame, values: Sequence[str]) -> DataFrame:
@@ -475,28 +477,38 @@ def subgrid_terms(cells: DataFrame, dx: float) -> DataFrame:
     return g.withColumn("eps", eps)
 
 
+def _log_law(p: Column, z_ref: Column) -> Column:
+    """Wind at a height over wind at ``z_ref``, both from the neutral log law; from 0 to 1."""
+    z0 = F.greatest(F.col("z0"), F.lit(1e-4))
+    share = F.try_divide(F.ln(F.greatest(p, 1.001 * z0) / z0), F.ln(z_ref / z0))
+    return F.greatest(F.lit(0.0), F.least(share, F.lit(1.0)))
+
+
+#: How a field goes on below the first level, as a share of its value there, and the least value it may have anywhere.
+BELOW = {
+    "u": (_log_law, None),
+    "v": (_log_law, None),
+    "w": (lambda p, z_ref: p / z_ref, None),
+    "eps": (lambda p, z_ref: z_ref / p, 1e-8),
+}
+
+
 def sublayer(p: DataFrame, z_ref: Column) -> DataFrame:
-    """Continue sampled fields below the first level and apply numeric floors.
+    """Sampled fields by the rules of ``BELOW``, and the scaled sub-grid variance with its vertical derivative.
 
     Needs zagl, u, v, w, e, eps, ds2, z0, sc, dsc; ``sc`` is the variance
-    multiplier at the point's height and ``dsc`` its vertical derivative.
+    multiplier at the point's height and ``dsc`` its vertical derivative. The variance is that of the level, so its
+    derivative (the product rule of sc times 2/3 e, ``ds2`` being that of 2/3 e) is zero below it.
     """
-    zagl, below = F.col("zagl"), F.col("zagl") < z_ref
-    z0 = F.greatest("z0", F.lit(1e-4))
-    log_scale = F.ln(F.greatest(zagl, 1.001 * z0) / z0) / F.ln(z_ref / z0)
-    log_scale = F.least(F.greatest(log_scale, F.lit(0.0)), F.lit(1.0))
-    sig2 = F.greatest(F.col("sc") * 2.0 / 3.0 * F.col("e"), F.lit(1e-6))
-    grad = F.col("sc") * F.col("ds2") + 2.0 / 3.0 * F.col("e") * F.col("dsc")
-    return p.withColumns(
-        {
-            "u": F.when(below, F.col("u") * log_scale).otherwise(F.col("u")),
-            "v": F.when(below, F.col("v") * log_scale).otherwise(F.col("v")),
-            "w": F.when(below, F.col("w") * zagl / z_ref).otherwise(F.col("w")),
-            "eps": F.greatest(F.when(below, F.col("eps") * z_ref / zagl).otherwise(F.col("eps")), F.lit(1e-8)),
-            "sig2": sig2,
-            "ds2": F.when(below, 0.0).otherwise(grad),
-        }
-    )
+    height = F.col("zagl")
+    under = height < z_ref
+    fields = {}
+    for name, (rule, least) in BELOW.items():
+        value = F.col(name) * F.when(under, rule(height, z_ref)).otherwise(F.lit(1.0))
+        fields[name] = value if least is None else F.greatest(value, F.lit(least))
+    base = F.col("e") * 2.0 / 3.0
+    slope = base * F.col("dsc") + F.col("ds2") * F.col("sc")
+    return p.withColumns({**fields, "sig2": F.greatest(base * F.col("sc"), F.lit(1e-6)), "ds2": F.when(~under, slope).otherwise(F.lit(0.0))})
 
 
 def approach_rate(u: Column, v: Column, w: Column, zg_dx: Column, zg_dy: Column) -> Column:
