@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as geo, kljun
 from ..operators import compare, footprint as fp, rasters, reference_model as rm
+from ..sources.shared_table import materialize
 from .footprint import fy
 from .registry import cte, query
 from .shared import DOM, RUN, frames, static_map, surface, weighted
@@ -149,38 +150,42 @@ def _(t):
 
 
 cte("case_shares", """
-SELECT substr(run_id, 2) AS site, substr(run_id, 1, 1) AS kase, coalesce(share_nowrap, 0) AS share FROM cover_shares WHERE cover = 'class 40'""")
+SELECT substr(run_id, 2) AS site, cover, substr(run_id, 1, 1) AS kase, coalesce(share_nowrap, 0) AS share FROM cover_shares""")
 
 
 def case_shares(t):
-    s = fp.cover_share(weighted(t), surface(t)).where(F.col("cover") == "class 40")
+    s = fp.cover_share(weighted(t), surface(t))
     return s.select(
-        F.expr("substring(run_id, 2)").alias("site"), F.substring("run_id", 1, 1).alias("case"), F.coalesce("share_nowrap", F.lit(0.0)).alias("share")
+        F.expr("substring(run_id, 2)").alias("site"), "cover", F.substring("run_id", 1, 1).alias("case"), F.coalesce("share_nowrap", F.lit(0.0)).alias("share")
     )
 
 
 @query(
     "swing",
-    """WITH a AS (SELECT site::VARCHAR AS site, avg(CASE WHEN lcclass = 40 AND NOT "array" THEN 1.0::DOUBLE ELSE 0 END) AS area FROM srf GROUP BY 1),
-    g AS (SELECT site, max(share) AS hi, arg_min(kase, (-share, kase)) AS hc, min(share) AS lo, arg_min(kase, (share, kase)) AS lc FROM case_shares GROUP BY site)
-    SELECT site, hi AS max_share, hc AS max_case, lo AS min_share, lc AS min_case, hi/greatest(lo, 1e-4) AS swing, hi/nullif(area, 0) AS enrich_best,
-      lo/nullif(area, 0) AS enrich_worst FROM g JOIN a USING (site)""",
+    """WITH m AS (SELECT site::VARCHAR AS site, count(*) AS n FROM srf GROUP BY 1),
+    c AS (SELECT site, 'water' AS cover FROM srf WHERE water UNION ALL SELECT site, 'solar array' FROM srf WHERE "array" UNION ALL SELECT site, 'class ' || lcclass FROM srf WHERE NOT "array"),
+    a AS (SELECT c.site::VARCHAR AS site, cover, count(*)/any_value(n)::DOUBLE AS area FROM c JOIN m ON m.site = c.site::VARCHAR GROUP BY ALL),
+    g AS (SELECT site, cover, max(share) AS hi, arg_min(kase, (-share, kase)) AS hc, min(share) AS lo, arg_min(kase, (share, kase)) AS lc FROM case_shares GROUP BY site, cover)
+    SELECT site, cover, hi AS max_share, hc AS max_case, lo AS min_share, lc AS min_case, hi/greatest(lo, 1e-4) AS swing, hi/nullif(area, 0) AS enrich_best,
+      lo/nullif(area, 0) AS enrich_worst FROM g JOIN a USING (site, cover)""",
     {"max_share": 7, "min_share": 7, "swing": 5, "enrich_best": 6, "enrich_worst": 6},
 )
 def _(t):
-    own = ((F.col("lcclass") == 40) & ~F.col("array")).cast("double")
-    area = surface(t).groupBy(F.col("site").cast("string").alias("site")).agg(F.avg(own).alias("area_share"))
-    return compare.swing(case_shares(t), ["site"], area)
+    cells = materialize(surface(t).select(F.col("site").cast("string").alias("site"), fp.cover_classes().alias("names")), "cover-names")
+    whole = cells.groupBy("site").agg(F.count(F.lit(1)).alias("cells"))
+    area = cells.select("site", F.explode("names").alias("cover")).groupBy("site", "cover").agg(F.count(F.lit(1)).alias("n"))
+    area = area.join(whole, "site").select("site", "cover", (F.col("n") / F.col("cells")).alias("area_share"))
+    return compare.swing(case_shares(t), ["site", "cover"], area)
 
 
 @query(
     "pair_ratio",
-    """SELECT a.site, a.kase || '/' || b.kase AS pair, a.share/greatest(b.share, 1e-9) AS ratio_share FROM case_shares a JOIN case_shares b USING (site)
+    """SELECT a.site, a.cover, a.kase || '/' || b.kase AS pair, a.share/greatest(b.share, 1e-9) AS ratio_share FROM case_shares a JOIN case_shares b USING (site, cover)
     WHERE (a.kase, b.kase) IN (('F', 'O'), ('F', 'P'), ('P', 'O'))""",
     {"ratio_share": 5},
 )
 def _(t):
-    return compare.pair_ratio(case_shares(t), ["site"], "case", [("F", "O"), ("F", "P"), ("P", "O")], ["share"])
+    return compare.pair_ratio(case_shares(t), ["site", "cover"], "case", [("F", "O"), ("F", "P"), ("P", "O")], ["share"])
 
 
 # ---- report: measured and modelled footprint side by side -----------------------

@@ -554,7 +554,7 @@ def release_plan(windows: DataFrame, n_per: int, dt: float, t_back: float, rel_s
     return w.select("run_id", (F.col("n") * n_per + F.col("m")).alias("particle"), "t_release")
 
 
-def averaging_period(series: DataFrame, t_first: float, t_last: float, t: str = "t") -> DataFrame:
+def averaging_period(series: DataFrame, t_first: float | Column, t_last: float | Column, t: str = "t") -> DataFrame:
     """Samples of the averaging period, with a little slack at both ends."""
     return series.where(F.col(t).between(t_first - 1e-6, t_last + 1e-6))
 

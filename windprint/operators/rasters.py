@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as geo
 from ..functions.geometry import Domain
 from ..functions.numeric import neighbour
-from .ordered import exact_quantiles, wide_quantiles
+from .ordered import wide_quantiles
 
 # Land-cover class -> roughness length [m].
 COVER_Z0 = {
@@ -157,12 +157,6 @@ def _kernel(sigma: float, truncate: float = 4.0) -> list[tuple[int, float]]:
     return [(d, v / sum(raw)) for d, v in zip(range(-r, r + 1), raw)]
 
 
-def reflect(idx: Column, n: int) -> Column:
-    """Half-sample symmetric reflection (d c b a | a b c d | d c b a)."""
-    m = F.pmod(idx, F.lit(2 * n))
-    return F.when(m < n, m).otherwise(2 * n - 1 - m)
-
-
 def gaussian_smooth(cells: DataFrame, keys: Sequence[str], value: str, dom: Domain, sigma: float = 1.0) -> DataFrame:
     """Separable Gaussian blur with reflected edges: scatter taps, then sum."""
     taps = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(k).alias("k")) for d, k in _kernel(sigma)])
@@ -357,7 +351,3 @@ def tiled_masks(runs: DataFrame, cells: DataFrame, keys: Sequence[str], dom: Dom
 def require_square(nx: int, ny: int) -> None:
     if nx != ny:
         raise ValueError(f"a quarter turn needs a square plane, got {ny} x {nx}")
-
-
-def median_of(cells: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    return exact_quantiles(cells, keys, value, [0.5]).select(*keys, F.col("q").alias("median"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +28,36 @@ def dump_series(
     return out.withColumn("t", F.col("step") * dt) if dt is not None else out
 
 
+def listed_steps(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    """(step, path) of the dump files below ``path``, by step: from their names alone, none is opened."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(where, True)
+    out = []
+    while found.hasNext():
+        at = found.next().getPath()
+        hit = re.search(STEP_PATTERN, at.getName())
+        if hit:
+            out.append((int(hit.group(1)), at.toString()))
+    return sorted(out)
+
+
+def dump_window(
+    spark: SparkSession, path: str, first: int, last: int, columns: Sequence[str] | None = None, schema: T.StructType | None = None, stride: int = 1
+) -> DataFrame:
+    """The dumps of steps ``first`` to ``last`` of a series, every ``stride``-th of them, as :func:`dump_series` gives them.
+
+    Steps come from the file names, and only the files of the window are opened: a series of a thousand dumps costs a
+    listing and the dumps asked for. A window without dumps gives no rows; it needs ``schema`` then.
+    """
+    paths = [p for s, p in listed_steps(spark, path) if first <= s <= last][::stride]
+    if not paths:
+        return spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("step", T.LongType())]))
+    reader = spark.read.schema(schema) if schema is not None else spark.read.option("mergeSchema", True)
+    df = reader.parquet(*paths)
+    step = F.regexp_extract(F.col("_metadata.file_name"), STEP_PATTERN, 1)
+    return df.select(*[c for c in (columns or df.columns) if c in df.columns], step.cast("bigint").alias("step"))
+
+
 def newest_file(spark: SparkSession, path: str, file_format: str = "binaryFile") -> DataFrame:
     """Path of the most recently written file below ``path`` (names only, no content)."""
     df = spark.read.format(file_format).option("recursiveFileLookup", True).load(path)
