@@ -103,6 +103,53 @@ def _(t):
     return reports.against_baseline(t.spark, path, now, floor)
 
 
+# ---- the whole report of a window ---------------------------------------------------------------
+def _mask(src, frac, keys="run_id"):
+    return f"""SELECT {keys}, j, i FROM (SELECT *, min(CASE WHEN c >= {frac}*tot THEN ord END) OVER (PARTITION BY {keys}) AS hit FROM (
+      SELECT *, sum(g) OVER (PARTITION BY {keys} ORDER BY g DESC RANGE UNBOUNDED PRECEDING) AS c, dense_rank() OVER (PARTITION BY {keys} ORDER BY g DESC) AS ord,
+        sum(g) OVER (PARTITION BY {keys}) AS tot FROM (SELECT {keys}, j, i, f AS g FROM {src}))) WHERE ord <= hit AND tot > 0"""
+
+
+def _metrics(src, name, keys="run_id"):
+    ok = "CASE WHEN tot > 0 THEN {} END"
+    return f"""SELECT *, sqrt({name}_centroid_e*{name}_centroid_e + {name}_centroid_n*{name}_centroid_n) AS {name}_centroid_dist, (degrees(atan2({name}_centroid_e, {name}_centroid_n)) + 360) % 360 AS {name}_centroid_bearing FROM (
+      SELECT {keys}, tot*576.0::DOUBLE AS integral_{name}, {ok.format("fe/tot")} AS {name}_centroid_e, {ok.format("fn/tot")} AS {name}_centroid_n, n80*576.0::DOUBLE/1e4 AS {name}_area80_ha, n50*576.0::DOUBLE/1e4 AS {name}_area50_ha,
+        {ok.format("pe")}::DOUBLE AS {name}_peak_e, {ok.format("pn")}::DOUBLE AS {name}_peak_n, {ok.format("pv")} AS {name}_peak_value
+      FROM (SELECT {keys}, sum(f) AS tot, sum(f*(i-32)*24) AS fe, sum(f*(j-32)*24) AS fn FROM {src} GROUP BY {keys})
+      JOIN (SELECT {keys}, f AS pv, (i-32)*24.0 AS pe, (j-32)*24.0 AS pn FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY f DESC, j, i) AS r FROM {src}) WHERE r = 1) USING ({keys})
+      LEFT JOIN (SELECT {keys}, count(*) AS n80 FROM ({_mask(src, 0.8, keys)}) GROUP BY {keys}) USING ({keys})
+      LEFT JOIN (SELECT {keys}, count(*) AS n50 FROM ({_mask(src, 0.5, keys)}) GROUP BY {keys}) USING ({keys}))"""
+
+
+cte("wr_les", _metrics("fmap", "les"))
+cte("wr_kl", _metrics("kl_map", "kljun"))
+cte("wr_half", _metrics("fmap_half", "h", "run_id, half"))
+cte("wr_pos", "SELECT run_id, j, i, greatest(f, 0) AS f FROM fmap")
+cte("wr_m50", f"SELECT * FROM ({_mask('wr_pos', 0.5)}) UNION ALL SELECT * FROM ({_mask('kl_map', 0.5)})")
+cte("wr_o50", """
+SELECT run_id, sum(CASE WHEN n = 2 THEN 1 ELSE 0 END)/count(*) AS o FROM (SELECT run_id, j, i, count(*) AS n FROM wr_m50 GROUP BY ALL) GROUP BY run_id""")
+_WR = {f"{n}_{c}": 4 for n in ("les", "kljun") for c in ("centroid_e", "centroid_n", "centroid_dist", "centroid_bearing", "area80_ha", "area50_ha", "peak_e", "peak_n")}
+
+
+@query(
+    "window_report",
+    """WITH pk AS (SELECT run_id, xc AS px FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY sm DESC, bin) AS r FROM fy_sm) WHERE r = 1),
+    al AS (SELECT run_id, sum(wt_f) AS s, sum(CASE WHEN wrapped THEN wt_f ELSE 0 END) AS sw, count(*) AS n FROM wt GROUP BY run_id),
+    hp AS (SELECT run_id, max(CASE WHEN half = 1 THEN peak_x END) - max(CASE WHEN half = 2 THEN peak_x END) AS d FROM fy_half_pk GROUP BY run_id),
+    hc AS (SELECT run_id, max(CASE WHEN half = 1 THEN h_centroid_e END) - max(CASE WHEN half = 2 THEN h_centroid_e END) AS e, max(CASE WHEN half = 1 THEN h_centroid_n END) - max(CASE WHEN half = 2 THEN h_centroid_n END) AS n FROM wr_half GROUP BY run_id)
+    SELECT f.run_id, f.n_particles, degrees(yaw) AS wind_angle, degrees(pitch) AS pitch, w_bar, w_bar*cos(pitch) - (u_bar*cos(yaw) + v_bar*sin(yaw))*sin(pitch) AS w_sf_mean, t_last - t_first AS rel_seconds,
+      al.n AS n_touchdown, al.s/f.n_particles AS integral_les_all, sw/greatest(s, 1e-30) AS wrapped_fraction, l.* EXCLUDE (run_id), q.* EXCLUDE (run_id),
+      CASE WHEN x.integral > 0 THEN px END::DOUBLE AS les_peak_x, CASE WHEN x.integral > 0 THEN mean_x END AS les_mean_x, CASE WHEN x.integral > 0 THEN x80 END AS les_x80,
+      k.overlap AS overlap_kljun, wr_o50.o AS overlap50_kljun, h.overlap AS halves_overlap, hp.d::DOUBLE AS halves_dpeak, sqrt(hc.e*hc.e + hc.n*hc.n) AS halves_dcentroid
+    FROM frames f JOIN al ON al.run_id = f.run_id JOIN wr_les l ON l.run_id = f.run_id JOIN wr_kl q ON q.run_id = f.run_id JOIN pk ON pk.run_id = f.run_id JOIN fy_x80 x ON x.run_id = f.run_id
+    JOIN kl_overlap k ON k.run_id = f.run_id JOIN wr_o50 ON wr_o50.run_id = f.run_id JOIN half_overlap h ON h.run_id = f.run_id JOIN hp ON hp.run_id = f.run_id JOIN hc ON hc.run_id = f.run_id""",
+    {**_WR, "wind_angle": 6, "pitch": 6, "w_bar": 8, "w_sf_mean": 8, "integral_les_all": 6, "wrapped_fraction": 8, "integral_les": 6, "integral_kljun": 6, "les_peak_value": 10, "kljun_peak_value": 10,
+     "les_mean_x": 4, "les_x80": 4, "overlap_kljun": 9, "overlap50_kljun": 9, "halves_overlap": 9, "halves_dcentroid": 4},
+)
+def _(t):
+    return reports.window_report(t.touchdowns, t.releases, params(t), DOM)
+
+
 # ---- heights above ground over terrain -------------------------------------------------------
 cte("gr", "SELECT run_id, j, i, ((j*3 + i*5) % 11)*1.5::DOUBLE AS zg FROM (SELECT DISTINCT run_id, j, i FROM fx_cells)")
 cte("tcol", """

@@ -106,6 +106,45 @@ def footprint_report(touchdowns: DataFrame, releases: DataFrame, params: DataFra
     )
 
 
+MAP_FIELDS = ("centroid_e", "centroid_n", "centroid_dist", "centroid_bearing", "area80_ha", "area50_ha", "peak_e", "peak_n", "peak_value")
+CURVE_FIELDS = ("peak_x", "mean_x", "x80")
+
+
+def window_report(touchdowns: DataFrame, releases: DataFrame, params: DataFrame, dom: Domain) -> DataFrame:
+    """All scalars of a window's result, a row for each run.
+
+    Frame of the releases and what the rotation left of w; map metrics of the measured and of the modelled footprint
+    (``les_``, ``kljun_``), curve metrics of the measured one; integrals inside and outside the raster; overlaps at 80% and
+    50%; the error floor from the window's halves. The tables that belong to it (capture, displacement, cover) are
+    those of :func:`compute_footprint`. A run without touchdowns has integral 0 and no metrics.
+    """
+    run = ["run_id"]
+    parts = compute_footprint(touchdowns, releases, None, dom)
+    frames, full = parts["frames"], materialize(parts["map"], "map")
+    halves, model = materialize(parts["halves"], "halves"), materialize(rm.static_raster(params, dom), "model")
+    turned = geo.streamline_w(F.col("u_bar"), F.col("v_bar"), F.col("w_bar"), F.col("yaw"), F.col("pitch"))
+    out = frames.select(
+        "run_id", "n_particles", F.degrees("yaw").alias("wind_angle"), F.degrees("pitch").alias("pitch"), "w_bar", turned.alias("w_sf_mean"), (F.col("t_last") - F.col("t_first")).alias("rel_seconds")
+    )
+    out = out.join(parts["scalars"].select("run_id", "n_touchdown", F.col("integral_all").alias("integral_les_all"), "wrapped_fraction"), run, "left")
+    for name, field in (("les", full), ("kljun", model)):
+        m = fp.map_metrics(field, run, dom).select("run_id", F.col("integral").alias(f"integral_{name}"), *[F.col(c).alias(f"{name}_{c}") for c in MAP_FIELDS])
+        out = out.join(m, run, "left")
+    curve = fp.fy_metrics(parts["fy"], run, dom.dx).select("run_id", *[F.col(c).alias(f"les_{c}") for c in CURVE_FIELDS])
+    out = out.join(curve, run, "left").na.fill({"integral_les": 0.0})
+    for frac, name in ((0.8, "overlap_kljun"), (0.5, "overlap50_kljun")):
+        out = out.join(fp.overlap(full, model, run, frac).withColumnRenamed("overlap", name), run, "left")
+    one, two = (halves.where(F.col("half") == n).drop("half") for n in (1, 2))
+    out = out.join(fp.overlap(one, two, run).withColumnRenamed("overlap", "halves_overlap"), run, "left")
+    side = lambda c, n: F.max(F.when(F.col("half") == n, F.col(c)))
+    keys = ["run_id", "half"]
+    peaks = fp.fy_metrics(parts["fy_halves"], keys, dom.dx).groupBy("run_id").agg((side("peak_x", 1) - side("peak_x", 2)).alias("halves_dpeak"))
+    centres = fp.map_metrics(halves, keys, dom).groupBy("run_id").agg(
+        F.hypot(side("centroid_e", 1) - side("centroid_e", 2), side("centroid_n", 1) - side("centroid_n", 2)).alias("halves_dcentroid")
+    )
+    return out.join(peaks, run, "left").join(centres, run, "left")
+
+
 def flat_vs_terrain(flat: DataFrame, terrain: DataFrame, dom: Domain, box: tuple) -> DataFrame:
     """Integrals, box contributions and 80% overlap of two maps per run."""
     e = (-0.5 - dom.i_r) * dom.dx

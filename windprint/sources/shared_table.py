@@ -2,23 +2,34 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@lru_cache(maxsize=1)
+def _single_machine() -> str:
+    """A folder for sessions on one machine that name none; it goes when the process ends."""
+    root = tempfile.mkdtemp(prefix="windprint-")
+    atexit.register(shutil.rmtree, root, ignore_errors=True)
+    return root
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder below the cluster's checkpoint folder.
 
-    Only where the session names none (single-machine tests) is a local
-    temporary folder used.
+    Only where the session names none and runs on one machine (tests) is a
+    local temporary folder used; a cluster has to name one.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a shared folder")
-        root = tempfile.mkdtemp(prefix="windprint-")
+        root = _single_machine()
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
