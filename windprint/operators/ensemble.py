@@ -82,7 +82,8 @@ def draw_maps(packed: DataFrame, orders: Sequence[Sequence[int]], keys: Sequence
     zero = F.transform(F.get("maps", F.lit(0)), lambda x: F.lit(0.0))
     plus = lambda s, n: F.zip_with(s, F.get("maps", n), lambda a, b: a + b)
     # every draw in a partition of its own choice: a run's draws don't wait for one task
-    drawn = packed.select(*keys, "maps", F.explode(lists).alias("o")).repartition(*keys, "o.draw")
+    n = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    drawn = packed.select(*keys, "maps", F.explode(lists).alias("o")).repartition(n, *keys, "o.draw")
     sums = F.aggregate("o.subs", F.array(zero), lambda done, n: F.concat(done, F.array(plus(F.element_at(done, -1), n))))
     rest = F.transform(F.aggregate("o.rest", zero, plus), lambda x: x / (nsub - half))
     each = drawn.select(*keys, "o.draw", rest.alias("ref"), F.posexplode(F.slice(sums, 2, half)).alias("p", "s"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -127,16 +128,20 @@ def interpolate_planes(
     on = [*keys, *[a.index for a in outer]]
     if prune is not None:
         planes = prune(planes, corner_rows(flat, keys, pid, outer))
-    hit = c.join(planes.select(*on, "at", *values), on, "left")
-    whole = F.size("at") == nx * ny
-    place = lambda h: F.when(whole, h["at"]).otherwise((F.array_position("at", h["at"].cast("bigint")) - 1).cast("int"))
-    # a corner without weight may be missing
-    some = F.transform(F.filter("_h", lambda h: h["w"] != 0.0), lambda h: F.struct(place(h).alias("at"), h["w"].alias("w")))
-    hit = hit.withColumn("_h", F.filter(some, lambda h: h["at"] >= 0))
-    zero = F.lit(0.0)
-    vals = [F.sum(F.col("_w") * F.aggregate("_h", zero, lambda s, h: s + h["w"] * F.get(F.col(v), h["at"]))).alias(v) for v in values]  # noqa: B023
-    weight = F.col("_w") * F.aggregate("_h", zero, lambda s, h: s + h["w"])
-    out = hit.groupBy(*keys, pid).agg(*vals, F.coalesce(F.sum(F.when(F.col("at").isNotNull(), weight)), zero).alias("_w"))
+    # stored planes lie by their key: the points come to them
+    hit = c.join(planes.select(*on, "at", *values).hint("merge"), on, "left")
+    whole, zero = F.size("at") == nx * ny, F.lit(0.0)
+    corners = range(4)
+    for n in corners:
+        at, w = F.col("_h")[n]["at"], F.col("_h")[n]["w"]
+        place = F.when(whole, at).otherwise((F.array_position("at", at.cast("bigint")) - 1).cast("int"))
+        # a corner without weight may be missing
+        hit = hit.withColumn(f"_a{n}", F.when(w != 0.0, place)).withColumn(f"_w{n}", F.when(F.col(f"_a{n}") >= 0, w).otherwise(zero))
+    share = lambda v, n: F.when(F.col(f"_w{n}") != 0.0, F.col(f"_w{n}") * F.get(F.col(v), F.col(f"_a{n}"))).otherwise(zero)
+    added = lambda terms: reduce(lambda x, y: x + y, terms)
+    vals = [F.sum(F.col("_w") * added([share(v, n) for n in corners])).alias(v) for v in values]
+    weight = F.col("_w") * added([F.col(f"_w{n}") for n in corners])
+    out = hit.groupBy(*keys, pid).agg(*vals, F.coalesce(F.sum(weight), zero).alias("_w"))
     return out.select(*keys, pid, *[F.when(F.col("_w") > 1.0 - 1e-9, F.col(v)).alias(v) for v in values])
 
 

@@ -18,7 +18,7 @@ from ..functions.numeric import isfinite
 from ..sources.shared_table import materialize
 
 #: Buckets of one histogram, and rows of an interval that is sorted.
-BUCKETS, FEW = 1024, 4096
+BUCKETS, FEW = 1024, 8192
 
 
 def finite_rows(df: DataFrame, keys: Sequence[str], value: str, weight: str | None = None) -> DataFrame:
@@ -91,12 +91,13 @@ def select_at(rows: DataFrame, keys: Sequence[str], span: DataFrame, descending:
     ends = [*keys, "_lo", "_hi"]
     values = _meet(rows, state.select(*ends).distinct(), keys).groupBy(*ends, "_v").agg(F.sum("_m").alias("_mass"))
     w = Window.partitionBy(*ends).orderBy(F.col("_v").desc() if descending else F.col("_v"))
-    inside = values.withColumns({"_inner": F.sum("_mass").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)), "_rest": F.row_number().over(Window.partitionBy(*ends).orderBy(F.col("_v") if descending else F.col("_v").desc()))})
+    inside = values.withColumn("_inner", F.sum("_mass").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    last = F.col("_v") == F.col("_lo" if descending else "_hi")
     targets = state.select(*_other(ends), F.col("_before").alias("_start"), F.explode("_targets").alias("_t"))
     same = _same(ends)
     through = F.col("_start") + F.col("_inner")
     # rounding may leave the last running mass just below its target
-    reached = inside.join(targets, same).where((through >= F.col("_t.at")) | (F.col("_rest") == 1))
+    reached = inside.join(targets, same).where((through >= F.col("_t.at")) | last)
     order = F.min(F.struct(F.col("_inner").alias("inner"), F.col("_v").alias("v"), F.col("_mass").alias("mass"), F.col("_start").alias("start")))
     first = reached.groupBy(*keys, F.col("_t._id").alias("_id")).agg(order.alias("_f"))
     end = F.col("_f.start") + F.col("_f.inner")
