@@ -324,3 +324,26 @@ def test_two_stage_order(letters):
     order = suffix_dedup.suffix_order(data, suffix_dedup.eight(data))
     b = data.tobytes()
     assert sorted(order) == list(range(2_000)) and all(b[i : i + 50] <= b[j : j + 50] for i, j in zip(order, order[1:]))
+
+
+def test_updates_equal_a_plain_loop():
+    """The classifier's updates against follow-the-regularised-leader written out for one coordinate at a time."""
+    rng = np.random.default_rng(7)
+    rows = [(float(rng.integers(2)), np.sort(rng.choice(40, 6, replace=False)).astype(np.int32), rng.random(6)) for _ in range(60)]
+    z, n = {}, {}
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= quality.L1:
+            return 0.0
+        return -(z[i] - np.sign(z[i]) * quality.L1) / ((quality.BETA + np.sqrt(n[i])) / quality.ALPHA + quality.L2)
+
+    for _ in range(quality.EPOCHS):
+        for label, number, value in rows:
+            w = [weight(i) for i in number]
+            p = 1 / (1 + np.exp(-sum(a * b for a, b in zip(w, value))))
+            for i, a, x in zip(number, w, value):
+                g = (p - label) * x
+                s = (np.sqrt(n.get(i, 0.0) + g * g) - np.sqrt(n.get(i, 0.0))) / quality.ALPHA
+                z[i], n[i] = z.get(i, 0.0) + g - s * a, n.get(i, 0.0) + g * g
+    got = quality.fit(rows)
+    assert np.allclose(got[:40], [weight(i) for i in range(40)], atol=1e-5) and not got[40:].any()
