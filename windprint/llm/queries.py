@@ -166,6 +166,15 @@ ORACLES: dict[str, str] = {
       SELECT doc_id, count(*)::INTEGER AS n_lines, count(gone.p)::INTEGER AS n_removed,
         coalesce(string_agg(line, chr(10) ORDER BY one.p) FILTER (gone.p IS NULL), '') AS kept_text
       FROM one LEFT JOIN gone USING (doc_id, p) GROUP BY doc_id""",
+    "op6_dart_minhash": r"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+      g0 AS (SELECT r, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM d),
+      g AS (SELECT r, s, row_number() OVER (PARTITION BY r, s) AS k FROM g0),
+      n AS (SELECT r, count(*) AS n FROM g GROUP BY r),
+      p AS (SELECT x.r AS u, y.r AS v, count(*) AS c FROM g x JOIN g y ON x.s = y.s AND x.k = y.k AND x.r <> y.r GROUP BY ALL),
+      j AS MATERIALIZED (SELECT u, v, c, a.n AS nu, b.n AS nv FROM p JOIN n a ON a.r = u JOIN n b ON b.r = v WHERE 10 * c >= 8 * (a.n + b.n - c)),
+      t AS (SELECT r AS u, r AS v FROM d UNION SELECT t.u, j.v FROM t JOIN j ON t.v = j.u),
+      e AS (SELECT u, min(doc_id) AS copy_of FROM (SELECT u, v FROM j WHERE c = nu AND c = nv UNION ALL SELECT r, r FROM d) JOIN d ON d.r = v GROUP BY u)
+      SELECT a.doc_id, min(b.doc_id) AS class_id, any_value(copy_of) AS copy_of FROM t JOIN d a ON a.r = t.u JOIN d b ON b.r = t.v JOIN e ON e.u = t.u GROUP BY t.u, a.doc_id""",
     "op10_norm_search": """WITH v AS (SELECT vec_id, [floor(256 * x::DOUBLE) FOR x IN embedding] AS e FROM embeddings),
       s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score FROM v q, v c WHERE q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
       r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
