@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, materialize, sliced
+from .common import fresh, sliced
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Characters of a chunk, and how many it shares with the next.
@@ -114,7 +114,8 @@ def encode(docs: DataFrame, text_col: str = "text", path: str = RANKS, chunk: in
     whole = docs.filter(length <= chunk).mapInArrow(direct, T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
 
     long = docs.filter(length > chunk).withColumn(key, F.md5(F.col(text_col).cast("binary")))
-    texts = materialize(long.groupBy(F.col(key).alias("key")).agg(F.first(text_col).alias("text")), "bpe-long")
+    # grouped by key where it is used: a written table would lose that partitioning and be shuffled again
+    texts = long.groupBy(F.col(key).alias("key")).agg(F.first(text_col).alias("text"))
 
     def cut(batches):
         for batch in sliced(batches, "text"):
