@@ -111,6 +111,24 @@ def test_mixing(spark, odd, nothing):
     assert mixing.mix(nothing).count() == 0
 
 
+def test_mixing_sample_without_repeats(spark, odd, nothing):
+    """The kept tokens are the rate of all on average although rare cells are capped; c by going through the cells in order."""
+    rows = [("a", "x", "prose", 9000, 0.45), ("b", "x", "prose", 900, 0.25), ("c", "y", "prose", 90, 0.2), ("d", "y", "brief", 10, 0.1), ("e", "y", "brief", 0, 0.0)]
+    cells = mixing.calibrate(spark.createDataFrame(rows, "source string, lang string, topic string, tokens long, weight double")).toPandas()
+    some = cells[cells["tokens"] > 0].assign(ratio=lambda c: c["weight"] / c["tokens"]).sort_values("ratio", ascending=False)
+    left, mass = mixing.RATE * some["tokens"].sum(), some["weight"].sum()
+    for _, c in some.iterrows():
+        if left / mass * c["ratio"] <= 1:
+            break
+        left, mass = left - c["tokens"], mass - c["weight"]
+    assert np.allclose(some["prob"], np.minimum(1, left / mass * some["ratio"])) and (some["prob"] == 1).sum() == 3
+    assert np.isclose((some["prob"] * some["tokens"]).sum(), mixing.RATE * some["tokens"].sum())
+    assert cells.loc[cells["tokens"] == 0, "prob"].tolist() == [mixing.RATE]
+    m = mixing.mix(documents(spark)).toPandas()
+    assert m["prob"].between(0, 1).all() and m.loc[m["prob"] == 1, "sampled"].all() and not m["sampled"].all()
+    assert mixing.mix(odd).filter("prob is null or sampled is null").count() == 0 and "sampled" in mixing.mix(nothing).columns
+
+
 def test_mixing_sample_meets_targets(spark, odd, nothing):
     sizes = [(900_000, 2000), (4000, 80), (300_000, 700), (3000, 70), (150_000, 400), (2000, 30), (50_000, 100), (1000, 15)]
     rows = [(s, lang, t, *sizes.pop(0)) for s in "ab" for lang in ("en", "de") for t in ("prose", "brief")]

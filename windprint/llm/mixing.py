@@ -54,41 +54,58 @@ def rake(cells: DataFrame, temper: dict[str, float] = TEMPER, sweeps: int = SWEE
 
 
 def calibrate(weighed: DataFrame, rate: float = RATE) -> DataFrame:
-    """Adds ``expected`` to raked cells: the mean number of copies of a document, rate * total * weight / tokens.
+    """Adds ``expected`` and ``prob`` to raked cells.
 
-    Copies drawn so hold ``rate`` of all tokens and meet every target in expectation, at any input size; a document of a
-    rare cell is taken several times. A cell without tokens is kept at ``rate``. Only two sums over the cells are needed.
+    ``expected`` is the mean number of copies of a document, rate * total * weight / tokens: copies drawn so hold ``rate``
+    of all tokens and meet every target in expectation, at any input size; a document of a rare cell is taken several
+    times. ``prob`` is for a sample without repeats: min(1, c * weight / tokens), c such that the kept tokens are ``rate``
+    of all on average; where cells are capped at 1 it misses the targets. A cell without tokens is kept at ``rate``. Only
+    sums over the cells are needed: c grows from round to round while further cells reach 1.
     """
-    total, mass = weighed.filter("tokens > 0").agg(F.sum("tokens"), F.sum("weight")).first()
-    even = rate * (total or 0) / (mass or 1.0)
-    return weighed.withColumn("expected", F.when(F.col("tokens") > 0, F.lit(float(even)) * F.col("weight") / F.col("tokens")).otherwise(rate))
+    some = weighed.filter("tokens > 0").select("tokens", "weight", (F.col("weight") / F.col("tokens")).alias("ratio"))
+    total, mass = some.agg(F.sum("tokens"), F.sum("weight")).first()
+    even = factor = rate * (total or 0) / (mass or 1.0)
+    capped = 0
+    while total:
+        full = F.col("ratio") * F.lit(float(factor)) > 1 + 1e-12
+        cells, kept, rest = some.agg(F.count_if(full), F.sum(F.when(full, F.col("tokens")).otherwise(0)), F.sum(F.when(~full, F.col("weight")).otherwise(0.0))).first()
+        if cells == capped or not rest:
+            break
+        capped, factor = cells, (rate * total - kept) / rest
+    ratio = F.col("weight") / F.col("tokens")
+    return weighed.withColumns({
+        "expected": F.when(F.col("tokens") > 0, F.lit(float(even)) * ratio).otherwise(rate),
+        "prob": F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.lit(float(factor)) * ratio)).otherwise(rate),
+    })
 
 
 def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang",
     temper: dict[str, float] = TEMPER, rate: float = RATE, seed: int = SEED,
 ) -> DataFrame:
-    """``docs`` with ``topic``, ``tokens``, ``weight`` (raked weight of a token), ``expected`` and ``copies``.
+    """``docs`` with ``topic``, ``tokens``, ``weight`` (raked weight of a token), ``prob``, ``sampled``, ``expected`` and ``copies``.
 
-    Only the token sums of the cells (source, language, topic) are raked. ``copies`` is how often the sample takes the
-    document: the whole part of its cell's ``expected`` number, and one more when a hash of its id, the seed and its text
+    Only the token sums of the cells (source, language, topic) are raked. ``sampled`` is whether a sample without repeats
+    takes the document: a hash of its id, the seed and its text lies below its cell's ``prob``. ``copies`` is how often the
+    sample that meets the targets takes it: the whole part of its cell's ``expected`` number, and one more when the same hash
     lies below the rest, so a retried task and a repeated row decide alike. Null source or language is a category of its own; a null text has no tokens and the
     topic of an empty one; cells without tokens have weight 0. An empty table gives an empty result. All columns are kept;
     a new one gets underscores appended where its name is taken.
     """
-    topic, tokens, weight, expected, copies = fresh(docs, "topic", "tokens", "weight", "expected", "copies")
+    topic, tokens, weight, prob, sampled, expected, copies = fresh(docs, "topic", "tokens", "weight", "prob", "sampled", "expected", "copies")
     parts = {"source": F.col(source_col), "lang": F.col(lang_col), "topic": topic_of(text_of(text_col))}
     sized = docs.withColumns({topic: parts["topic"], tokens: token_count(text_of(text_col))})
     cells = materialize(sized.groupBy(F.col(source_col).alias("source"), F.col(lang_col).alias("lang"), F.col(topic).alias("topic")).agg(F.sum(tokens).alias("tokens")), "mix-cells")
     probs = materialize(calibrate(rake(cells, temper), rate), "mix-probs").select(
         F.col("source").alias("cell_source"), F.col("lang").alias("cell_lang"), F.col("topic").alias("cell_topic"),
-        F.coalesce(F.col("weight") / F.nullif("tokens", F.lit(0)), F.lit(0.0)).alias("cell_weight"), F.col("expected").alias("cell_expected"),
+        F.coalesce(F.col("weight") / F.nullif("tokens", F.lit(0)), F.lit(0.0)).alias("cell_weight"), F.col("prob").alias("cell_prob"), F.col("expected").alias("cell_expected"),
     )
     same = F.col(source_col).eqNullSafe(F.col("cell_source")) & F.col(lang_col).eqNullSafe(F.col("cell_lang")) & (F.col(topic) == F.col("cell_topic"))
     drawn = unit_hash(F.lit(seed), F.col(id_col), F.md5(text_of(text_col)))
     whole = F.floor("cell_expected")
     return sized.join(probs, same).select(
-        *docs.columns, topic, tokens, F.col("cell_weight").alias(weight), F.col("cell_expected").alias(expected), (whole + (drawn < F.col("cell_expected") - whole).cast("long")).alias(copies),
+        *docs.columns, topic, tokens, F.col("cell_weight").alias(weight), F.col("cell_prob").alias(prob), (drawn < F.col("cell_prob")).alias(sampled),
+        F.col("cell_expected").alias(expected), (whole + (drawn < F.col("cell_expected") - whole).cast("long")).alias(copies),
     )
 
 

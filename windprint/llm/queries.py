@@ -24,7 +24,7 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = mixing.mix(table(spark, sf_dir, "documents"))
-    return m.select("doc_id", "source", "lang", "topic", "tokens", F.round(F.col("weight") * 1e6, 4).alias("weight_ppm"), F.round("expected", 5).alias("expected"), "copies")
+    return m.select("doc_id", "source", "lang", "topic", "tokens", F.round(F.col("weight") * 1e6, 4).alias("weight_ppm"), F.round("prob", 5).alias("prob"), "sampled", F.round("expected", 5).alias("expected"), "copies")
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,10 +91,15 @@ def _mixing_sql() -> str:
       {", ".join(targets)},
       w0 AS (SELECT cells.*, {", ".join(f"{n}_target" for n in mixing.TEMPER)}, tokens::DOUBLE AS w FROM cells {" ".join(joins)}),
       {", ".join(steps)},
-      p AS (SELECT source, lang, topic, w / nullif(tokens, 0) AS r, CASE WHEN tokens > 0 THEN {mixing.RATE} * sum(tokens) OVER () * w / sum(w) OVER () / tokens ELSE {mixing.RATE} END AS expected FROM {last})
-      SELECT doc_id, source, lang, topic, tokens, round(coalesce(r, 0) * 1e6, 4) AS weight_ppm, round(expected, 5) AS expected,
-        (floor(expected) + CASE WHEN ('0x' || substr(md5(concat_ws(':', {mixing.SEED}, doc_id, md5(text))), 1, 7))::BIGINT / {1 << 28}::DOUBLE < expected - floor(expected) THEN 1 ELSE 0 END)::BIGINT AS copies
-      FROM d JOIN p USING (source, lang, topic)"""
+      c AS (SELECT *, w / tokens AS r, sum(tokens) OVER o AS upto, sum(w) OVER o AS mass, sum(tokens) OVER () AS total, sum(w) OVER () AS whole
+        FROM {last} WHERE tokens > 0 WINDOW o AS (ORDER BY w / tokens DESC, lang, source, topic ROWS UNBOUNDED PRECEDING)),
+      k AS (SELECT arg_max(f, r) AS f FROM (SELECT r, ({mixing.RATE} * total - (upto - tokens)) / (whole - mass + tokens * r) AS f FROM c) WHERE f * r <= 1 + 1e-12),
+      p AS (SELECT source, lang, topic, w / nullif(tokens, 0) AS r, CASE WHEN tokens > 0 THEN {mixing.RATE} * sum(tokens) OVER () * w / sum(w) OVER () / tokens ELSE {mixing.RATE} END AS expected,
+        CASE WHEN tokens > 0 THEN least(1.0, f * w / tokens) ELSE {mixing.RATE} END AS prob FROM {last}, k),
+      u AS (SELECT *, ('0x' || substr(md5(concat_ws(':', {mixing.SEED}, doc_id, md5(text))), 1, 7))::BIGINT / {1 << 28}::DOUBLE AS drawn FROM d)
+      SELECT doc_id, source, lang, topic, tokens, round(coalesce(r, 0) * 1e6, 4) AS weight_ppm, round(prob, 5) AS prob, drawn < prob AS sampled, round(expected, 5) AS expected,
+        (floor(expected) + CASE WHEN drawn < expected - floor(expected) THEN 1 ELSE 0 END)::BIGINT AS copies
+      FROM u JOIN p USING (source, lang, topic)"""
 
 
 #: Unsigned CRC-32 of a list of byte values b, with the table ``bits`` of one byte's remainders (crc_table).
