@@ -92,6 +92,21 @@ def test_nearest_cells_equal_argmin(spark):
             assert got[f"s{n}"][0] == k and got[f"s{n}"][1] == pytest.approx(axis[k] - x)
 
 
+def test_nearest_cells_of_crowded_blocks(spark):
+    """A block of many sites is cut into pieces and costs one pass: no frame is summed anew for every row."""
+    sites = spark.range(20_000).select(F.col("id").alias("site"), (F.col("id") * 7919 % 20011 / 20.0).alias("x"))
+    axis = spark.createDataFrame([(n, float(c)) for n, c in enumerate([3.0, 250.5, 250.5, 700.0, 990.0, 2500.0, -40.0])], "n long, c double")
+    points = axis.collect()
+    want = {r.site: min((abs(c.c - r.x), c.n) for c in points) for r in sites.where("site % 400 = 0").collect()}
+    for rows in (100_000, 300):
+        near = climate.nearest_cells(sites, axis, "site", "x", "c", "n", 1e4, rows)
+        assert "currentrow$(), unboundedfollowing$()" not in near._jdf.queryExecution().toString()
+        got = {r.site: r for r in near.collect()}
+        assert len(got) == 20_000
+        for s, w in want.items():
+            assert (abs(got[s].offset), got[s].n) == (pytest.approx(w[0]), w[1])
+
+
 def test_columns_over_terrain(spark):
     zs = [2.0, 6.0, 14.0, 30.0]
     levels = spark.createDataFrame([("r", k, z) for k, z in enumerate(zs)], "run_id string, k long, z double")

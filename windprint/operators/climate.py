@@ -14,6 +14,8 @@ from ..sources.shared_table import materialize
 from .ordered import finite_rows, quantiles_of
 
 PROBS = (0.05, 0.25, 0.50, 0.75, 0.95, 0.99)
+#: Rows of a block of sites and axis points above which it is cut into pieces.
+PIECE_ROWS = 50000
 
 
 def block_sample(hourly: DataFrame, stride: int, block: int = 144) -> DataFrame:
@@ -40,26 +42,33 @@ def earth_wind(u: Column, v: Column, cos_a: Column, sin_a: Column) -> tuple[Colu
     return u * cos_a - v * sin_a, v * cos_a + u * sin_a
 
 
-def nearest_cells(sites: DataFrame, axis: DataFrame, site: str, at: str, coord: str, index: str, block: float) -> DataFrame:
+def nearest_cells(sites: DataFrame, axis: DataFrame, site: str, at: str, coord: str, index: str, block: float, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """(site, index, offset): for each site the index of the axis point nearest to it, the first one where two are as near.
 
-    Sites and axis points are sorted together in blocks of ``block`` along the coordinate; each site takes the last
-    point before it and the first after it, from its own block or, carried through the small table of blocks, from the
-    nearest block that has one. Nothing is paired beyond that, and no block of sites waits for another.
+    Sites and axis points are sorted together in blocks of ``block`` along the coordinate, and a block of many rows in
+    pieces of equal width, about ``piece_rows`` each where positions are spread; each site takes the last point before it
+    and the first after it, from its own piece or, carried through the small table of pieces, from the nearest piece that
+    has one. Both are running aggregates of a sorted piece, so nothing is paired beyond that.
     """
-    point = axis.select(F.col(coord).cast("double").alias("x"), F.lit(None).cast(sites.schema[site].dataType).alias(site), F.struct(F.col(coord).cast("double").alias("x"), F.col(index).alias("n")).alias("p"))
+    points = axis.groupBy(F.col(coord).cast("double").alias("x")).agg(F.min(index).alias("n"))
+    point = points.select("x", F.lit(None).cast(sites.schema[site].dataType).alias(site), F.struct("x", "n").alias("p"))
     asked = sites.select(F.col(at).cast("double").alias("x"), site, F.lit(None).cast(point.schema["p"].dataType).alias("p"))
     both = point.unionByName(asked).withColumn("b", F.floor(F.col("x") / block))
-    ends = both.groupBy("b").agg(F.max_by("p", F.when(F.col("p").isNotNull(), F.col("x"))).alias("last"), F.min_by("p", F.when(F.col("p").isNotNull(), F.col("x"))).alias("first"))
-    # one row for each block of the axis
-    before = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.orderBy("b").rowsBetween(1, Window.unboundedFollowing)
-    ends = ends.select("b", F.last("last", True).over(before).alias("carried"), F.first("first", True).over(after).alias("ahead"))
-    up = Window.partitionBy("b").orderBy("x").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    down = Window.partitionBy("b").orderBy("x").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    cuts = both.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / piece_rows).alias("cuts"))
+    inside = F.least((F.col("x") / block - F.col("b")) * F.col("cuts"), (F.col("cuts") - 1).cast("double"))
+    both = both.join(cuts, "b").select("x", site, "p", "b", F.floor(F.greatest(inside, F.lit(0.0))).alias("c"))
     held = F.when(F.col("p").isNotNull(), F.col("x"))
-    near = both.withColumns({"low": F.max_by("p", held).over(up), "high": F.min_by("p", held).over(down)}).where(F.col("p").isNull())
-    j = near.join(ends, "b").withColumns({"low": F.coalesce("low", "carried"), "high": F.coalesce("high", "ahead")})
+    ends = both.groupBy("b", "c").agg(F.max_by("p", held).alias("last"), F.min_by("p", held).alias("first"))
+    # one row for each piece of the axis
+    before = Window.orderBy("b", "c").rowsBetween(Window.unboundedPreceding, -1)
+    behind = Window.orderBy(F.desc("b"), F.desc("c")).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("b", "c", F.last("last", True).over(before).alias("carried"), F.last("first", True).over(behind).alias("ahead"))
+    piece = Window.partitionBy("b", "c")
+    # both frames grow from the first row of their order: one that ends at the last row would be summed anew for every row
+    up = piece.orderBy("x").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    down = piece.orderBy(F.desc("x")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    near = both.withColumn("low", F.max_by("p", held).over(up)).withColumn("high", F.min_by("p", held).over(down)).where(F.col("p").isNull())
+    j = near.join(ends, ["b", "c"]).withColumns({"low": F.coalesce("low", "carried"), "high": F.coalesce("high", "ahead")})
     sides = F.filter(F.array("low", "high"), lambda c: c.isNotNull())
     best = F.array_min(F.transform(sides, lambda c: F.struct(F.abs(c["x"] - F.col("x")).alias("d"), c["n"].alias("n"), c["x"].alias("at"))))
     return j.select(site, best["n"].alias(index), (best["at"] - F.col("x")).alias("offset"))
