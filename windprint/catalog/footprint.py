@@ -356,13 +356,15 @@ def _(t):
 
 
 def variant_maps(t):
-    """One scan serves every weight floor: each touchdown fans out to the variants."""
-    w = weighted(t).withColumn("w_floor", F.explode(F.array(*[F.lit(v) for v in VARIANTS])))
-    w = w.withColumn("wt_c", fp.contact_weight(F.col("td_w"), F.col("w_floor")))
-    w = w.withColumn("wt_f", F.col("w_release") * F.col("wt_c"))
+    """One scan serves every weight floor: a touchdown is one row with the flux of each variant."""
+    flux = {f"flux{n}": F.col("w_release") * fp.contact_weight(F.col("td_w"), F.lit(v)) for n, v in enumerate(VARIANTS)}
+    e = (-0.5 - DOM.i_r) * DOM.dx, (-0.5 - DOM.j_r) * DOM.dx
+    cells = fp.deposit_values(weighted(t), RUN, flux, F.col("xm"), F.col("ym"), *e, DOM.dx, DOM.nx, DOM.ny)
+    rows = F.array(*[F.struct(F.lit(v).alias("w_floor"), F.col(f"flux{n}").alias("flux")) for n, v in enumerate(VARIANTS)])
+    cells = cells.select("run_id", "j", "i", F.explode(rows).alias("r")).select("run_id", "j", "i", "r.w_floor", "r.flux")
     keys = ["run_id", "w_floor"]
     totals = frames(t).select("run_id", "n_particles", F.explode(F.array(*[F.lit(v) for v in VARIANTS])).alias("w_floor"))
-    return fp.density(fp.deposit_static(w, DOM, keys), totals, keys, DOM.area)
+    return fp.density(cells, totals, keys, DOM.area)
 
 
 @query(

@@ -94,16 +94,43 @@ def deposit_cic(
     periodic: bool = True,
 ) -> DataFrame:
     """Share each touchdown bilinearly between its four nearest cells."""
+    values = {"flux": F.col("wt_f"), "conc": F.col("wt_c")}
+    return deposit_values(w, keys, values, x, y, x_edge, y_edge, res, nx, ny, periodic)
+
+
+def deposit_values(
+    w: DataFrame, keys: Sequence[str], values: dict[str, Column], x: Column, y: Column, x_edge: float, y_edge: float, res: float, nx: int, ny: int, periodic: bool = True
+) -> DataFrame:
+    """(keys, j, i, values): each value shared bilinearly between the four cells nearest to its row.
+
+    Rows collapse by the first of their four cells, to four sums a value; only those cells, bounded by the grid, move to
+    the task of their key and are dealt out to their neighbours there.
+    """
     edge = "wrap" if periodic else "open"
-    base = w.select(*keys, "wt_f", "wt_c", ((x - x_edge) / res - 0.5).alias("u"), ((y - y_edge) / res - 0.5).alias("v"))
-    around = [F.struct(j.alias("j"), i.alias("i"), part.alias("part")) for j, i, part in cell_corners(Axis("v", "j", ny, edge), Axis("u", "i", nx, edge))]
-    cells = base.select(*keys, "wt_f", "wt_c", F.explode(F.array(*around)).alias("c"))
-    j, i = F.col("c.j"), F.col("c.i")
+    at = w.select(*keys, *[c.alias(f"_{n}") for n, c in values.items()], ((x - x_edge) / res - 0.5).alias("_u"), ((y - y_edge) / res - 0.5).alias("_v"))
+    around = cell_corners(Axis("_v", "j", ny, edge), Axis("_u", "i", nx, edge))
+    first = at.select("*", around[0][0].alias("_j"), around[0][1].alias("_i"), *[part.alias(f"_p{k}") for k, (_, _, part) in enumerate(around)])
     if not periodic:
-        cells = cells.where(j.between(0, ny - 1) & i.between(0, nx - 1))
-    return cells.groupBy(*keys, j.alias("j"), i.alias("i")).agg(
-        F.sum(F.col("wt_f") * F.col("c.part")).alias("flux"), F.sum(F.col("wt_c") * F.col("c.part")).alias("conc")
-    )
+        first = first.where(F.col("_j").between(-1, ny - 1) & F.col("_i").between(-1, nx - 1))
+    sums = [F.sum(F.col(f"_{n}") * F.col(f"_p{k}")).alias(f"_{n}{k}") for n in values for k in range(4)]
+    base = first.groupBy(*keys, "_j", "_i").agg(*sums).repartition(*keys)
+    cells = base.withColumn("_k", F.explode(F.array(*[F.lit(k) for k in range(4)])))
+    j, i = _neighbour("_j", F.col("_k") >= 2, ny, periodic), _neighbour("_i", F.col("_k") % 2 == 1, nx, periodic)
+    cells = cells.select(*keys, j.alias("j"), i.alias("i"), *[_nth(f"_{n}", "_k").alias(f"_{n}") for n in values])
+    if not periodic:
+        cells = cells.where(F.col("j").between(0, ny - 1) & F.col("i").between(0, nx - 1))
+    return cells.groupBy(*keys, "j", "i").agg(*[F.sum(f"_{n}").alias(n) for n in values])
+
+
+def _neighbour(index: str, up: Column, size: int, periodic: bool) -> Column:
+    """The index itself or, where ``up``, the next one."""
+    after = F.col(index) + 1
+    return F.when(up, F.pmod(after, F.lit(size)) if periodic else after).otherwise(F.col(index))
+
+
+def _nth(name: str, corner: str) -> Column:
+    """The sum of one of the four cells."""
+    return F.when(F.col(corner) == 0, F.col(f"{name}0")).when(F.col(corner) == 1, F.col(f"{name}1")).when(F.col(corner) == 2, F.col(f"{name}2")).otherwise(F.col(f"{name}3"))
 
 
 def deposit_static(w: DataFrame, dom: Domain, keys: Sequence[str] = ("run_id",)) -> DataFrame:
@@ -335,34 +362,42 @@ def frame_sweep(touchdowns: DataFrame, releases: DataFrame, dom: Domain, tbacks:
 def accumulate(w: DataFrame, dom: Domain, marks: Sequence[float] = MARKS, t_back: float = 900.0) -> DataFrame:
     """Every per-run sum of a footprint from ONE pass over the touchdowns.
 
-    Each touchdown fans out to tagged keys (kind, a, b): its four cells, its
-    upwind bin, the backward-time marks and displacement edges it counts for,
+    Each touchdown fans out to tagged keys (kind, a, b): the first of its four cells,
+    its upwind bin, the backward-time marks and displacement edges it counts for,
     and its wrapped flag. All of them meet in a single grouped sum, so the
-    touchdown join runs once and the result is bounded by the grid.
+    touchdown join runs once and the result is bounded by the grid. A cell's row
+    has the sums of all four; they are dealt out where the run's half lies.
     """
     nfy = dom.nx
     u, v = F.col("xm") / dom.dx + dom.i_r, F.col("ym") / dom.dx + dom.j_r
+    around = cell_corners(Axis("v", "j", dom.ny, "wrap"), Axis("u", "i", dom.nx, "wrap"))
     p = w.select("run_id", "half", "wt_f", "wt_c", "x_up", "disp", "td_age", "wrapped", u.alias("u"), v.alias("v"))
+    p = p.select("*", *[part.alias(f"_p{n}") for n, (_, _, part) in enumerate(around)])
     big = lambda c: c.cast("bigint")
 
-    def key(kind: str, a: Column, b: Column, part: Column) -> Column:
-        return F.struct(F.lit(kind).alias("kind"), big(a).alias("a"), big(b).alias("b"), part.cast("double").alias("part"))
+    def key(kind: str, a: Column, b: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), big(a).alias("a"), big(b).alias("b"))
 
-    zero, one = F.lit(0), F.lit(1.0)
-    cells = [key("cell", j, i, part) for j, i, part in cell_corners(Axis("v", "j", dom.ny, "wrap"), Axis("u", "i", dom.nx, "wrap"))]
+    zero = F.lit(0)
+    cells = [key("cell", around[0][0], around[0][1])]
     top = (nfy + 0.5) * dom.dx
     b = F.when(F.col("x_up") == top, F.lit(2 * nfy - 1)).otherwise(F.floor(F.col("x_up") / dom.dx - 0.5) + nfy)
-    bins = [key("fy", b, zero, one)]
-    ages = [F.when(F.col("td_age") <= m, key("age", F.lit(n), zero, one)) for n, m in enumerate((*marks, t_back))]
-    disps = [F.when(F.col("disp") <= f * dom.length, key("disp", F.lit(n), zero, one)) for n, f in enumerate(DISP_FRACTIONS)]
-    rest = [key("all", zero, zero, one), F.when(F.col("wrapped"), key("wrap", zero, zero, one))]
+    bins = [key("fy", b, zero)]
+    ages = [F.when(F.col("td_age") <= m, key("age", F.lit(n), zero)) for n, m in enumerate((*marks, t_back))]
+    disps = [F.when(F.col("disp") <= f * dom.length, key("disp", F.lit(n), zero)) for n, f in enumerate(DISP_FRACTIONS)]
+    rest = [key("all", zero, zero), F.when(F.col("wrapped"), key("wrap", zero, zero))]
     keys = F.array(*cells, *bins, *ages, *disps, *rest)
-    return (
-        p.select("run_id", "half", "wt_f", "wt_c", F.explode(keys).alias("k"))
-        .where(F.col("k").isNotNull())
-        .groupBy("run_id", "half", "k.kind", "k.a", "k.b")
-        .agg(F.sum(F.col("wt_f") * F.col("k.part")).alias("flux"), F.sum(F.col("wt_c") * F.col("k.part")).alias("conc"), F.count(F.lit(1)).alias("n"))
-    )
+    account, is_cell = ["run_id", "half", "kind", "a", "b"], F.col("kind") == "cell"
+    whole = [F.when(is_cell, F.col("_p0")).otherwise(1.0), *[F.when(is_cell, F.col(f"_p{n}")) for n in (1, 2, 3)]]
+    sums = [F.sum(F.col(c) * part).alias(f"_{name}{n}") for name, c in (("flux", "wt_f"), ("conc", "wt_c")) for n, part in enumerate(whole)]
+    tagged = p.select("run_id", "half", "wt_f", "wt_c", "_p0", "_p1", "_p2", "_p3", F.explode(keys).alias("k")).where(F.col("k").isNotNull())
+    first = tagged.select("run_id", "half", "k.kind", "k.a", "k.b", "wt_f", "wt_c", "_p0", "_p1", "_p2", "_p3").groupBy(*account).agg(*sums, F.count(F.lit(1)).alias("_n"))
+    one, four = F.array(F.lit(0)), F.array(*[F.lit(n) for n in range(4)])
+    dealt = first.repartition("run_id", "half").withColumn("_k", F.explode(F.when(is_cell, four).otherwise(one)))
+    a = F.when(is_cell, _neighbour("a", F.col("_k") >= 2, dom.ny, True)).otherwise(F.col("a"))
+    b = F.when(is_cell, _neighbour("b", F.col("_k") % 2 == 1, dom.nx, True)).otherwise(F.col("b"))
+    dealt = dealt.select("run_id", "half", "kind", a.alias("a"), b.alias("b"), _nth("_flux", "_k").alias("flux"), _nth("_conc", "_k").alias("conc"), "_n")
+    return dealt.groupBy(*account).agg(F.sum("flux").alias("flux"), F.sum("conc").alias("conc"), F.sum("_n").alias("n"))
 
 
 def account_cells(acc: DataFrame, by_half: bool = False) -> DataFrame:

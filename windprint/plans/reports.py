@@ -235,7 +235,7 @@ def regression_metrics(touchdowns: DataFrame, releases: DataFrame, params: DataF
     """(first half's metrics, whole window's metrics, half difference): long tables (run_id, metric, value) and (run_id, dpeak)."""
     run, keys = ["run_id"], ["run_id", "half"]
     parts = compute_footprint(touchdowns, releases, None, dom)
-    maps = parts["halves"]
+    maps, full = materialize(parts["halves"], "halves"), materialize(parts["map"], "map")
     first, second = (maps.where(F.col("half") == n).drop("half") for n in (1, 2))
     peaks = fp.fy_metrics(parts["fy_halves"], keys, dom.dx)
     h = peaks.groupBy("run_id").agg(*[F.max(F.when(F.col("half") == n, F.col("peak_x"))).alias(f"p{n}") for n in (1, 2)])
@@ -243,8 +243,8 @@ def regression_metrics(touchdowns: DataFrame, releases: DataFrame, params: DataF
     total = lambda f: f.groupBy("run_id").agg((F.sum("f") * dom.area).alias("integral"))
     area = lambda f: fp.map_metrics(f, run, dom).select("run_id", "area80_ha")
     base = h.select("run_id", F.col("p1").alias("peak_x")).join(total(first), run).join(fp.overlap(first, second, run), run).join(area(first), run)
-    now = fp.fy_metrics(parts["fy"], run, dom.dx).select("run_id", "peak_x").join(total(parts["map"]), run)
-    now = now.join(fp.overlap(parts["map"], rm.static_raster(params, dom), run), run).join(area(parts["map"]), run)
+    now = fp.fy_metrics(parts["fy"], run, dom.dx).select("run_id", "peak_x").join(total(full), run)
+    now = now.join(fp.overlap(full, rm.static_raster(params, dom), run), run).join(area(full), run)
     names = ["peak_x", "area80_ha", "integral", "overlap"]
     was = materialize(compare.melt(base, run, names), "baseline")
     return was, compare.melt(now, run, names), h.select("run_id", (F.col("p1") - F.col("p2")).alias("dpeak"))
