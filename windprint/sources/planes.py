@@ -17,6 +17,8 @@ from .shared_table import shared_folder
 
 #: Consecutive steps of a run that share a partition.
 STEPS = 8
+#: Partitions of a table; where there would be more, those whose names hash alike share one.
+PARTS = 64
 
 
 def part(steps: int = STEPS) -> Column:
@@ -24,17 +26,23 @@ def part(steps: int = STEPS) -> Column:
     return F.concat_ws("-", "run_id", F.floor(F.col("step") / steps).cast("string"))
 
 
+def shared_part(steps: int = STEPS, parts: int = PARTS) -> Column:
+    """Name of the partition of a row's plane in a table of more than ``parts`` names."""
+    return F.concat(F.lit("shared-"), F.pmod(F.xxhash64(part(steps)), F.lit(parts)).cast("string"))
+
+
 def save_planes(
-    cells: DataFrame, name: str, keys: Sequence[str], nx: int, values: Sequence[str], steps: int = STEPS, buckets: int | None = None
+    cells: DataFrame, name: str, keys: Sequence[str], nx: int, values: Sequence[str], steps: int = STEPS, buckets: int | None = None, parts: int = PARTS
 ) -> DataFrame:
     """Pack ``cells`` to planes of ``keys`` (run_id, step, perhaps k) and store them as the table ``name``.
 
     Its files lie in the cluster's shared folder. A task writes one bucket, so there are at most as many files as
-    partitions times buckets.
+    partitions times buckets; ``parts`` bounds the partitions, so files grow with the planes and not in number.
     """
     spark = cells.sparkSession
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    packed = pack_planes(cells, keys, nx, values).withColumn("part", part(steps)).repartition(n, *keys)
+    many = cells.select(part(steps).alias("part")).distinct().limit(parts + 1).count() > parts
+    packed = pack_planes(cells, keys, nx, values).withColumn("part", shared_part(steps, parts) if many else part(steps)).repartition(n, *keys)
     packed.write.partitionBy("part").bucketBy(n, *keys).sortBy(*keys).option("path", shared_folder(spark, name)).saveAsTable(name)
     return spark.table(name)
 
@@ -49,11 +57,12 @@ def stored_planes(spark: SparkSession, source: str, cells: Callable[[], DataFram
     return spark.table(name) if spark.catalog.tableExists(name) else save_planes(cells(), name, keys, nx, values, steps)
 
 
-def touched(planes: DataFrame, wanted: DataFrame, steps: int = STEPS) -> DataFrame:
+def touched(planes: DataFrame, wanted: DataFrame, steps: int = STEPS, parts: int = PARTS) -> DataFrame:
     """``planes`` without the partitions that no row of ``wanted`` (run_id, step) needs.
 
-    The names of partitions, no more than the table has, become a filter on the partition column: the scan lists and
-    opens only those.
+    The names of partitions become a filter on the partition column: the scan lists and opens only those. A table has
+    names of its own for each few steps or shared ones, never both.
     """
-    names = [r["part"] for r in wanted.select(part(steps).alias("part")).distinct().collect()]
-    return planes.where(F.col("part").isin(names)) if names else planes.where(F.lit(False))
+    names = wanted.select(part(steps).alias("part"), shared_part(steps, parts).alias("shared")).distinct().collect()
+    own = sorted({n for r in names for n in r if n is not None})
+    return planes.where(F.col("part").isin(own)) if own else planes.where(F.lit(False))
