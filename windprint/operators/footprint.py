@@ -14,11 +14,15 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
 from ..functions.geometry import Domain
+from ..sources.shared_table import materialize
+from ..sources.spread import deal, joined, tasks
 from .interp import Axis, cell_corners
 from .ordered import mass_threshold, top_sum, with_threshold
 
 MARKS = (300.0, 450.0, 600.0, 750.0)
 DISP_FRACTIONS = (0.25, 0.5, 0.75, 1.0, 1.5, 2.0)
+#: Neighbouring particles of a run whose touchdowns are summed in one task.
+BLOCK = 1 << 16
 
 
 # ------------------------------------------------------------------ weighting
@@ -57,7 +61,7 @@ def contact_weight(td_w: Column, w_floor: float | Column = 0.02) -> Column:
 
 def weigh(touchdowns: DataFrame, framed: DataFrame, dom: Domain, w_floor: float = 0.02) -> DataFrame:
     """Join each touchdown to its release; add signed weights and coordinates."""
-    t = touchdowns.join(framed, ["run_id", "particle"])
+    t = joined(touchdowns, framed, ["run_id", "particle"], tasks(touchdowns, framed))
     dx, dy = F.col("td_x") - dom.xr, F.col("td_y") - dom.yr
     up, cross = geo.wind_frame(dx, dy, F.col("yaw"))
     t = t.select(
@@ -80,6 +84,17 @@ def weigh(touchdowns: DataFrame, framed: DataFrame, dom: Domain, w_floor: float
     )
 
 
+def _near(w: DataFrame) -> tuple[list[Column], list[str]]:
+    """The block of a run that a touchdown belongs to, and the columns that lay blocks together; none for rows without particles.
+
+    Touchdowns of a run share cells, bins and marks, so they are summed where its block lies before anything else moves;
+    a run of many particles has many blocks.
+    """
+    if not {"run_id", "particle"} <= set(w.columns):
+        return [], []
+    return [F.floor(F.col("particle") / BLOCK).alias("_block")], ["run_id", "_block"]
+
+
 # ----------------------------------------------------------------- deposition
 def deposit_cic(
     w: DataFrame,
@@ -103,17 +118,21 @@ def deposit_values(
 ) -> DataFrame:
     """(keys, j, i, values): each value shared bilinearly between the four cells nearest to its row.
 
-    Rows collapse by the first of their four cells, to four sums a value; only those cells, bounded by the grid, move to
-    the task of their key and are dealt out to their neighbours there.
+    Rows collapse in the block of their run by the first of their four cells, to four sums a value; only those cells,
+    bounded by the grid, move to the task of their key and are dealt out to their neighbours there.
     """
     edge = "wrap" if periodic else "open"
-    at = w.select(*keys, *[c.alias(f"_{n}") for n, c in values.items()], ((x - x_edge) / res - 0.5).alias("_u"), ((y - y_edge) / res - 0.5).alias("_v"))
+    n_tasks, (block, near) = tasks(w), _near(w)
+    run = [c for c in near[:1] if c not in keys]
+    at = w.select(*run, *block, *keys, *[c.alias(f"_{n}") for n, c in values.items()], ((x - x_edge) / res - 0.5).alias("_u"), ((y - y_edge) / res - 0.5).alias("_v"))
+    if near:
+        at = deal(at, n_tasks, *near)
     around = cell_corners(Axis("_v", "j", ny, edge), Axis("_u", "i", nx, edge))
     first = at.select("*", around[0][0].alias("_j"), around[0][1].alias("_i"), *[part.alias(f"_p{k}") for k, (_, _, part) in enumerate(around)])
     if not periodic:
         first = first.where(F.col("_j").between(-1, ny - 1) & F.col("_i").between(-1, nx - 1))
     sums = [F.sum(F.col(f"_{n}") * F.col(f"_p{k}")).alias(f"_{n}{k}") for n in values for k in range(4)]
-    base = first.groupBy(*keys, "_j", "_i").agg(*sums).repartition(*keys)
+    base = deal(first.groupBy(*dict.fromkeys([*near, *keys]), "_j", "_i").agg(*sums), n_tasks, *keys)
     cells = base.withColumn("_k", F.explode(F.array(*[F.lit(k) for k in range(4)])))
     j, i = _neighbour("_j", F.col("_k") >= 2, ny, periodic), _neighbour("_i", F.col("_k") % 2 == 1, nx, periodic)
     cells = cells.select(*keys, j.alias("j"), i.alias("i"), *[_nth(f"_{n}", "_k").alias(f"_{n}") for n in values])
@@ -282,13 +301,17 @@ def cover_classes() -> Column:
 def cover_share(w: DataFrame, surface: DataFrame, totals: DataFrame | None = None) -> DataFrame:
     """Footprint-weighted class shares, folded and for unwrapped touchdowns only.
 
-    Touchdowns collapse to one row per (run, site, cell) before the raster join. With ``totals``, a run of it that
-    touches no class has one row, whose cover and shares are NULL.
+    Touchdowns collapse to one row per (run, site, cell) of a run's block before the raster join; those rows are written
+    once, as shares and totals both read them. With ``totals``, a run of it that touches no class has one row, whose cover
+    and shares are NULL.
     """
     live = F.when(~F.col("wrapped"), F.col("wt_f")).otherwise(0.0)
-    cells = w.groupBy("run_id", "site", F.col("jj").alias("j"), F.col("ii").alias("i")).agg(
-        F.sum("wt_f").alias("s"), F.sum(live).alias("s_nw")
-    )
+    n_tasks, (block, near) = tasks(w), _near(w)
+    at = w.select("run_id", "site", *block, F.col("jj").alias("j"), F.col("ii").alias("i"), "wt_f", live.alias("live"))
+    if near:
+        at = deal(at, n_tasks, *near)
+    cells = at.groupBy("run_id", *near[1:], "site", "j", "i").agg(F.sum("wt_f").alias("s"), F.sum("live").alias("s_nw"))
+    cells = materialize(cells.drop("_block"), "cover-cells")
     tot = cells.groupBy("run_id").agg(F.sum("s").alias("t"), F.sum("s_nw").alias("t_nw"))
     hit = cells.join(surface.select("site", "j", "i", cover_classes().alias("classes")), ["site", "j", "i"])
     by = hit.select("run_id", "s", "s_nw", F.explode("classes").alias("cover")).groupBy("run_id", "cover").agg(
@@ -362,16 +385,19 @@ def frame_sweep(touchdowns: DataFrame, releases: DataFrame, dom: Domain, tbacks:
 def accumulate(w: DataFrame, dom: Domain, marks: Sequence[float] = MARKS, t_back: float = 900.0) -> DataFrame:
     """Every per-run sum of a footprint from ONE pass over the touchdowns.
 
-    Each touchdown fans out to tagged keys (kind, a, b): the first of its four cells,
-    its upwind bin, the backward-time marks and displacement edges it counts for,
-    and its wrapped flag. All of them meet in a single grouped sum, so the
-    touchdown join runs once and the result is bounded by the grid. A cell's row
-    has the sums of all four; they are dealt out where the run's half lies.
+    Each touchdown is three rows (kind, a, b): the first of its four cells, its upwind
+    bin, and the set of age marks and displacement edges it counts for with its wrapped
+    flag. They are summed in the block of their run, so the touchdown join runs once and
+    what moves on is bounded by the grid. A cell's row has the sums of all four; cells
+    and sets are dealt out to the rows of the account where the run's half lies.
     """
     nfy = dom.nx
+    n_tasks, (block, near) = tasks(w), _near(w)
     u, v = F.col("xm") / dom.dx + dom.i_r, F.col("ym") / dom.dx + dom.j_r
     around = cell_corners(Axis("v", "j", dom.ny, "wrap"), Axis("u", "i", dom.nx, "wrap"))
-    p = w.select("run_id", "half", "wt_f", "wt_c", "x_up", "disp", "td_age", "wrapped", u.alias("u"), v.alias("v"))
+    p = w.select("run_id", "half", *block, "wt_f", "wt_c", "x_up", "disp", "td_age", "wrapped", u.alias("u"), v.alias("v"))
+    if near:
+        p = deal(p, n_tasks, *near)
     p = p.select("*", *[part.alias(f"_p{n}") for n, (_, _, part) in enumerate(around)])
     big = lambda c: c.cast("bigint")
 
@@ -379,25 +405,33 @@ def accumulate(w: DataFrame, dom: Domain, marks: Sequence[float] = MARKS, t_back
         return F.struct(F.lit(kind).alias("kind"), big(a).alias("a"), big(b).alias("b"))
 
     zero = F.lit(0)
-    cells = [key("cell", around[0][0], around[0][1])]
     top = (nfy + 0.5) * dom.dx
-    b = F.when(F.col("x_up") == top, F.lit(2 * nfy - 1)).otherwise(F.floor(F.col("x_up") / dom.dx - 0.5) + nfy)
-    bins = [key("fy", b, zero)]
-    ages = [F.when(F.col("td_age") <= m, key("age", F.lit(n), zero)) for n, m in enumerate((*marks, t_back))]
-    disps = [F.when(F.col("disp") <= f * dom.length, key("disp", F.lit(n), zero)) for n, f in enumerate(DISP_FRACTIONS)]
-    rest = [key("all", zero, zero), F.when(F.col("wrapped"), key("wrap", zero, zero))]
-    keys = F.array(*cells, *bins, *ages, *disps, *rest)
-    account, is_cell = ["run_id", "half", "kind", "a", "b"], F.col("kind") == "cell"
+    bin_of = F.when(F.col("x_up") == top, F.lit(2 * nfy - 1)).otherwise(F.floor(F.col("x_up") / dom.dx - 0.5) + nfy)
+    ages = [("age", n, F.col("td_age") <= m) for n, m in enumerate((*marks, t_back))]
+    disps = [("disp", n, F.col("disp") <= f * dom.length) for n, f in enumerate(DISP_FRACTIONS)]
+    flags = [*ages, *disps, ("wrap", 0, F.col("wrapped"))]
+    # more flags than bits go to further rows of the same kind
+    sets = [flags[n : n + 60] for n in range(0, len(flags), 60)]
+    held = [sum((F.when(c, F.lit(1 << n)).otherwise(0).cast("bigint") for n, (_, _, c) in enumerate(part)), F.lit(0).cast("bigint")) for part in sets]
+    keys = F.array(key("cell", around[0][0], around[0][1]), key("fy", bin_of, zero), *[key("set", bits, F.lit(n)) for n, bits in enumerate(held)])
+    kind, is_cell = F.col("kind"), F.col("kind") == "cell"
     whole = [F.when(is_cell, F.col("_p0")).otherwise(1.0), *[F.when(is_cell, F.col(f"_p{n}")) for n in (1, 2, 3)]]
     sums = [F.sum(F.col(c) * part).alias(f"_{name}{n}") for name, c in (("flux", "wt_f"), ("conc", "wt_c")) for n, part in enumerate(whole)]
-    tagged = p.select("run_id", "half", "wt_f", "wt_c", "_p0", "_p1", "_p2", "_p3", F.explode(keys).alias("k")).where(F.col("k").isNotNull())
-    first = tagged.select("run_id", "half", "k.kind", "k.a", "k.b", "wt_f", "wt_c", "_p0", "_p1", "_p2", "_p3").groupBy(*account).agg(*sums, F.count(F.lit(1)).alias("_n"))
-    one, four = F.array(F.lit(0)), F.array(*[F.lit(n) for n in range(4)])
-    dealt = first.repartition("run_id", "half").withColumn("_k", F.explode(F.when(is_cell, four).otherwise(one)))
-    a = F.when(is_cell, _neighbour("a", F.col("_k") >= 2, dom.ny, True)).otherwise(F.col("a"))
-    b = F.when(is_cell, _neighbour("b", F.col("_k") % 2 == 1, dom.nx, True)).otherwise(F.col("b"))
-    dealt = dealt.select("run_id", "half", "kind", a.alias("a"), b.alias("b"), _nth("_flux", "_k").alias("flux"), _nth("_conc", "_k").alias("conc"), "_n")
-    return dealt.groupBy(*account).agg(F.sum("flux").alias("flux"), F.sum("conc").alias("conc"), F.sum("_n").alias("n"))
+    parts = ["wt_f", "wt_c", "_p0", "_p1", "_p2", "_p3"]
+    tagged = p.select("half", "run_id", *near[1:], *parts, F.explode(keys).alias("k")).select("half", "run_id", *near[1:], "k.*", *parts)
+    first = tagged.groupBy("run_id", *near[1:], "half", "kind", "a", "b").agg(*sums, F.count(F.lit(1)).alias("_n"))
+
+    def row(name: str | Column, a: Column, b: Column, n: int = 0) -> Column:
+        tag = F.lit(name) if isinstance(name, str) else name
+        return F.struct(tag.alias("kind"), big(a).alias("a"), big(b).alias("b"), F.col(f"_flux{n}").alias("flux"), F.col(f"_conc{n}").alias("conc"))
+
+    a, b = F.col("a"), F.col("b")
+    four = [row("cell", _neighbour("a", F.lit(n >= 2), dom.ny, True), _neighbour("b", F.lit(n % 2 == 1), dom.nx, True), n) for n in range(4)]
+    in_set = [F.when((b == k) & (F.shiftright(a, n).bitwiseAND(1) == 1), row(name, F.lit(at), zero)) for k, part in enumerate(sets) for n, (name, at, _) in enumerate(part)]
+    in_all = F.when(b == 0, row("all", zero, zero))
+    rows = F.when(is_cell, F.array(*four)).when(kind == "fy", F.array(row("fy", a, b))).otherwise(F.filter(F.array(in_all, *in_set), lambda r: r.isNotNull()))
+    dealt = deal(first, n_tasks, "run_id", "half").select("run_id", "half", "_n", F.explode(rows).alias("r")).select("run_id", "half", "r.*", "_n")
+    return dealt.groupBy("run_id", "half", "kind", "a", "b").agg(F.sum("flux").alias("flux"), F.sum("conc").alias("conc"), F.sum("_n").alias("n"))
 
 
 def account_cells(acc: DataFrame, by_half: bool = False) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import isfinite
 from ..sources.shared_table import materialize
+from ..sources.spread import tasks
 
 #: Buckets of one histogram, and rows of an interval that is sorted.
 BUCKETS, FEW = 1024, 8192
@@ -143,6 +144,9 @@ def with_threshold(field: DataFrame, keys: Sequence[str], fracs: dict[str, float
     the deposition), so one key is sorted in one task. Use
     :func:`mass_threshold` for values without such a bound.
     """
+    n = tasks(field)
+    if n:
+        field = field.repartition(n, *keys)
     whole = Window.partitionBy(*keys)
     down = whole.orderBy(F.col(value).desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     f = field.withColumn("_c", F.sum(value).over(down)).withColumn("_t", F.sum(value).over(whole))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geometry import Domain
+from .spread import joined, tasks
 
 DOMAIN = Domain()
 SITE_ORDERS = 15000
@@ -77,7 +78,8 @@ class Tables:
     def touchdowns(self) -> DataFrame:
         """Event table keyed by (run_id, particle), as an integrator would write it."""
         owner = self.raw("orders").select(F.col("o_orderkey").alias("particle"), *self._run())
-        return self.touchdown_columns(self.raw("lineitem")).join(owner, "particle")
+        events = self.touchdown_columns(self.raw("lineitem"))
+        return joined(events, owner, ["particle"], tasks(events, owner))
 
     # ------------------------------------------------------------- gridded dumps
     @cached_property
