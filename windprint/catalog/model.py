@@ -153,8 +153,8 @@ cte("case_shares", """
 SELECT substr(run_id, 2) AS site, cover, substr(run_id, 1, 1) AS kase, coalesce(share_nowrap, 0) AS share FROM cover_shares""")
 
 
-def case_shares(t):
-    s = fp.cover_share(weighted(t), surface(t))
+def case_shares(t, srf):
+    s = fp.cover_share(weighted(t), srf)
     return s.select(
         F.expr("substring(run_id, 2)").alias("site"), "cover", F.substring("run_id", 1, 1).alias("case"), F.coalesce("share_nowrap", F.lit(0.0)).alias("share")
     )
@@ -171,11 +171,12 @@ def case_shares(t):
     {"max_share": 7, "min_share": 7, "swing": 5, "enrich_best": 6, "enrich_worst": 6},
 )
 def _(t):
-    cells = materialize(surface(t).select(F.col("site").cast("string").alias("site"), fp.cover_classes().alias("names")), "cover-names")
+    srf = materialize(surface(t).select("site", "j", "i", "lcclass", "array", "water"), "surface")
+    cells = srf.select(F.col("site").cast("string").alias("site"), fp.cover_classes().alias("names"))
     whole = cells.groupBy("site").agg(F.count(F.lit(1)).alias("cells"))
     area = cells.select("site", F.explode("names").alias("cover")).groupBy("site", "cover").agg(F.count(F.lit(1)).alias("n"))
     area = area.join(whole, "site").select("site", "cover", (F.col("n") / F.col("cells")).alias("area_share"))
-    return compare.swing(case_shares(t), ["site", "cover"], area)
+    return compare.swing(case_shares(t, srf), ["site", "cover"], area)
 
 
 @query(
@@ -185,7 +186,7 @@ def _(t):
     {"ratio_share": 5},
 )
 def _(t):
-    return compare.pair_ratio(case_shares(t), ["site", "cover"], "case", [("F", "O"), ("F", "P"), ("P", "O")], ["share"])
+    return compare.pair_ratio(case_shares(t, surface(t)), ["site", "cover"], "case", [("F", "O"), ("F", "P"), ("P", "O")], ["share"])
 
 
 # ---- report: measured and modelled footprint side by side -----------------------

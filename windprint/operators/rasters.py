@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import geometry as geo
 from ..functions.geometry import Domain
 from ..functions.numeric import neighbour
+from ..sources.shared_table import materialize
+from ..sources.spread import deal, tasks
 from .ordered import wide_quantiles
 
 # Land-cover class -> roughness length [m].
@@ -303,12 +305,19 @@ def raster_qa(cells: DataFrame, keys: Sequence[str], value: str, dom: Domain) ->
 
 # ------------------------------------------------------------- whole builds
 def build_surface(pixels: DataFrame, dom: Domain, pad: int = 8, passes: int = 1, wth: float = 0.1) -> DataFrame:
-    """Fine pixels to the model surface table (topo, z0m, ht_flux, masks)."""
+    """Fine pixels to the model surface table (topo, z0m, ht_flux, masks).
+
+    One pass over the pixels: the rows per cell and class yield mean elevation and commonest class, as
+    :func:`resample_mean` and :func:`resample_mode` do, and are written once as cells.
+    """
     key = ["site", "j", "i"]
-    elev = resample_mean(pixels, key, "elevation").select(*key, F.col("mean").alias("elevation"))
-    lc = resample_mode(pixels, key, "lcclass")
-    topo = smooth121(taper_terrain(elev, ["site"], "elevation", dom, pad), ["site"], "topo", passes)
-    return classify(topo.join(lc, key), dom, wth)
+    n = pixels.groupBy(*key, "lcclass").agg(F.count(F.lit(1)).alias("n"), F.sum("elevation").alias("s"), F.count("elevation").alias("m"))
+    best = F.min(F.struct((-F.col("n")).alias("neg"), F.col("lcclass").alias("v")))
+    cells = deal(n, tasks(pixels), *key).groupBy(*key).agg(F.try_divide(F.sum("s"), F.sum("m")).alias("elevation"), best["v"].alias("lcclass"))
+    cells = materialize(cells, "surface-cells")
+    topo = smooth121(taper_terrain(cells, ["site"], "elevation", dom, pad), ["site"], "topo", passes)
+    topo = topo.dropna(subset=key).select(*key, "elevation", "datum", "topo", "lcclass")
+    return classify(topo, dom, wth)
 
 
 def rotate_cells(cells: DataFrame, n: int, m: Column, vector: tuple[str, str] = ("u", "v")) -> DataFrame:
