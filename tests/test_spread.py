@@ -95,22 +95,42 @@ def counted(monkeypatch):
         made.append(name)
         return real(df, name)
 
-    for module in (fp, rasters, model, reports):
+    for module in (rasters, model, reports):
         monkeypatch.setattr(module, "materialize", note)
     return made
 
 
-def test_surface_and_cover_are_made_once(spark, monkeypatch):
+def test_surface_and_candidate_are_made_once(spark, monkeypatch):
     from windprint.catalog import QUERIES
 
     made = counted(monkeypatch)
     QUERIES["swing"](spark, "/root/testdata/sf0.001")
-    assert made.count("surface-cells") == 1 and made.count("cover-cells") == 1
+    assert made.count("surface-cells") == 1
     made.clear()
     QUERIES["baseline_verdict"](spark, "/root/testdata/sf0.001")
     assert "candidate" in made
 
 
+def test_cover_reads_the_touchdowns_once(tables, spark, capsys):
+    rows = [(0, j, i, 10 * (1 + (i + j) % 3), i == 3, j == 2) for j in range(16) for i in range(15)]
+    # a cell twice, and one of nowhere
+    srf = spark.createDataFrame([*rows, (0, 8, 8, 10, False, True), (None, 1, 1, 10, False, True)], "site long, j long, i long, lcclass int, array boolean, water boolean")
+    w = weighted(tables)
+    cover = fp.cover_share(w, srf)
+    cover.explain()
+    assert sum("FileScan" in line and "td_w" in line for line in capsys.readouterr().out.splitlines()) == 1
+    total, want = {}, {}
+    classes = {}
+    for _, j, i, lc, arr, water in [*rows, (0, 8, 8, 10, False, True)]:
+        classes.setdefault((j, i), []).extend([*(["water"] if water else []), "solar array" if arr else f"class {lc}"])
+    for r in w.collect():
+        total[r.run_id] = total.get(r.run_id, 0.0) + r.wt_f
+        for c in classes.get((r.jj, r.ii), []):
+            want[r.run_id, c] = want.get((r.run_id, c), 0.0) + r.wt_f
+    got = {(r.run_id, r.cover): r.share for r in cover.collect()}
+    assert got == pytest.approx({k: v / total[k[0]] for k, v in want.items()})
+
+
 def test_surface_of_odd_pixels(spark):
     rows = [(0, j, i, 250.0 + j + i / 7, 10 * (1 + (i + j) % 3)) for j in range(16) for i in range(16) for _ in range(2)]
     rows += [(0, 3, 3, None, None), (0, None, 0, 900.0, 10), (None, 1, 1, 5.0, 10), (0, 4, 4, 100.0, 80)]

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
 from ..functions.geometry import Domain
-from ..sources.shared_table import materialize
 from ..sources.spread import deal, joined, tasks
 from .interp import Axis, cell_corners
 from .ordered import mass_threshold, top_sum, with_threshold
@@ -301,9 +300,9 @@ def cover_classes() -> Column:
 def cover_share(w: DataFrame, surface: DataFrame, totals: DataFrame | None = None) -> DataFrame:
     """Footprint-weighted class shares, folded and for unwrapped touchdowns only.
 
-    Touchdowns collapse to one row per (run, site, cell) of a run's block before the raster join; those rows are written
-    once, as shares and totals both read them. With ``totals``, a run of it that touches no class has one row, whose cover
-    and shares are NULL.
+    Touchdowns collapse to one row per (run, site, cell) of a run's block before the raster join. Each such row counts for
+    its classes and for its run's total, so one pass over the touchdowns serves both. With ``totals``, a run of it that
+    touches no class has one row, whose cover and shares are NULL.
     """
     live = F.when(~F.col("wrapped"), F.col("wt_f")).otherwise(0.0)
     n_tasks, (block, near) = tasks(w), _near(w)
@@ -311,13 +310,17 @@ def cover_share(w: DataFrame, surface: DataFrame, totals: DataFrame | None = Non
     if near:
         at = deal(at, n_tasks, *near)
     cells = at.groupBy("run_id", *near[1:], "site", "j", "i").agg(F.sum("wt_f").alias("s"), F.sum("live").alias("s_nw"))
-    cells = materialize(cells.drop("_block"), "cover-cells")
-    tot = cells.groupBy("run_id").agg(F.sum("s").alias("t"), F.sum("s_nw").alias("t_nw"))
-    hit = cells.join(surface.select("site", "j", "i", cover_classes().alias("classes")), ["site", "j", "i"])
-    by = hit.select("run_id", "s", "s_nw", F.explode("classes").alias("cover")).groupBy("run_id", "cover").agg(
-        F.sum("s").alias("s"), F.sum("s_nw").alias("s_nw")
-    )
-    by = by.join(tot, "run_id")
+    place = ["site", "j", "i"]
+    if n_tasks:
+        cells, surface = deal(cells, n_tasks, *place), deal(surface, n_tasks, *place)
+    raster = surface.groupBy(*place).agg(F.flatten(F.collect_list(cover_classes())).alias("classes"))
+    entry = lambda c, whole: F.struct(c.cast("string").alias("cover"), F.lit(whole).alias("whole"))
+    entries = F.concat(F.transform(F.coalesce("classes", F.array().cast("array<string>")), lambda c: entry(c, False)), F.array(entry(F.lit(None), True)))
+    hit = cells.join(raster, place, "left").select("run_id", "s", "s_nw", F.explode(entries).alias("e"))
+    by = hit.groupBy("run_id", "e.cover", "e.whole").agg(F.sum("s").alias("s"), F.sum("s_nw").alias("s_nw"))
+    run, total = Window.partitionBy("run_id"), F.col("whole")
+    by = by.withColumns({"t": F.max(F.when(total, F.col("s"))).over(run), "t_nw": F.max(F.when(total, F.col("s_nw"))).over(run)})
+    by = by.where(~total & F.col("run_id").isNotNull()).drop("whole")
     if totals is not None:
         by = totals.select("run_id").join(by, "run_id", "left")
     return by.select(
