@@ -49,6 +49,20 @@ def test_tasks_follow_the_size_of_the_input(tables, spark, monkeypatch):
     assert fp.deposit_static(weighted(tables), DOM).rdd.getNumPartitions() == spread.tasks(*tables)
 
 
+def test_a_large_session_number_is_named_too(tables, spark, monkeypatch):
+    """Tasks that only the session counts are merged by their bytes, so a task grows with the input."""
+    monkeypatch.setattr(spread, "TASK_BYTES", 500)
+    named = spread.tasks(*tables)
+    spark.conf.set("spark.sql.shuffle.partitions", str(named + 50))
+    try:
+        assert spread.tasks(*tables) == named + 50
+        assert fp.deposit_static(weighted(tables), DOM).rdd.getNumPartitions() == named + 50
+        monkeypatch.setattr(spread, "TASK_BYTES", 8 << 20)
+        assert spread.tasks(*tables) is None
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 def test_more_tasks_and_blocks_give_the_same_sums(tables, monkeypatch):
     w = weighted(tables)
     loose = w.drop("particle").cache()  # rows without particles have no blocks

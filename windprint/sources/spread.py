@@ -23,10 +23,15 @@ def _stored(files: tuple[str, ...]) -> int:
 
 
 def tasks(*inputs: DataFrame) -> int | None:
-    """Tasks for rows derived from the inputs, by the size of their files; None where the session's number will do."""
+    """Tasks for rows derived from the inputs, by the size of their files; None where as many as run at once will do.
+
+    Beyond that the number is named, the session's at least: tasks of which the session only knows the number are merged
+    by the bytes that move, however many rows those hold, until each core has one.
+    """
     files = tuple(sorted({f for df in inputs for f in df.inputFiles()}))
     n = -(-_stored(files) // TASK_BYTES) if files else 0
-    return n if n > int(inputs[0].sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
+    spark = inputs[0].sparkSession
+    return max(n, int(spark.conf.get("spark.sql.shuffle.partitions"))) if n > spark.sparkContext.defaultParallelism else None
 
 
 def deal(df: DataFrame, n: int | None, *by: str | Column) -> DataFrame:
