@@ -63,6 +63,24 @@ def test_a_large_session_number_is_named_too(tables, spark, monkeypatch):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
+def test_neighbours_are_summed_before_they_move(tables, capsys):
+    """What moves from a block to the task of a key is one row a cell with one sum a value, not four."""
+    cells = fp.deposit_static(weighted(tables), DOM)
+    cells.explain()
+    lines = capsys.readouterr().out.splitlines()
+    fan = next(n for n, line in enumerate(lines) if "explode([0,1,2,3])" in line)
+    assert any("Exchange" in line for line in lines[:fan])
+    want = {}
+    for r in weighted(tables).collect():
+        u, v = r.xm / DOM.dx + DOM.i_r, r.ym / DOM.dx + DOM.j_r
+        i, j = int(np.floor(u)), int(np.floor(v))
+        for dj, di in ((0, 0), (0, 1), (1, 0), (1, 1)):
+            part = (v - j if dj else 1 - v + j) * (u - i if di else 1 - u + i)
+            at = (r.run_id, (j + dj) % DOM.ny, (i + di) % DOM.nx)
+            want[at] = [x + y * part for x, y in zip(want.get(at, [0.0, 0.0]), (r.wt_f, r.wt_c), strict=True)]
+    assert {(r.run_id, r.j, r.i): [r.flux, r.conc] for r in cells.collect()} == {k: pytest.approx(v, abs=1e-9) for k, v in want.items()}
+
+
 def test_more_tasks_and_blocks_give_the_same_sums(tables, monkeypatch):
     w = weighted(tables)
     loose = w.drop("particle").cache()  # rows without particles have no blocks

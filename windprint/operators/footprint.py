@@ -117,8 +117,8 @@ def deposit_values(
 ) -> DataFrame:
     """(keys, j, i, values): each value shared bilinearly between the four cells nearest to its row.
 
-    Rows collapse in the block of their run by the first of their four cells, to four sums a value; only those cells,
-    bounded by the grid, move to the task of their key and are dealt out to their neighbours there.
+    Rows collapse in the block of their run by the first of their four cells, to four sums a value, which are dealt out
+    to the neighbours there; only the block's cells, one sum a value and bounded by the grid, move to the task of their key.
     """
     edge = "wrap" if periodic else "open"
     n_tasks, (block, near) = tasks(w), _near(w)
@@ -131,12 +131,17 @@ def deposit_values(
     if not periodic:
         first = first.where(F.col("_j").between(-1, ny - 1) & F.col("_i").between(-1, nx - 1))
     sums = [F.sum(F.col(f"_{n}") * F.col(f"_p{k}")).alias(f"_{n}{k}") for n in values for k in range(4)]
-    base = deal(first.groupBy(*dict.fromkeys([*near, *keys]), "_j", "_i").agg(*sums), n_tasks, *keys)
+    group = list(dict.fromkeys([*near, *keys]))
+    base = first.groupBy(*group, "_j", "_i").agg(*sums)
+    if not near:
+        base = deal(base, n_tasks, *keys)
     cells = base.withColumn("_k", F.explode(F.array(*[F.lit(k) for k in range(4)])))
     j, i = _neighbour("_j", F.col("_k") >= 2, ny, periodic), _neighbour("_i", F.col("_k") % 2 == 1, nx, periodic)
-    cells = cells.select(*keys, j.alias("j"), i.alias("i"), *[_nth(f"_{n}", "_k").alias(f"_{n}") for n in values])
+    cells = cells.select(*group, j.alias("j"), i.alias("i"), *[_nth(f"_{n}", "_k").alias(f"_{n}") for n in values])
     if not periodic:
         cells = cells.where(F.col("j").between(0, ny - 1) & F.col("i").between(0, nx - 1))
+    if near:
+        cells = deal(cells.groupBy(*group, "j", "i").agg(*[F.sum(f"_{n}").alias(f"_{n}") for n in values]), n_tasks, *keys)
     return cells.groupBy(*keys, "j", "i").agg(*[F.sum(f"_{n}").alias(n) for n in values])
 
 
