@@ -4,6 +4,8 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -344,6 +346,51 @@ def test_two_stage_order(letters):
     assert sorted(order) == list(range(2_000)) and all(b[i : i + 50] <= b[j : j + 50] for i, j in zip(order, order[1:]))
 
 
+def test_only_wanted_windows_are_sorted():
+    """Windows that are asked for come in the same order and classes as among all suffixes, and few others are sorted."""
+    rng = np.random.default_rng(3)
+    for letters in (1, 2, 5, 256):
+        data = rng.integers(0, letters, 900).astype(np.uint8)
+        data = np.concatenate([data, data[200:500], data])
+        n, word = len(data), suffix_dedup.eight(data)
+        for share in (0.02, 0.5):
+            inside = (rng.random(n) < share) & (np.arange(n) <= n - suffix_dedup.LENGTH)
+            some = suffix_dedup.suffix_order(data, word, wanted=inside)
+            every = suffix_dedup.suffix_order(data, word)
+            assert list(some[inside[some]]) == list(every[inside[every]])
+            order, group = suffix_dedup.equal_windows(data, inside)
+            window = [data[i : i + suffix_dedup.LENGTH].tobytes() for i in order]
+            assert sorted(order) == list(np.nonzero(inside)[0])
+            assert all((x == y) == (g == h) for x, y, g, h in zip(window, window[1:], group, group[1:]))
+            if letters > 2 and share < 0.1:
+                assert len(some) < n / 5
+
+
+def test_short_phrases_shared_by_chance_move_no_texts():
+    """Texts with a common phrase in different surroundings have no common gram; a repeat of 50 bytes at any place has."""
+    rng = np.random.default_rng(5)
+
+    def letters(n):
+        return "".join(map(chr, rng.integers(97, 123, n)))
+
+    def sent(texts):
+        def row(block, i, text):
+            return pa.table({"block": pa.array([block], pa.int32()), "doc": pa.array([i], pa.int64()), "md5": [str(i)], "text": pa.array([text.encode()], pa.binary())})
+
+        tables = [row(i, i, t) for i, t in enumerate(texts)]
+        grams = pa.concat_tables([suffix_dedup._gram_rows(1, suffix_dedup.MANY_DOCS)((pa.scalar(i),), t) for i, t in enumerate(tables)])
+        states = suffix_dedup._shared_rows((pa.scalar(0),), grams)
+        got = [suffix_dedup._context_rows(1)((pa.scalar(i),), t, states.filter(pc.equal(states.column("block"), i))) for i, t in enumerate(tables)]
+        covered = suffix_dedup._cover_rows((pa.scalar(0),), pa.concat_tables(got))
+        return sum(t.num_rows for t in got), covered.column("block").to_pylist()
+
+    phrase = "in the light of the words of "
+    assert sent([letters(80) + phrase + letters(80) for _ in range(60)]) == (0, [])
+    for _ in range(60):
+        repeat, a, b = letters(suffix_dedup.LENGTH), *rng.integers(0, 70, 2)
+        assert sent([letters(a) + repeat + letters(70 - a), letters(b) + repeat + letters(70 - b)])[1] == [1]
+
+
 def test_updates_equal_a_plain_loop():
     """The classifier's updates against follow-the-regularised-leader written out for one coordinate at a time."""
     rng = np.random.default_rng(7)

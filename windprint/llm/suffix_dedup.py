@@ -14,9 +14,10 @@ from windprint.sources.shared_table import shared_folder
 from .common import materialize
 from .words import powers, prefix_hash, raw
 
-#: Length of a repeat in bytes; bytes of a gram; grams of a window.
+#: Length of a repeat in bytes; bytes of a gram; grams of a window; bytes that a gram is widened by, which every window has left or right of it.
 LENGTH, GRAM = 50, 16
 GRAMS = LENGTH - GRAM + 1
+SIDE = (LENGTH - GRAM) // 2
 #: Bytes of a block of documents, grams of a bucket, and documents of one block, or blocks, from which on a gram is hot.
 BLOCK_BYTES, BUCKET_GRAMS, MANY_DOCS, MANY_BLOCKS = 1 << 22, 1 << 20, 64, 256
 SORT_BYTES = 1 << 21
@@ -27,31 +28,38 @@ SORT_BYTES = 1 << 21
 
 def eight(data: np.ndarray) -> np.ndarray:
     """The eight bytes from each place on as a big-endian number; zeros follow the end."""
-    wide = np.concatenate([data, np.zeros(64, np.uint8)]).astype(np.uint64)
-    out = np.zeros(len(data) + 56, np.uint64)
-    for i in range(8):
-        out |= wide[i : i + len(out)] << np.uint64(56 - 8 * i)
+    out = np.concatenate([data, np.zeros(63, np.uint8)]).astype(np.uint64)
+    for i in (1, 2, 4):
+        out = out[:-i] << np.uint64(8 * i) | out[i:]
     return out
 
 
-def suffix_order(data: np.ndarray, word: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """All suffixes of ``data`` in the order of their first ``length`` bytes, by two-stage sorting.
+def suffix_order(data: np.ndarray, word: np.ndarray, length: int = LENGTH, wanted: np.ndarray | None = None) -> np.ndarray:
+    """All suffixes of ``data``, or those ``wanted`` and some others, in the order of their first ``length`` bytes, by two-stage sorting.
 
     Only suffixes smaller than their successors are sorted directly. The others are induced: buckets of equal first
     bytes are scanned in ascending order, and the predecessor of each suffix met, if it begins with a larger byte, is
-    next in its own bucket; runs of one byte follow in rounds.
+    next in its own bucket; runs of one byte follow in rounds. A suffix is induced from its successors up to the next
+    one sorted directly, so besides the wanted only these are needed.
     """
     n = len(data)
     # the next different byte decides; the end of the text is smaller than every byte
-    change = np.nonzero(data[1:] != data[:-1])[0]
-    following = np.searchsorted(change, np.arange(n))
-    ends = np.append(change, n - 1)[following]
+    changes = data[1:] != data[:-1]
+    change = np.nonzero(changes)[0]
+    following = np.cumsum(changes) - changes
+    ends = np.append(change, n - 1)[np.append(following, len(change))[:n]]
     smaller = (ends < n - 1) & (data[np.minimum(ends + 1, n - 1)] > data)
     direct = np.nonzero(smaller)[0]
+    needed = np.ones(n, bool)
+    if wanted is not None:
+        some = np.nonzero(wanted)[0]
+        last = np.append(direct, n - 1)[np.searchsorted(direct, some)]
+        needed = np.cumsum(np.bincount(some, minlength=n + 1) - np.bincount(last + 1, minlength=n + 1))[:n] > 0
+        direct = direct[needed[direct]]
     direct = direct[np.lexsort([word[direct + i] for i in range(8 * ((length - 1) // 8), -1, -8)])]
     at = np.searchsorted(data[direct], np.arange(257))
     induced: list[list[np.ndarray]] = [[] for _ in range(256)]
-    if n:
+    if n and needed[n - 1]:
         induced[data[n - 1]].append(np.array([n - 1]))  # its successor is the empty suffix, the smallest of all
     out = []
     for c in range(256):
@@ -59,13 +67,14 @@ def suffix_order(data: np.ndarray, word: np.ndarray, length: int = LENGTH) -> np
         rounds = [part]
         while len(part):
             part = part[part > 0] - 1
-            part = part[data[part] == c]
+            part = part[(data[part] == c) & needed[part]]
             rounds.append(part)
         bucket = np.concatenate([*rounds, direct[at[c] : at[c + 1]]])
         out.append(bucket)
         before = bucket[bucket > 0] - 1
         byte = data[before]
-        before, byte = before[byte > c], byte[byte > c]
+        larger = (byte > c) & needed[before]
+        before, byte = before[larger], byte[larger]
         order = np.argsort(byte, kind="stable")
         before, byte = before[order], byte[order]
         for b, chunk in zip(*_runs(byte, before)):
@@ -86,7 +95,7 @@ def equal_windows(data: np.ndarray, inside: np.ndarray, length: int = LENGTH) ->
     Neighbours in suffix order whose common prefix reaches ``length`` are of one class.
     """
     word = eight(data)
-    order = suffix_order(data, word, length)
+    order = suffix_order(data, word, length, inside)
     order = order[inside[order]]
     same = np.ones(max(len(order) - 1, 0), bool)
     for i in (*range(0, length - 8, 8), length - 8):
@@ -98,10 +107,12 @@ def equal_windows(data: np.ndarray, inside: np.ndarray, length: int = LENGTH) ->
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """For each run of windows with the same smallest gram: first and last window start, the gram's place and 64-bit hash.
+    """For each run of windows with the same wide gram: first and last window start, the wide gram's place and 64-bit hash.
 
-    The gram of a window follows from its bytes alone (smallest 32-bit hash, the leftmost of equals), so equal windows
-    have equal grams at equal places. Windows don't cross documents.
+    The smallest gram of a window follows from its bytes alone (smallest 32-bit hash, the leftmost of equals). So does
+    the wide gram: the smallest with the ``SIDE`` bytes before it where the window has them, else with those after it.
+    Equal windows thus have equal wide grams at equal places, while chance, which gives more and more texts the same
+    short gram the more texts there are, hardly ever gives them the same wide one. Windows don't cross documents.
     """
     found = []
     step = np.searchsorted(offsets, np.arange(0, offsets[-1] + 1, 1 << 19), side="left")
@@ -113,9 +124,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
 
 def _anchors(data, offsets, base):
     prefix = prefix_hash(data)
-    h = (prefix[GRAM:] - prefix[:-GRAM]) * powers(len(prefix))[1][: len(prefix) - GRAM]
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(32)
+    h = _scrambled((prefix[GRAM:] - prefix[:-GRAM]) * powers(len(prefix))[1][: len(prefix) - GRAM])
     key = (h << np.uint64(32)) | np.arange(len(h), dtype=np.uint64)
     size = 1
     while size * 2 <= GRAMS:
@@ -129,9 +138,17 @@ def _anchors(data, offsets, base):
         starts[at[at >= 0]] = False
     window = np.nonzero(starts)[0]
     place = (key[window] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    place -= np.where(place - window >= SIDE, SIDE, 0)
     new = np.nonzero(np.r_[True, (place[1:] != place[:-1]) | (window[1:] != window[:-1] + 1)])[0]
     last = np.append(new[1:], len(window)) - 1
-    return window[new] + base, window[last] + base, place[new] + base, h[place[new]]
+    place = place[new]
+    return window[new] + base, window[last] + base, place + base, _scrambled((prefix[place + GRAM + SIDE] - prefix[place]) * powers(len(prefix))[1][place])
+
+
+def _scrambled(h):
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    return h
 
 
 class Block:
@@ -145,8 +162,15 @@ class Block:
         if anchored:
             self.first, self.last, self.place, self.gram = anchors(self.data, self.offsets)
             self.owner = self.docs[np.searchsorted(self.offsets, self.place, side="right") - 1]
-            # distinct grams in order; an anchor's number in that order
-            self.grams, self.which = np.unique(self.gram, return_inverse=True)
+            # distinct grams in order, an anchor's number in that order, and how many documents have each; owners ascend
+            order = np.argsort(self.gram, kind="stable")
+            gram, owner = self.gram[order], self.owner[order]
+            new = np.ones(len(order), bool)
+            new[1:] = gram[1:] != gram[:-1]
+            self.grams, self.which = gram[new], np.empty(len(order), np.int64)
+            self.which[order] = number = np.cumsum(new) - 1
+            new[1:] |= owner[1:] != owner[:-1]
+            self.n_docs = np.bincount(number[new], minlength=len(self.grams))
 
 
 def _packed(*arrays: np.ndarray) -> bytes:
@@ -173,9 +197,7 @@ def _gram_rows(buckets: int, many_docs: int):
 
     def rows(key, table):
         b = Block(table)
-        docs = np.unique(np.stack([b.which, b.owner]), axis=1)[0] if len(b.which) else b.which
-        n = np.bincount(docs, minlength=len(b.grams))
-        level = ((n > 1).astype(np.uint8) + (n > many_docs)).astype(np.uint8)
+        level = ((b.n_docs > 1).astype(np.uint8) + (b.n_docs > many_docs)).astype(np.uint8)
         at = _by_bucket(b.grams, buckets)
         some = [i for i in range(buckets) if at[i] < at[i + 1]]
         return pa.table({
@@ -244,7 +266,8 @@ def _context_rows(buckets: int):
                 continue
             first, end = b.first[some], b.first[some] + size[some]
             hashed = (prefix[end] - prefix[first]) * inverse[first]
-            order = np.lexsort((b.owner[some], b.place[some] - first, size[some], hashed, b.gram[some]))
+            # one key sorts all four; where two contexts have the same by chance, they at most stay two entries
+            order = np.argsort((b.gram[some] ^ hashed) * np.uint64(0x9E3779B97F4A7C15) + (size[some] * LENGTH + b.place[some] - first).astype(np.uint64), kind="stable")
             same = np.ones(len(order), bool)
             for x in (b.gram[some], hashed, size[some], b.place[some] - first):
                 same[1:] &= x[order[1:]] == x[order[:-1]]
@@ -438,8 +461,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     judged on the input and never cross documents. How it works, at any size:
 
     1. Rows of equal texts collapse to the smallest id. The first documents go to blocks of bounded size, by hash.
-    2. Each 50-byte window has a smallest 16-byte gram, a function of its bytes. Grams that only one document has are
-       settled by comparing the blocks' distinct grams, in buckets of bounded size.
+    2. Each 50-byte window has a smallest 16-byte gram, a function of its bytes, which the window's longer side widens
+       to 33. Wide grams that only one document has are settled by comparing the blocks' distinct ones, in buckets of
+       bounded size.
     3. For the others, the bytes around each gram (its context) go to the gram's bucket. Equal contexts collapse;
        the different contexts of a gram are concatenated, their suffixes are put in order by two-stage sorting, and
        neighbours with a common prefix of 50 bytes form classes; members above the smallest id of a class are covered.
@@ -456,7 +480,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     firsts = materialize(short.filter(F.col("as_is").isNull()).groupBy("md5").agg(F.min("doc").alias("doc"), F.first("n_bytes").alias("n")), "suffix-firsts")
     total = firsts.agg(F.sum("n")).first()[0] or 0
     blocks = max(-(-total // BLOCK_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    buckets = 1 << max(0, (total // (GRAMS // 2) // BUCKET_GRAMS).bit_length())
+    buckets = 1 << max(0, (total // (GRAMS // 4) // BUCKET_GRAMS).bit_length())
     buckets = max(buckets, 1 << (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
     table = _blocked(spark, rows, firsts, blocks)
 
